@@ -58,8 +58,8 @@ def expand_names(df: DataFrame, column: str, out: str = "name") -> DataFrame:
 
 
 def strip(column: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of white space, separators U+001C to U+001F included."""
+    return F.regexp_replace(column, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def with_family(

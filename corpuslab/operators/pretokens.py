@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import normalize_text
+from corpuslab.session import fixed_table
 
 META = "▁"
 
@@ -70,6 +72,7 @@ def assign_ids(tokens: DataFrame, specials: Sequence[str] = (), limit: int = 1_2
         F.row_number().over(Window.orderBy("token")) + (base - 1)).cast("int").alias("id"))
     if not specials:
         return numbered
-    fixed = tokens.sparkSession.createDataFrame(
-        [(t, i) for i, t in enumerate(specials)], "token string, id int")
+    fixed = fixed_table(
+        tokens.sparkSession, token=(pa.string(), list(specials)),
+        id=(pa.int32(), list(range(base))))
     return fixed.unionByName(numbered)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpuslab.operators.corpus import charset
 from corpuslab.operators.pretokens import assign_ids, prepared, pretoken_counts
 from corpuslab.operators.subwords import expected_pieces, split_without
-from corpuslab.session import shared_dir
+from corpuslab.session import fixed_table, shared_dir
 
 END_OF_TEXT = "<|endoftext|>"
 # Special tokens per kind, and the names an end-of-text token may have.
@@ -43,19 +43,19 @@ class Vocabulary:
     mode: str | None = None
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            [(t, i) for i, t in enumerate(self.tokens)], "token string, id int")
+        return fixed_table(
+            spark, token=(pa.string(), self.tokens), id=(pa.int32(), list(range(len(self.tokens)))))
 
     def merge_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            [(r, self.tokens[a], self.tokens[b], self.tokens[m])
-             for r, (a, b, m) in enumerate(self.merges)],
-            "rank int, left string, right string, merged string")
+        left, right, merged = ([self.tokens[m[i]] for m in self.merges] for i in range(3))
+        return fixed_table(
+            spark, rank=(pa.int32(), list(range(len(self.merges)))), left=(pa.string(), left),
+            right=(pa.string(), right), merged=(pa.string(), merged))
 
     def piece_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            [(t, i, s) for i, (t, s) in enumerate(zip(self.tokens, self.scores))],
-            "token string, id int, score double")
+        return fixed_table(
+            spark, token=(pa.string(), self.tokens), id=(pa.int32(), list(range(len(self.tokens)))),
+            score=(pa.float64(), self.scores))
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:
@@ -147,8 +147,9 @@ def _learn_merges(
     if len(alphabet) > MAX_SYMBOLS:
         raise ValueError("too many symbols for one vocabulary")
     vocab = [*specials, *alphabet]
-    ids = words.sparkSession.createDataFrame(
-        [(t, i) for i, t in enumerate(vocab) if i >= len(specials)], "token string, sid int")
+    ids = fixed_table(
+        words.sparkSession, token=(pa.string(), alphabet),
+        sid=(pa.int32(), list(range(len(specials), len(vocab)))))
     # a word is short, so its collected symbols are bounded by the longest pretoken
     state = (
         spelled.where(F.size("syms") > 1)
@@ -265,7 +266,7 @@ def _pruned(
     spark: SparkSession, scores: dict[str, float], uses: dict[str, float], chars: set[str], room: int,
 ) -> dict[str, float]:
     """Drop the pieces whose absence costs the corpus least, never a character."""
-    longer = spark.createDataFrame([(p,) for p in scores if p not in chars], "piece string")
+    longer = fixed_table(spark, piece=(pa.string(), [p for p in scores if p not in chars]))
 
     def run(batches):
         for batch in batches:

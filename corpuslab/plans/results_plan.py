@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.scores import explode_scores, parse_scores
 from corpuslab.operators.lookup import dense_grid
 from corpuslab.operators.metrics import family_scores, language_scores, last_per_key
+from corpuslab.session import fixed_table
 
 # Language to family.
 FAMILIES = (
@@ -38,12 +40,14 @@ LOCALES = (
 
 
 def families(spark) -> DataFrame:
-    return spark.createDataFrame(list(FAMILIES), "lang string, family string")
+    langs, names = zip(*FAMILIES)
+    return fixed_table(spark, lang=(pa.string(), list(langs)), family=(pa.string(), list(names)))
 
 
 def aliases(spark, kind: str = "language") -> DataFrame:
     rows = LANGUAGE_MODELS if kind == "language" else EMBEDDING_MODELS
-    return spark.createDataFrame(list(rows), "alias string, id string")
+    names, ids = zip(*rows)
+    return fixed_table(spark, alias=(pa.string(), list(names)), id=(pa.string(), list(ids)))
 
 
 def family_rows(summaries: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,3 +57,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def fixed_table(spark: SparkSession, **columns: tuple[pa.DataType, list]) -> DataFrame:
+    """A small table of known values; it arrives as a local relation of known size."""
+    return spark.createDataFrame(
+        pa.table({name: pa.array(values, kind) for name, (kind, values) in columns.items()}))
