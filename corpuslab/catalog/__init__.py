@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("corpus", "joins", "metrics", "series", "texts", "vocabularies")
+MODULES = ("corpus", "joins", "metrics", "series", "texts", "vocabularies", "scoring", "vectors", "results")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

@@ -126,7 +126,7 @@ def page_numbers(spark, sf):
 
 # a completion for every event, in one of six phrasings
 SAID = """
-select event_id, user_id, value, case event_id % 6
+select event_id, event_type, user_id, value, case event_id % 6
   when 0 then 'Önce ' || user_id || ' sonra #### ' || value || ' tamam 3'
   when 1 then 'Toplam: ' || value || ' olur, yani ' || user_id
   when 2 then user_id || ' + 2 = ' || value || ' eder'
@@ -147,7 +147,8 @@ def completions(spark, sf):
         .when(kind == 3, F.concat(F.lit("CEVAP "), u, F.lit(" ya da cevap: "), v))
         .when(kind == 4, F.concat(u, F.lit(" kişi "), v, F.lit(" lira öder")))
         .otherwise(F.concat("event_type", F.lit(" yok"))))
-    return table(spark, sf, "events").select("event_id", "user_id", "value", said.alias("said"))
+    return table(spark, sf, "events").select(
+        "event_id", "event_type", "user_id", "value", said.alias("said"))
 
 
 NUM = "([+-]?[0-9]*\\.?[0-9]+)"

@@ -16,7 +16,7 @@ CHARS = """
 select distinct ch from (select unnest(string_split(text, '')) as ch from documents) where ch <> ''
 """
 # few enough merges for a trial run, over every text
-TRIAL = {"bpe": 320, "wordpiece": 320, "unigram": 1500}
+TRIAL = {"bpe": 220, "wordpiece": 220, "unigram": 8000}
 
 
 @query(f"""
@@ -68,14 +68,14 @@ def bpe_merges(spark, sf):
 def bpe_decoded(spark, sf):
     """Learn, encode, decode: byte-level text comes back whole."""
     docs = documents(spark, sf)
-    vocab = train_bpe(docs, size=280)
+    vocab = train_bpe(docs, size=150)
     return decode_corpus(encode_corpus(docs, vocab), vocab).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query()
 def bpe_token_shards(spark, sf):
     docs = documents(spark, sf)
-    shards = token_shards(docs, train_bpe(docs, size=280))
+    shards = token_shards(docs, train_bpe(docs, size=150))
     return shards.groupBy("split").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"))
 
@@ -88,17 +88,17 @@ def wordpiece_merges(spark, sf):
 @query()
 def wordpiece_encoded(spark, sf):
     docs = documents(spark, sf)
-    ids = encode_corpus(docs, train_wordpiece(docs, size=TRIAL["wordpiece"]))
+    ids = encode_corpus(docs, train_wordpiece(docs, size=180))
     return ids.select("doc_id", F.size("tokens").alias("n"))
 
 
 @query()
 def unigram_pieces(spark, sf):
-    return train_unigram(documents(spark, sf), size=TRIAL["unigram"], seeds=20_000).piece_table(spark)
+    return train_unigram(documents(spark, sf), size=TRIAL["unigram"], seeds=16_000).piece_table(spark)
 
 
 @query()
 def unigram_encoded(spark, sf):
     docs = documents(spark, sf)
-    ids = encode_corpus(docs, train_unigram(docs, size=TRIAL["unigram"], seeds=20_000))
+    ids = encode_corpus(docs, train_unigram(docs, size=TRIAL["unigram"], seeds=16_000))
     return ids.select("doc_id", F.size("tokens").alias("n"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.pretokens import META, prepared
-from corpuslab.operators.subwords import best_split, longest_match, merge_word
+from corpuslab.operators.subwords import best_split, longest_match, merge_word, prefixes
 from corpuslab.operators.vocab import SPECIALS, Vocabulary, byte_alphabet
 
 CACHE_WORDS = 1_000_000
@@ -36,11 +36,11 @@ def word_encoder(vocab: Vocabulary) -> Callable[[str], list[int]]:
     if vocab.kind == "unigram":
         specials = set(SPECIALS["unigram"])
         scores = {t: s for t, s in zip(vocab.tokens, vocab.scores) if t not in specials}
-        unknown = ids["<unk>"]
+        unknown, starts = ids["<unk>"], prefixes(scores)
 
         def encode(word: str) -> list[int]:
             out: list[int] = []
-            for piece in best_split(word, scores)[0]:
+            for piece in best_split(word, scores, starts)[0]:
                 found = ids.get(piece, unknown)
                 if found != unknown or not out or out[-1] != unknown:
                     out.append(found)

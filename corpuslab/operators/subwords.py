@@ -4,66 +4,77 @@ from __future__ import annotations
 
 import math
 
-LONGEST = 16
+import numpy as np
+import pyarrow as pa
+
 UNKNOWN = -30.0
 
 
-def _pieces_ending(word: str, end: int, scores: dict[str, float], longest: int):
-    for start in range(max(0, end - longest), end):
-        score = scores.get(word[start:end])
-        if score is not None:
-            yield start, score
+def prefixes(pieces) -> set[str]:
+    """Every beginning of every piece; a text that leaves the set starts no piece."""
+    return {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+
+
+def _edges(word: str, scores: dict[str, float], starts: set[str]) -> list[list[tuple[int, float]]]:
+    """For each end position the (start, score) of the pieces that end there."""
+    n = len(word)
+    found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for start in range(n):
+        for end in range(start + 1, n + 1):
+            piece = word[start:end]
+            if piece not in starts:
+                break
+            score = scores.get(piece)
+            if score is not None:
+                found[end].append((start, score))
+    return found
 
 
 def expected_pieces(
-    words: list[str], freqs: list[int], scores: dict[str, float], longest: int = LONGEST,
+    words: list[str], freqs: list[int], scores: dict[str, float], starts: set[str],
 ) -> tuple[dict[str, float], float]:
     """Expected piece counts over all splits of each word, and the log likelihood."""
     uses: dict[str, float] = {}
     total = 0.0
     for word, freq in zip(words, freqs):
         n = len(word)
-        # probabilities, rescaled by a per-position log so long words do not underflow
-        ahead = [-math.inf] * (n + 1)
-        ahead[0] = 0.0
-        edges = []
+        edges = _edges(word, scores, starts)
+        # log likelihood of each beginning of the word
+        ahead = [0.0] + [-math.inf] * n
         for end in range(1, n + 1):
-            found = [(s, sc) for s, sc in _pieces_ending(word, end, scores, longest)
-                     if ahead[s] > -math.inf]
-            edges.append(found)
-            if found:
-                peak = max(ahead[s] + sc for s, sc in found)
-                ahead[end] = peak + math.log(sum(math.exp(ahead[s] + sc - peak) for s, sc in found))
+            terms = [ahead[s] + sc for s, sc in edges[end]]
+            peak = max(terms, default=-math.inf)
+            if peak > -math.inf:
+                ahead[end] = peak if len(terms) == 1 else peak + math.log(
+                    sum([math.exp(t - peak) for t in terms]))
         if ahead[n] == -math.inf:
             continue
         total += freq * ahead[n]
-        behind = [0.0] * (n + 1)
-        behind[n] = 1.0
+        # share of the splits that pass through each position, from the end back
+        through = [0.0] * n + [float(freq)]
         for end in range(n, 0, -1):
-            if behind[end] == 0.0:
+            if through[end] == 0.0:
                 continue
-            for start, score in edges[end - 1]:
-                share = behind[end] * math.exp(ahead[start] + score - ahead[end])
-                behind[start] += share
+            for start, score in edges[end]:
+                share = through[end] * math.exp(ahead[start] + score - ahead[end])
+                through[start] += share
                 piece = word[start:end]
-                uses[piece] = uses.get(piece, 0.0) + freq * share
+                uses[piece] = uses.get(piece, 0.0) + share
     return uses, total
 
 
 def best_split(
-    word: str, scores: dict[str, float], longest: int = LONGEST, without: str | None = None,
+    word: str, scores: dict[str, float], starts: set[str], without: str | None = None,
 ) -> tuple[list[str], float]:
     """The most likely split; a character no piece covers stands alone at a heavy cost."""
     n = len(word)
-    best = [-math.inf] * (n + 1)
-    best[0] = 0.0
+    edges = _edges(word, scores, starts)
+    best = [0.0] + [-math.inf] * n
     back = [0] * (n + 1)
     for end in range(1, n + 1):
-        single = word[end - 1:end]
-        if single not in scores or single == without:
-            best[end], back[end] = best[end - 1] + UNKNOWN, end - 1
-        for start, score in _pieces_ending(word, end, scores, longest):
-            if word[start:end] != without and best[start] + score > best[end]:
+        best[end], back[end] = best[end - 1] + UNKNOWN, end - 1
+        for start, score in edges[end]:
+            if best[start] + score > best[end] and word[start:end] != without:
                 best[end], back[end] = best[start] + score, start
     pieces = []
     end = n
@@ -73,9 +84,70 @@ def best_split(
     return pieces[::-1], best[n]
 
 
-def split_without(piece: str, scores: dict[str, float]) -> float:
-    """Log likelihood of a piece's best split into other pieces."""
-    return best_split(piece, scores, without=piece)[1]
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All symbol ids of a batch end to end, and the row each belongs to."""
+    lists = batch.column("ids")
+    sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+    return np.asarray(lists.flatten()).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _keys(ids: np.ndarray) -> np.ndarray:
+    return (ids[:-1] << 32) | ids[1:]
+
+
+def _merge(
+    ids: np.ndarray, row: np.ndarray, batch: list[tuple[int, int, int]],
+) -> tuple[np.ndarray, np.ndarray]:
+    """Replace the pairs of one batch everywhere, leftmost first within a row."""
+    wanted = sorted(((a << 32) | b, new) for a, b, new in batch)
+    keys = np.array([k for k, _ in wanted])
+    new = np.array([n for _, n in wanted])
+    have = _keys(ids)
+    slot = np.minimum(np.searchsorted(keys, have), len(keys) - 1)
+    hits = np.flatnonzero((keys[slot] == have) & (row[:-1] == row[1:]))
+    if not len(hits):
+        return ids, row
+    # hits in sequence overlap (only a symbol merged with itself does): every other one counts
+    first = np.concatenate([[True], np.diff(hits) > 1])
+    place = np.arange(len(hits)) - np.maximum.accumulate(np.where(first, np.arange(len(hits)), 0))
+    hits = hits[place % 2 == 0]
+    ids = ids.copy()
+    ids[hits] = new[slot[hits]]
+    keep = np.ones(len(ids), bool)
+    keep[hits + 1] = False
+    return ids[keep], row[keep]
+
+
+def _merged(batch: pa.RecordBatch, rounds: list) -> tuple[np.ndarray, np.ndarray]:
+    ids, row = _flat(batch)
+    for pairs in rounds:
+        ids, row = _merge(ids, row, pairs)
+    return ids, row
+
+
+def count_pairs(batch: pa.RecordBatch, rounds: list) -> pa.RecordBatch:
+    """``(l, r, n)``: adjacent pairs of a batch of words after the given merge rounds."""
+    ids, row = _merged(batch, rounds)
+    freq = np.asarray(batch.column("freq"))
+    inside = row[:-1] == row[1:]
+    keys, where = np.unique(_keys(ids)[inside], return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, where, freq[row[:-1][inside]])
+    return pa.RecordBatch.from_arrays(
+        [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)),
+         pa.array(n)], ["l", "r", "n"])
+
+
+def merge_rows(batch: pa.RecordBatch, rounds: list) -> pa.RecordBatch:
+    """The batch with the merge rounds applied; words of one symbol are done and leave."""
+    ids, row = _merged(batch, rounds)
+    sizes = np.bincount(row, minlength=batch.num_rows)
+    long = sizes > 1
+    offsets = np.concatenate([[0], np.cumsum(sizes[long])])
+    return pa.RecordBatch.from_arrays(
+        [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
+                                  pa.array(ids[long[row]].astype(np.int32))),
+         batch.column("freq").filter(pa.array(long))], ["ids", "freq"])
 
 
 def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:

@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from corpuslab.functions.arrays import cosine, finite, keep_first, l2_normalize
 from corpuslab.operators.lookup import lookup_vectors, spread_join
@@ -23,9 +24,11 @@ def mean_pool(
     The vector mean is one aggregate with a partial step, so the dimensions are never
     exploded into rows and a long key is summed where its rows lie.
     """
+    vector = F.col(vec)
+    if isinstance(df.schema[vec].dataType, ArrayType):
+        vector = array_to_vector(vector.cast("array<double>"))
     weight = F.lit(1.0) if mask is None else F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
-    rows = df.select(
-        *key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"), weight.alias("_w"))
+    rows = df.select(*key, vector.alias("_v"), weight.alias("_w"))
     pooled = rows.groupBy(*key).agg(
         Summarizer.sum(F.col("_v"), F.col("_w")).alias("_s"), F.sum("_w").alias("_n"))
     return pooled.select(
@@ -45,7 +48,9 @@ def embed(
     A document without tokens gets the zero vector.
     """
     clipped = encoded.select(key, keep_first(F.col(ids), max_length).alias(ids))
-    pooled = mean_pool(lookup_vectors(clipped, table, key, ids), [key], "vector", dim)
+    # converted once per vocabulary entry, not once per token
+    dense = table.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
+    pooled = mean_pool(lookup_vectors(clipped, dense, key, ids), [key], "vector", dim)
     whole = clipped.select(key).join(pooled, key, "left").withColumn(
         "vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)))
     return whole.select(key, finite(l2_normalize(F.col("vector"))).alias("vector"))

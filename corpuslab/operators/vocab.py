@@ -10,13 +10,16 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators.corpus import charset
 from corpuslab.operators.pretokens import assign_ids, prepared, pretoken_counts
-from corpuslab.operators.subwords import expected_pieces, split_without
+from corpuslab.operators.subwords import (
+    best_split, count_pairs, expected_pieces, merge_rows, prefixes,
+)
 from corpuslab.session import fixed_table, shared_dir
 
 END_OF_TEXT = "<|endoftext|>"
@@ -103,78 +106,87 @@ def exact_batch(
 ) -> list[tuple[int, int]]:
     """The pairs at the head of a ranking that one-at-a-time merging would take next.
 
-    ``ranked`` is (left, right, count), best first. A merge can only create pairs out
-    of neighbours that share a symbol with it, and such a neighbour pair counts no more
-    than it did. So while the head pairs share no symbol nothing created can overtake
-    them; on an equal count a created pair would win only through a smaller left id,
-    which needs a neighbour on the left of a merged pair. A symbol merged with itself,
-    or a merge that spells a known token (``repeats``), can raise a count and so
-    ends the batch.
+    ``ranked`` is (left, right, count), best first. Two pairs can only overlap in a text
+    where the right symbol of one is the left symbol of the other, so while the lefts
+    and rights of the batch stay apart its merges leave each other's counts alone. A
+    merge creates pairs out of neighbours on its left and right, which are pairs outside
+    the batch and count no more than they did: less than the batch, or as much, and then
+    a created pair could win the tie only by a smaller left id, which needs an
+    equal-count neighbour on the left. A symbol merged with itself, or a merge that
+    spells a known token (``repeats``), can raise a count and so ends the batch.
     """
     batch: list[tuple[int, int]] = []
-    used: set[int] = set()
     lefts: set[int] = set()
+    rights: set[int] = set()
     floor = 0 if complete else ranked[-1][2]
+    neighbours: dict[int, set[int]] = {}
+    for _, right, count in ranked:
+        neighbours.setdefault(count, set()).add(right)
     for left, right, count in ranked:
         if batch:
-            if left in used or right in used or count <= floor:
+            if left in rights or right in lefts or left == right or count <= floor:
                 break
-            if any(r in lefts and c == count and (a, r) not in batch
-                   for a, r, c in ranked if (a, r) != (left, right)):
+            if lefts & neighbours[count]:
                 break
         batch.append((left, right))
-        used.update((left, right))
         lefts.add(left)
+        rights.add(right)
         if left == right or len(batch) == room or repeats(left, right):
             break
     return batch
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for work that is heavy for its bytes, which adaptive coalescing would pack
+    into a few."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _learn_merges(
     words: DataFrame, symbols: Callable[[Column], Column], specials: Sequence[str], size: int,
-    glue: Callable[[str, str], str], min_count: int = 1, checkpoint_every: int = 12,
+    glue: Callable[[str, str], str], checkpoint_every: int = 24,
 ) -> tuple[list[str], list[tuple[int, int, int]]]:
     """Merge the most frequent adjacent pair until the vocabulary is full.
 
-    A word is kept as its symbol ids in a delimited string, ``,7,,12,,3,``, so a merge
-    is the built-in ``replace`` of ``,7,,12,`` (leftmost first, as merging requires).
-    Each round is one aggregation with map-side sums. Ties go to the smaller ids.
+    A word is its array of symbol ids. Each round is one aggregation: tasks apply the
+    merges since the last checkpoint to their words and count pairs, sums collapse on
+    the map side, the best pairs reach the driver. Ties go to the smaller ids.
     """
-    shared_dir(words.sparkSession)
+    spark = words.sparkSession
+    shared_dir(spark)
     spelled = words.select("word", "freq", symbols(F.col("word")).alias("syms")).checkpoint()
     seen = spelled.select(F.explode("syms").alias("token")).distinct().limit(MAX_SYMBOLS + 1)
     alphabet = sorted(r[0] for r in seen.collect())
     if len(alphabet) > MAX_SYMBOLS:
         raise ValueError("too many symbols for one vocabulary")
     vocab = [*specials, *alphabet]
-    ids = fixed_table(
-        words.sparkSession, token=(pa.string(), alphabet),
-        sid=(pa.int32(), list(range(len(specials), len(vocab)))))
-    # a word is short, so its collected symbols are bounded by the longest pretoken
+    index = {t: i for i, t in enumerate(vocab)}
+
+    def as_ids(batches):
+        for batch in batches:
+            lists = batch.column("syms")
+            flat = lists.flatten().dictionary_encode()
+            known = pa.array([index[t] for t in flat.dictionary.to_pylist()], pa.int32())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(offsets, known.take(flat.indices)), batch.column("freq")],
+                ["ids", "freq"])
+
+    def counted(rounds):
+        return lambda batches: (count_pairs(b, rounds) for b in batches if b.num_rows)
+
+    def rewritten(rounds):
+        return lambda batches: (merge_rows(b, rounds) for b in batches if b.num_rows)
+
     state = (
-        spelled.where(F.size("syms") > 1)
-        .select("word", "freq", F.posexplode("syms").alias("pos", "token"))
-        .join(F.broadcast(ids), "token")
-        .groupBy("word", "freq")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sid"))),
-                         lambda s: s["sid"]).alias("ids"))
-        .select(F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")).alias("seq"), "freq")
-        .checkpoint()
+        spelled.where(F.size("syms") > 1).select("syms", "freq").repartition(_tasks(spark))
+        .mapInArrow(as_ids, "ids array<int>, freq bigint").checkpoint()
     )
     merges: list[tuple[int, int, int]] = []
-    index = {t: i for i, t in enumerate(vocab)}
-    rounds = 0
+    pending: list[list[tuple[int, int, int]]] = []
     while len(vocab) < size:
-        parts = F.split(F.expr("substring(seq, 2, length(seq) - 2)"), ",,")
-        pairs = (
-            state.select(parts.alias("p"), "freq").where(F.size("p") > 1)
-            .select(F.explode(F.arrays_zip(
-                F.expr("slice(p, 1, size(p) - 1)").alias("l"),
-                F.expr("slice(p, 2, size(p) - 1)").alias("r"))).alias("e"), "freq")
-            .groupBy(F.col("e.l").cast("int").alias("l"), F.col("e.r").cast("int").alias("r"))
-            .agg(F.sum("freq").alias("n"))
-            .where(F.col("n") >= min_count)
-        )
+        pairs = state.mapInArrow(counted(pending), "l int, r int, n bigint").groupBy("l", "r").agg(
+            F.sum("n").alias("n"))
         top = pairs.orderBy(F.col("n").desc(), "l", "r").limit(RANKED_PAIRS).collect()
         if not top:
             break
@@ -188,17 +200,18 @@ def _learn_merges(
 
         batch = exact_batch([(r["l"], r["r"], r["n"]) for r in top],
                             len(top) < RANKED_PAIRS, size - len(vocab), repeats)
+        taken = []
         for left, right in batch:
             token = glue(vocab[left], vocab[right])
             if token not in index:
                 index[token] = len(vocab)
                 vocab.append(token)
-            state = state.withColumn("seq", F.replace(
-                "seq", F.lit(f",{left},,{right},"), F.lit(f",{index[token]},")))
-            merges.append((left, right, index[token]))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            state = state.where(F.contains("seq", F.lit(",,"))).checkpoint()
+            taken.append((left, right, index[token]))
+        merges += taken
+        pending.append(taken)
+        if len(pending) == checkpoint_every:
+            state = state.mapInArrow(rewritten(pending), state.schema).checkpoint()
+            pending = []
     return vocab, merges
 
 
@@ -240,9 +253,10 @@ def _seed_pieces(words: DataFrame, limit: int, longest: int) -> list[tuple[str,
 def _e_step(words: DataFrame, scores: dict[str, float]) -> tuple[dict[str, float], float]:
     """Expected use of each piece, and the log likelihood of the corpus."""
     def run(batches):
+        starts = prefixes(scores)
         for batch in batches:
             counts, loss = expected_pieces(
-                batch.column("word").to_pylist(), batch.column("freq").to_pylist(), scores)
+                batch.column("word").to_pylist(), batch.column("freq").to_pylist(), scores, starts)
             counts[""] = loss
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())],
@@ -269,15 +283,16 @@ def _pruned(
     longer = fixed_table(spark, piece=(pa.string(), [p for p in scores if p not in chars]))
 
     def run(batches):
+        starts = prefixes(scores)
         for batch in batches:
             pieces = batch.column("piece").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pieces, pa.string()),
-                 pa.array([split_without(p, scores) for p in pieces], pa.float64())],
+                 pa.array([best_split(p, scores, starts, without=p)[1] for p in pieces], pa.float64())],
                 ["piece", "other"])
 
     # the piece table is as small as the vocabulary
-    others = longer.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
+    others = longer.repartition(_tasks(spark)).mapInArrow(
         run, "piece string, other double").collect()
     cost = {r["piece"]: uses.get(r["piece"], 0.0) * (scores[r["piece"]] - r["other"]) for r in others}
     best = sorted(cost, key=lambda p: (-cost[p], p))[: max(0, room - len(chars))]
@@ -296,7 +311,7 @@ def train_unigram(
     """
     words = pretoken_counts(df, prepared(F.col(text), "unigram"))
     shared_dir(df.sparkSession)
-    words = words.checkpoint()
+    words = words.repartition(_tasks(df.sparkSession)).checkpoint()
     seeded = _seed_pieces(words, seeds, longest)
     chars = {p for p, _ in seeded if len(p) == 1}
     room = max(size - len(SPECIALS["unigram"]), len(chars))
