@@ -12,7 +12,7 @@ from corpuslab.operators.lookup import (
     dense_grid, expand_aliases, expand_names, join_gold, lookup_vectors, wide_grid, with_family,
 )
 from corpuslab.operators.metrics import argmax_choice
-from corpuslab.operators.tokens import token_total, windows_at, with_offsets
+from corpuslab.operators.tokens import token_stream, token_total, windows_at
 from corpuslab.operators.vocab import Vocabulary, char_vocab
 from corpuslab.plans.results_plan import FAMILIES, LANGUAGE_MODELS, aliases, families
 from corpuslab.sources.tables import table
@@ -89,7 +89,7 @@ from documents, s
 def stream_windows(spark, sf):
     docs = documents(spark, sf)
     vocab = Vocabulary("char", [r["token"] for r in char_vocab(docs).orderBy("id").collect()])
-    stream = with_offsets(encode_chars(docs, vocab.tokens))
+    stream = token_stream(encode_chars(docs, vocab.tokens))
     n = token_total(stream)
     offsets = docs.select("doc_id", ((F.col("doc_id") * 7919) % (n - 64)).alias("at"))
     windows = windows_at(stream, offsets, 64, offset="at")

@@ -14,7 +14,7 @@ from corpuslab.operators.scoring import (
     BigramScorer, evaluate_choices, expand_choices, numeric_eval, score_continuations,
     score_labels, sweep,
 )
-from corpuslab.operators.tokens import sample_windows, with_offsets
+from corpuslab.operators.tokens import sample_windows, token_stream
 from corpuslab.operators.vocab import char_vocab
 from corpuslab.plans.choice_plan import evaluate_mcq, loose_items
 
@@ -141,7 +141,7 @@ def numeric_accuracy_cued(spark, sf):
 def sampled_windows(spark, sf):
     docs = documents(spark, sf)
     tokens = [r["token"] for r in char_vocab(docs).orderBy("id").collect()]
-    rows = sample_windows(with_offsets(encode_chars(docs, tokens)), 200 * 12, 256, 1337)
+    rows = sample_windows(token_stream(encode_chars(docs, tokens)), 200 * 12, 256, 1337)
     return rows.select("sample", "offset", F.md5(F.to_json(F.struct("x", "y"))).alias("digest"))
 
 

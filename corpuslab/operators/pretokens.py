@@ -59,13 +59,16 @@ def pretoken_counts(
         F.count(F.lit(1)).alias("freq"))
 
 
-def assign_ids(tokens: DataFrame, specials: Sequence[str] = (), limit: int = 1_200_000) -> DataFrame:
+def assign_ids(
+    tokens: DataFrame, specials: Sequence[str] = (), limit: int | None = 1_200_000,
+) -> DataFrame:
     """``(token, id)``: the specials first, then the distinct tokens in code-point order.
 
-    Numbering is over the vocabulary, never over the corpus; its size is checked.
+    Numbering is over the vocabulary, never over the corpus. Its size is checked against
+    ``limit``; pass None only for tokens bounded by nature, such as characters.
     """
     rest = tokens.select("token").distinct().where(~F.col("token").isin(list(specials)))
-    if rest.limit(limit + 1).count() > limit:
+    if limit is not None and rest.limit(limit + 1).count() > limit:
         raise ValueError(f"a vocabulary of more than {limit} tokens")
     base = len(specials)
     numbered = rest.select("token", (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -14,8 +15,9 @@ from corpuslab.functions.text import (
     strip_echo,
 )
 from corpuslab.operators.lookup import spread_join
-from corpuslab.operators.metrics import accuracy_by, argmax_choice
+from corpuslab.operators.metrics import accuracy_by
 from corpuslab.operators.pretokens import pretokens
+from corpuslab.session import staged
 
 # A scorer takes rows (…, context, continuation) and returns them with ``score``.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -56,35 +58,37 @@ def fit_prompt(text: Column, n: int, split: Callable[[Column], Column] | None =
 class BigramScorer:
     """Add-``k`` bigram model, the scorer that needs no weights.
 
-    ``pairs(prev, tok, n)`` and ``heads(prev, n)`` are the corpus counts, ``size`` the
-    number of distinct tokens.
+    ``pairs(prev, tok, n)`` are the corpus counts, ``size`` the number of distinct tokens.
     """
 
     pairs: DataFrame
-    heads: DataFrame
     size: int
     k: float = 1.0
     block: int = 1024
 
     @staticmethod
     def train(df: DataFrame, tokens: Column, k: float = 1.0, block: int = 1024) -> BigramScorer:
-        """Count adjacent tokens of every document; partial counts before the shuffle."""
-        arr = df.select(tokens.alias("t"))
-        pairs = (
-            arr.where(F.size("t") > 1)
+        """Count adjacent tokens of every document in one pass; partial counts before the
+        shuffle. The counts are the model and are written once. A first token counts
+        after NULL, so that the counts hold every token."""
+        counts = staged(
+            df.select(tokens.alias("t")).where(F.size("t") > 0)
             .select(F.explode(F.arrays_zip(
-                F.expr("slice(t, 1, size(t) - 1)").alias("prev"),
-                F.expr("slice(t, 2, size(t) - 1)").alias("tok"))).alias("e"))
-            .groupBy("e.prev", "e.tok").agg(F.count(F.lit(1)).alias("n"))
-        )
-        heads = pairs.groupBy("prev").agg(F.sum("n").alias("n"))
-        size = arr.select(F.explode(F.array_distinct("t")).alias("tok")).distinct().count()
-        return BigramScorer(pairs, heads, size, k, block)
+                F.concat(F.array(F.lit(None)), F.slice("t", F.lit(1), F.size("t") - 1)).alias("prev"),
+                F.col("t").alias("tok"))).alias("e"))
+            .groupBy("e.prev", "e.tok").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+        pairs = counts.where(F.col("prev").isNotNull())
+        return BigramScorer(pairs, counts.select("tok").distinct().count(), k, block)
 
     def table(self, needed: DataFrame) -> DataFrame:
-        """``(prev, tok, logprob)`` for the distinct pairs asked for."""
-        pairs = self.pairs.withColumnRenamed("n", "_pair")
-        heads = self.heads.withColumnRenamed("n", "_head")
+        """``(prev, tok, logprob)`` for the distinct pairs asked for.
+
+        The model is cut to the asked pairs before anything is summed or shuffled: they
+        are few beside a corpus, and a measured-small side is broadcast at run time.
+        """
+        pairs = self.pairs.join(needed, ["prev", "tok"]).withColumnRenamed("n", "_pair")
+        asked = needed.select("prev").distinct()
+        heads = self.heads(asked).withColumnRenamed("n", "_head")
         return (
             needed.join(pairs, ["prev", "tok"], "left").join(heads, ["prev"], "left")
             .select("prev", "tok", F.ln(
@@ -92,24 +96,28 @@ class BigramScorer:
                 / (F.coalesce("_head", F.lit(0)) + F.lit(self.k * self.size))).alias("logprob"))
         )
 
+    def heads(self, asked: DataFrame) -> DataFrame:
+        """How often each asked ``prev`` was followed by anything."""
+        return self.pairs.join(asked, "prev", "left_semi").groupBy("prev").agg(F.sum("n").alias("n"))
+
     def __call__(self, requests: DataFrame) -> DataFrame:
         """Rows keyed by ``item, idx`` with token arrays ``context`` and ``continuation``."""
-        last = keep_last(keep_last(F.col("context"), self.block - 1), 1)
-        # a missing context has no previous token and matches no pair
-        steps = requests.select(
-            "item", "idx", "continuation",
-            F.concat(F.when(F.size("context") > 0, last).otherwise(
-                F.array(F.lit(None))), F.col("continuation")).alias("t"),
-        ).select("item", "idx", F.posexplode("continuation").alias("pos", "tok"), "t").select(
-            "item", "idx", F.try_element_at("t", F.col("pos") + 1).alias("prev"), "tok")
-        counted = steps.groupBy("item", "idx", "prev", "tok").agg(F.count(F.lit(1)).alias("m"))
-        known = self.table(counted.select("prev", "tok").distinct().where(F.col("prev").isNotNull()))
-        blank = F.ln(F.lit(1.0 / max(self.size, 1)))
-        scored = spread_join(counted, known, ["prev", "tok"], ["item", "idx"], "left").groupBy(
-            "item", "idx").agg(F.sum(F.col("m") * F.coalesce("logprob", blank)).alias("score"))
-        # an empty continuation scores the empty sum
-        return requests.select("item", "idx").join(scored, ["item", "idx"], "left").withColumn(
-            "score", F.coalesce("score", F.lit(0.0)))
+        last = F.try_element_at(keep_last(F.col("context"), self.block - 1), F.lit(-1))
+        # an empty continuation keeps one row without a token and scores the empty sum
+        counted = staged(
+            requests.select("item", "idx", F.explode_outer(F.arrays_zip(
+                F.concat(F.array(last), F.slice("continuation", F.lit(1), F.greatest(
+                    F.size("continuation") - 1, F.lit(0)))).alias("prev"),
+                F.col("continuation").alias("tok"))).alias("e"))
+            .groupBy("item", "idx", "e.prev", "e.tok").agg(F.count(F.lit(1)).alias("m")), "steps")
+        known = self.table(counted.select("prev", "tok").distinct().where(
+            F.col("prev").isNotNull() & F.col("tok").isNotNull()))
+        # a token without a context before it is any token
+        blank = F.lit(-math.log(max(self.size, 1)))
+        scored = spread_join(counted, known, ["prev", "tok"], ["item", "idx"], "left")
+        return scored.groupBy("item", "idx").agg(F.sum(F.when(
+            F.col("tok").isNotNull(), F.col("m") * F.coalesce("logprob", blank)
+        ).otherwise(0.0)).alias("score"))
 
 
 def score_continuations(requests: DataFrame, scorer: Scorer) -> DataFrame:
@@ -120,11 +128,9 @@ def score_continuations(requests: DataFrame, scorer: Scorer) -> DataFrame:
 def score_labels(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """Score by the first token of each label; a label without a token scores -inf."""
     first = requests.withColumn("continuation", F.slice("continuation", 1, 1))
-    scored = score_continuations(first, scorer)
-    empty = requests.select("item", "idx", (F.size("continuation") == 0).alias("_empty"))
-    return scored.join(empty, ["item", "idx"]).select(
-        "item", "idx",
-        F.when(F.col("_empty"), F.lit(float("-inf"))).otherwise(F.col("score")).alias("score"))
+    scored = score_continuations(first.where(F.size("continuation") > 0), scorer)
+    return scored.unionByName(requests.where(F.size("continuation") == 0).select(
+        "item", "idx", F.lit(float("-inf")).alias("score")))
 
 
 def mcq_requests(
@@ -141,20 +147,19 @@ def mcq_requests(
         F.col(item).alias("item"), context.alias("context"), F.posexplode(letters).alias("idx", "continuation"))
 
 
-def valid_scores(scores: DataFrame) -> DataFrame:
-    """Scores of items that have at least one finite choice; others are skipped whole."""
-    alive = scores.groupBy("item").agg(
-        F.max(F.col("score") > F.lit(float("-inf"))).alias("_alive")
-    ).where("_alive").select("item")
-    return scores.join(alive, "item", "left_semi")
+def best_choices(scores: DataFrame) -> DataFrame:
+    """``(item, pred)``: the best choice, first index on ties; an item whose choices all
+    score -inf is skipped."""
+    return scores.groupBy("item").agg(
+        F.max_by("idx", F.struct("score", -F.col("idx"))).alias("pred"), F.max("score").alias("_best"),
+    ).where(F.col("_best") > F.lit(float("-inf"))).drop("_best")
 
 
 def evaluate_choices(
     scores: DataFrame, gold: DataFrame, key: str, gold_col: str = "gold",
 ) -> DataFrame:
     """Accuracy by ``key`` and overall of the best choice against ``gold(item, key, gold)``."""
-    pred = argmax_choice(valid_scores(scores), ["item"])
-    return accuracy_by(pred.join(gold, "item"), key, "pred", gold_col)
+    return accuracy_by(best_choices(scores).join(gold, "item"), key, "pred", gold_col)
 
 
 # How each published variant reads an answer: (from gold, from completion, comparison).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.arrays import xy_pair
 from corpuslab.operators.prefix import running
+from corpuslab.session import staged
 
 
 def token_total(df: DataFrame, ids: str = "tokens") -> int:
@@ -21,7 +22,7 @@ def with_offsets(df: DataFrame, order: str = "doc_id", ids: str = "tokens") -> D
     """Add ``start``, the position of a document's first token in the whole stream.
 
     Only ids and sizes are ranged and checkpointed; tokens cross the wire once, in
-    the join on the unique document id.
+    the join on the unique document id. Pass a written table: it is read twice.
     """
     sizes = df.select(order, F.size(ids).cast("long").alias("_size"))
     starts = running(sizes, [order], {"_end": (F.col("_size"), "sum")}).select(
@@ -29,14 +30,20 @@ def with_offsets(df: DataFrame, order: str = "doc_id", ids: str = "tokens") -> D
     return df.join(starts, order)
 
 
+def token_stream(encoded: DataFrame, order: str = "doc_id", ids: str = "tokens") -> DataFrame:
+    """Encode once: write the tokens, then place them in the stream."""
+    return with_offsets(staged(encoded.select(order, ids), "tokens"), order, ids)
+
+
 def split_tokens(
     df: DataFrame, order: str = "doc_id", frac: float = 0.9, ids: str = "tokens",
 ) -> DataFrame:
     """Rows ``(order, split, start, tokens)``: the first ``int(frac * N)`` tokens of the
     stream are ``train``, the rest ``val``; a document across the cut becomes two rows.
     ``start`` counts within the split."""
-    cut = int(token_total(df, ids) * frac)
-    placed = with_offsets(df.select(order, F.col(ids).alias("tokens")), order, "tokens")
+    tokens = staged(df.select(order, F.col(ids).alias("tokens")), "tokens")
+    cut = int(token_total(tokens) * frac)
+    placed = with_offsets(tokens, order)
     inside = F.greatest(
         F.lit(0), F.least(F.lit(cut) - F.col("start"), F.size("tokens").cast("long"))
     ).cast("int")

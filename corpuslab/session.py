@@ -63,3 +63,14 @@ def fixed_table(spark: SparkSession, **columns: tuple[pa.DataType, list]) -> Dat
     """A small table of known values; it arrives as a local relation of known size."""
     return spark.createDataFrame(
         pa.table({name: pa.array(values, kind) for name, (kind, values) in columns.items()}))
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an expensive table once to the shared folder and go on from the files.
+
+    For tables that later steps read more than once; survives lost executors, and a
+    reader of two columns reads two columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 MAX_TOKEN = 65_535
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer pieces than cores out to all cores, for work heavy per byte.
+
+    A table of many files or row groups is split by the scan itself and left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_corpus(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
     """A parquet corpus with its text column named ``text``."""
-    df = spark.read.parquet(path)
+    df = spread(spark.read.parquet(path))
     return df if text_col == "text" else df.withColumnRenamed(text_col, "text")
 
 
