@@ -9,7 +9,7 @@ from corpuslab.catalog.corpus import documents
 from corpuslab.functions.text import lang_head
 from corpuslab.operators.encode import decode_corpus, encode_chars
 from corpuslab.operators.lookup import (
-    dense_grid, expand_aliases, expand_names, join_gold, lookup_vectors, wide_grid, with_family,
+    axis, dense_grid, expand_aliases, expand_names, join_gold, lookup_vectors, wide_grid, with_family,
 )
 from corpuslab.operators.metrics import argmax_choice
 from corpuslab.operators.tokens import token_stream, token_total, windows_at
@@ -141,4 +141,5 @@ select source, max(score) filter (lang = 'de') as de, max(score) filter (lang =
 from c group by source
 """)
 def score_grid_wide(spark, sf):
-    return wide_grid(_cells(spark, sf), "source", "lang", "score")
+    return wide_grid(
+        _cells(spark, sf), "source", "lang", "score", axis(documents(spark, sf), "lang"))

@@ -9,12 +9,13 @@ from corpuslab.catalog.corpus import documents
 from corpuslab.catalog.joins import TAGGED, tagged, values_sql
 from corpuslab.catalog.metrics import labelled
 from corpuslab.functions.scores import explode_scores, parse_scores
+from corpuslab.functions.text import model_to_dir
 from corpuslab.operators.metrics import accuracy_by
 from corpuslab.operators.scoring import sweep
 from corpuslab.plans.results_plan import FAMILIES, family_table, language_table, model_scores
 from corpuslab.session import scratch_path
 from corpuslab.sources.reports import (
-    read_language_reports, read_reports, read_summaries, write_language_report, write_report,
+    read_language_reports, read_model_meta, read_reports, read_summaries, write_language_report, write_report,
     write_summary,
 )
 from corpuslab.sources.tables import table
@@ -95,6 +96,21 @@ def language_report_written(spark, sf):
         F.round("avg_accuracy", 9).alias("avg_accuracy"))
 
 
+@query("""
+select distinct 'org/' || source as model, 'found' as grp, 'none' as name, true as open_weights from documents
+""")
+def model_cards(spark, sf):
+    """One card per source, written to the folders a model id becomes, and read back."""
+    cards = documents(spark, sf).select(
+        F.lit("found").alias("grp"), model_to_dir(F.concat(F.lit("org/"), "source")).alias("model_dir"),
+        F.lit("none").alias("name_dir"), F.lit("none").alias("revision_dir"),
+        F.lit("none").alias("name"), F.lit(True).alias("open_weights")).distinct()
+    path = scratch_path(spark, "cards")
+    cards.write.partitionBy("grp", "model_dir", "name_dir", "revision_dir").json(path)
+    return read_model_meta(spark, f"{path}/*/*/*/*/*.json").select(
+        "model", F.col("group").alias("grp"), "name", "open_weights")
+
+
 def _lang_means(spark, sf):
     return documents(spark, sf).groupBy(
         F.concat(F.lit("org/"), "source").alias("model"), tagged(F.col("lang")).alias("tag")).agg(

@@ -74,9 +74,9 @@ def char_budget(
     located first; the rest is a range filter on the id that reaches the scan and moves
     no text. ``size`` may name a stored length in place of counting characters.
     """
-    found = locate(df, order, F.length(column) if size is None else size, limit) if limit > 0 else None
     if limit <= 0:
         return df.where(F.lit(False))
+    found = locate(df, order, F.length(column) if size is None else size, limit)
     if found is None:
         return df
     last, before = found

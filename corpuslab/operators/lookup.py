@@ -30,11 +30,18 @@ def spread_join(
 
     The rows of a key are spread over ``salts`` shuffle keys by a hash of
     ``salt_by`` (their own id, so a retried task repeats it) and each stats row is
-    copied to every salt. ``stats`` is an aggregate, hence the smaller side.
+    copied to every salt. ``stats`` is an aggregate, hence the smaller side. A NULL key
+    is a key like any other.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    copies = stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    values = [c for c in stats.columns if c not in on]
+    copies = stats.select(
+        *[F.col(k).alias(f"_on_{k}") for k in on], *values,
+        F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_on_salt"))
+    match = F.col("_salt") == F.col("_on_salt")
+    for k in on:
+        match = match & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return salted.join(copies, match, how).select(*big.columns, *values)
 
 
 def expand_aliases(df: DataFrame, column: str, aliases: DataFrame, out: str = "model_id") -> DataFrame:
@@ -123,6 +130,8 @@ def dense_grid(
     return out
 
 
-def wide_grid(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
+def wide_grid(
+    df: DataFrame, row: str, column: str, value: str, labels: Sequence | None = None,
+) -> DataFrame:
     """The same grid with one column per label."""
-    return df.groupBy(row).pivot(column, axis(df, column)).agg(F.first(value))
+    return df.groupBy(row).pivot(column, labels or axis(df, column)).agg(F.first(value))

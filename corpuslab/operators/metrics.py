@@ -38,7 +38,11 @@ def accuracy_by(df: DataFrame, key: str, pred: str | Column, gold: str | Column)
     groups = df.groupBy(key).agg(
         F.sum(_hit(pred, gold)).alias("correct"), F.count(F.lit(1)).alias("n")
     )
-    out = groups.rollup(key).agg(
+    # an empty input still has an overall row
+    none = df.sparkSession.range(1).select(
+        F.lit(None).cast(df.schema[key].dataType).alias(key),
+        F.lit(0).cast("long").alias("correct"), F.lit(0).cast("long").alias("n"))
+    out = groups.unionByName(none).rollup(key).agg(
         F.sum("correct").alias("correct"), F.sum("n").alias("n"), F.grouping(key).alias("_all")
     ).where((F.col("_all") == 1) | F.col(key).isNotNull())
     return out.select(

@@ -21,17 +21,18 @@ def locate(df: DataFrame, order: str, size: Column, target: int) -> tuple[int, i
     """Find the row whose running total of ``size`` first reaches ``target``.
 
     ``order`` is a unique integer column. Returns ``(order value, total before it)``
-    or None if the whole table stays below the target. Each pass histograms one
-    range into at most ``FANOUT`` cells (map-side sums, at most ``FANOUT`` rows to
-    the driver) and descends into the cell that crosses, so the second pass already
-    scans 1/4096 of the id range, as a filter the parquet reader can use.
+    or None if the whole table stays below the target. The bounds read the id column
+    alone. Each pass histograms one range into at most ``FANOUT`` cells (map-side sums,
+    at most ``FANOUT`` rows to the driver) and descends into the cell that crosses, so
+    the sizes are read whole once and the second pass scans 1/4096 of the id range, as
+    a filter the parquet reader can use.
     """
     sized = df.select(F.col(order).cast("long").alias("o"), size.cast("long").alias("s"))
-    low, high, total = sized.agg(F.min("o"), F.max("o"), F.sum("s")).first()
-    if total is None or total < target:
+    low, high = sized.agg(F.min("o"), F.max("o")).first()
+    if low is None:
         return None
     before = 0
-    while low < high:
+    while True:
         width = (high - low) // FANOUT + 1
         cells = (
             sized.where(F.col("o").between(low, high))
@@ -45,7 +46,10 @@ def locate(df: DataFrame, order: str, size: Column, target: int) -> tuple[int, i
                 high = min(high, low + width - 1)
                 break
             before += cell_total
-    return low, before
+        else:
+            return None
+        if low == high:
+            return low, before
 
 
 def range_blocks(df: DataFrame, sort: Sequence[Column | str]) -> DataFrame:

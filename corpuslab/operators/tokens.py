@@ -59,8 +59,9 @@ def split_tokens(
 
 
 def blocks_of(stream: DataFrame, size: int, start: str = "start", ids: str = "tokens") -> DataFrame:
-    """Re-cut a token stream into ``(block, lo, piece)``: the pieces of every document
-    that fall into each block of ``size`` positions."""
+    """Re-cut a token stream into ``(block, lo, cell)``: positions ``lo`` on, in blocks of
+    ``size`` positions, whatever the documents' lengths. A block holds at most ``size``
+    tokens, so its collected pieces are bounded."""
     first = F.expr(f"{start} div {size}")
     last = F.expr(f"({start} + size({ids}) - 1) div {size}")
     return (
@@ -73,6 +74,9 @@ def blocks_of(stream: DataFrame, size: int, start: str = "start", ids: str = "to
                 F.size(ids).cast("long"), (F.col("block") + 1) * size - F.col("lo")
             ).cast("int")).alias("piece"),
         )
+        .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("lo", "piece"))).alias("p"))
+        .select("block", F.get("p", F.lit(0))["lo"].alias("lo"),
+                F.flatten(F.transform("p", lambda s: s["piece"])).alias("cell"))
     )
 
 
@@ -83,8 +87,8 @@ def windows_at(
     """``window`` = the ``length`` tokens from each offset of ``offsets``.
 
     A range lookup as an equi-join: stream and windows are cut at multiples of one
-    block size and meet on the block number. Offsets drawn more than once are
-    looked up once, so a block meets at most its own size of windows.
+    block size and meet on the block number, one row per block. Offsets drawn more than
+    once are looked up once, so a block meets at most its own size of windows.
     """
     size = max(length, 1024)
     cells = blocks_of(stream, size, start, ids)
@@ -93,13 +97,13 @@ def windows_at(
         F.explode(F.sequence(F.expr(f"_at div {size}"), F.expr(f"(_at + {length - 1}) div {size}"))),
     )
     skip = F.greatest(F.col("_at") - F.col("lo"), F.lit(0))
-    end = F.least(F.col("_at") + length - F.col("lo"), F.size("piece").cast("long"))
+    end = F.least(F.col("_at") + length - F.col("lo"), F.size("cell").cast("long"))
     found = (
         wanted.join(cells, "block")
         .withColumn("_skip", skip).withColumn("_len", end - skip)
         .where(F.col("_len") > 0)
         .select("_at", (F.col("lo") + F.col("_skip")).alias("lo"), F.slice(
-            "piece", (F.col("_skip") + 1).cast("int"), F.col("_len").cast("int")).alias("piece"))
+            "cell", (F.col("_skip") + 1).cast("int"), F.col("_len").cast("int")).alias("piece"))
     )
     # a window is at most `length` tokens, so the collected list is bounded
     windows = found.groupBy("_at").agg(

@@ -27,10 +27,13 @@ def mean_pool(
     vector = F.col(vec)
     if isinstance(df.schema[vec].dataType, ArrayType):
         vector = array_to_vector(vector.cast("array<double>"))
-    weight = F.lit(1.0) if mask is None else F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
-    rows = df.select(*key, vector.alias("_v"), weight.alias("_w"))
+    kept = F.lit(True) if mask is None else F.coalesce(F.col(mask) > 0, F.lit(False))
+    if mask is not None:
+        zeros = array_to_vector(F.array_repeat(F.lit(0.0), dim))
+        vector = F.when(kept, vector).otherwise(zeros)
+    rows = df.select(*key, vector.alias("_v"), kept.cast("double").alias("_n"))
     pooled = rows.groupBy(*key).agg(
-        Summarizer.sum(F.col("_v"), F.col("_w")).alias("_s"), F.sum("_w").alias("_n"))
+        Summarizer.sum(F.col("_v"), F.lit(1.0)).alias("_s"), F.sum("_n").alias("_n"))
     return pooled.select(
         *key,
         F.when(F.col("_n") > 0, F.zip_with(

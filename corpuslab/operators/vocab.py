@@ -136,10 +136,11 @@ def exact_batch(
     return batch
 
 
-def _tasks(spark: SparkSession) -> int:
-    """Tasks for work that is heavy for its bytes, which adaptive coalescing would pack
-    into a few."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _dealt(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """Spread work that is heavy for its bytes, which adaptive coalescing would pack into
+    a few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, rows // per_task))
 
 
 def _learn_merges(
@@ -179,7 +180,7 @@ def _learn_merges(
         return lambda batches: (merge_rows(b, rounds) for b in batches if b.num_rows)
 
     state = (
-        spelled.where(F.size("syms") > 1).select("syms", "freq").repartition(_tasks(spark))
+        _dealt(spelled.where(F.size("syms") > 1).select("syms", "freq"), spelled.count())
         .mapInArrow(as_ids, "ids array<int>, freq bigint").checkpoint()
     )
     merges: list[tuple[int, int, int]] = []
@@ -292,7 +293,7 @@ def _pruned(
                 ["piece", "other"])
 
     # the piece table is as small as the vocabulary
-    others = longer.repartition(_tasks(spark)).mapInArrow(
+    others = _dealt(longer, len(scores)).mapInArrow(
         run, "piece string, other double").collect()
     cost = {r["piece"]: uses.get(r["piece"], 0.0) * (scores[r["piece"]] - r["other"]) for r in others}
     best = sorted(cost, key=lambda p: (-cost[p], p))[: max(0, room - len(chars))]
@@ -311,7 +312,8 @@ def train_unigram(
     """
     words = pretoken_counts(df, prepared(F.col(text), "unigram"))
     shared_dir(df.sparkSession)
-    words = words.repartition(_tasks(df.sparkSession)).checkpoint()
+    words = words.checkpoint()
+    words = _dealt(words, words.count()).checkpoint()
     seeded = _seed_pieces(words, seeds, longest)
     chars = {p for p, _ in seeded if len(p) == 1}
     room = max(size - len(SPECIALS["unigram"]), len(chars))

@@ -60,8 +60,9 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_model_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Model cards; the model id is the third folder above the file, the group the fourth."""
-    parts = F.split("path", "/")
+    """Model cards; the model id is the third folder above the file, the group the fourth.
+    A folder may be written as ``name=value``."""
+    parts = F.transform(F.split("path", "/"), lambda p: F.regexp_replace(p, "^[a-z_]+=", ""))
     return _json(spark, path, CARD).select(
         dir_to_model(F.try_element_at(parts, F.lit(-4))).alias("model"),
         F.try_element_at(parts, F.lit(-5)).alias("group"), *CARD_FIELDS,

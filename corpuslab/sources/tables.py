@@ -31,8 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick_split(df: DataFrame, prefer: Sequence[str] = ("test", "train"), column: str = "split") -> DataFrame:
     """Rows of the first preferred split present, else of the first split by name."""
-    present = sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
-    chosen = next((s for s in prefer if s in present), present[0] if present else None)
+    wanted = df.where(F.col(column).isin(list(prefer))).select(column).distinct().collect()
+    present = {r[0] for r in wanted}
+    chosen = next((s for s in prefer if s in present), None)
+    if chosen is None:
+        chosen = df.agg(F.min(column)).first()[0]
     return df.where(F.col(column) == F.lit(chosen))
 
 
