@@ -93,7 +93,7 @@ def stream_windows(spark, sf):
     n = token_total(stream)
     offsets = docs.select("doc_id", ((F.col("doc_id") * 7919) % (n - 64)).alias("at"))
     windows = windows_at(stream, offsets, 64, offset="at")
-    return windows.join(decode_corpus(windows, vocab, ids="window"), "doc_id").select(
+    return offsets.join(decode_corpus(windows, vocab, ids="window"), "doc_id").select(
         "doc_id", "at", "text")
 
 
