@@ -22,7 +22,9 @@ from corpuslab.sources.tables import (
     list_subsets, pick_split, read_corpus, read_tokens, table, write_corpus, write_tokens,
 )
 
-BUDGET = 1_000_000
+def budget(spark: SparkSession, sf: str) -> int:
+    """Half of the corpus, in characters."""
+    return table(spark, sf, "documents").agg(F.sum("n_chars")).first()[0] // 2
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,10 +48,11 @@ from conversations q join conversations a
 where q.role = 'user'
 """
 # rows inside the character budget, the row across it cut
-BUDGETED = f"""
-select doc_id, lang, source, left(text, least({BUDGET} - before, length(text))::bigint) as text
-from (select *, sum(length(text)) over (order by doc_id) - length(text) as before from documents)
-where before < {BUDGET}
+BUDGETED = """
+select doc_id, lang, source, left(text, least(half - before, length(text))::bigint) as text
+from (select *, sum(length(text)) over (order by doc_id) - length(text) as before from documents),
+     (select sum(n_chars)::bigint // 2 as half from documents)
+where before < half
 """
 
 
@@ -62,7 +65,7 @@ join (select lang, count(distinct ch) as distinct_chars from chars where ch <> '
   on c.lang = k.lang
 """)
 def corpus_by_language(spark, sf):
-    return corpus_report(training_corpus(documents(spark, sf), BUDGET))
+    return corpus_report(training_corpus(documents(spark, sf), budget(spark, sf)))
 
 
 @query("select doc_id, lang, md5(text) as digest, length(text)::int as n from documents")
@@ -236,7 +239,7 @@ def row_isolation(spark, sf):
 
 @query(f"select doc_id, length(text)::int as n, md5(text) as digest from ({BUDGETED})")
 def character_budget(spark, sf):
-    return char_budget(documents(spark, sf), "doc_id", BUDGET).select(
+    return char_budget(documents(spark, sf), "doc_id", budget(spark, sf)).select(
         "doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
@@ -253,7 +256,7 @@ from u where length(text) <= 1000 group by source
 def corpus_union(spark, sf):
     code = table(spark, sf, "pages").select(F.col("url").alias("prompt"), F.col("html").alias("code"))
     union = union_corpora(
-        char_budget(documents(spark, sf), "doc_id", BUDGET), qa_table(spark, sf), code)
+        char_budget(documents(spark, sf), "doc_id", budget(spark, sf)), qa_table(spark, sf), code)
     return union.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"),
         F.min(F.md5("text")).alias("digest"))

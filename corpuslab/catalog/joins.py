@@ -65,19 +65,23 @@ def language_family(spark, sf):
 
 
 @query("""
-with t as (select doc_id, unnest(range(0, 8)) as pos from documents)
-select t.doc_id, t.pos::int as pos, ((t.doc_id * 8 + t.pos) % 500)::int as token_id,
-       round(list_sum(list_transform(e.embedding, lambda x: x::double)), 4) as total
-from t join embeddings e on e.vec_id = (t.doc_id * 8 + t.pos) % 500
+with v as (select ch, row_number() over (order by ch) as id
+           from (select distinct ch from (select unnest(string_split(text, '')) as ch from documents)) where ch <> ''),
+c as (select doc_id, unnest(string_split(text, '')) as ch from documents)
+select c.doc_id, count(*) as n, round(sum(e.embedding[1]::double), 6) as first,
+       round(sum(e.embedding[64]::double), 6) as last
+from c join v on v.ch = c.ch join embeddings e on e.vec_id = v.id group by 1
 """)
 def token_vectors(spark, sf):
-    tokens = documents(spark, sf).select("doc_id", F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: ((F.col("doc_id") * 8 + i) % 500).cast("int")).alias("tokens"))
+    docs = documents(spark, sf)
+    tokens = [r["token"] for r in char_vocab(docs).orderBy("id").collect()]
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vector"))
-    return lookup_vectors(tokens, vectors).select("doc_id", "pos", "token_id", F.round(F.aggregate(
-        "vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+    found = lookup_vectors(encode_chars(docs, tokens), vectors, 64)
+    return found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(F.get("vector", 0).cast("double")), 6).alias("first"),
+        F.round(F.sum(F.get("vector", 63).cast("double")), 6).alias("last"))
 
 
 @query("""

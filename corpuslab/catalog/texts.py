@@ -183,15 +183,15 @@ WORDS = "regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')"
 
 
 @query(f"""
-select doc_id, array_to_string(w[greatest(len(w) - 7, 1):], ' ') as last_words,
-       array_to_string(w[1:8], ' ') as first_words
+select doc_id, md5(array_to_string(w[greatest(len(w) - 1022, 1):], ' ')) as last_words,
+       md5(array_to_string(w[1:512], ' ')) as first_words
 from (select doc_id, {WORDS} as w from documents)
 """)
 def clipped_ids(spark, sf):
     rows = documents(spark, sf).select("doc_id", pretokens(F.col("text"), "whitespace").alias("w"))
     return rows.select(
-        "doc_id", F.array_join(keep_last(F.col("w"), 8), " ").alias("last_words"),
-        F.array_join(keep_first(F.col("w"), 8), " ").alias("first_words"))
+        "doc_id", F.md5(F.array_join(keep_last(F.col("w"), 1023), " ")).alias("last_words"),
+        F.md5(F.array_join(keep_first(F.col("w"), 512), " ")).alias("first_words"))
 
 
 @query()
@@ -300,14 +300,15 @@ def bert_normalised_texts(spark, sf):
 
 
 @query(f"""
-select doc_id, array_to_string(w[1:8], ' ') as x, array_to_string(w[2:9], ' ') as y
-from (select doc_id, {WORDS} as w from documents) where len(w) > 8
+select doc_id, md5(array_to_string(w[1:len(w) - 1], ' ')) as x, md5(array_to_string(w[2:], ' ')) as y
+from (select doc_id, {WORDS} as w from documents) where len(w) > 1
 """)
 def next_token_pairs(spark, sf):
     rows = documents(spark, sf).select(
-        "doc_id", keep_first(pretokens(F.col("text"), "whitespace"), 9).alias("w")).where(F.size("w") > 8)
-    pair = rows.select("doc_id", xy_pair(F.col("w"), 8).alias("p"))
-    return pair.select("doc_id", F.array_join("p.x", " ").alias("x"), F.array_join("p.y", " ").alias("y"))
+        "doc_id", pretokens(F.col("text"), "whitespace").alias("w")).where(F.size("w") > 1)
+    pair = rows.select("doc_id", xy_pair(F.col("w"), F.size("w") - 1).alias("p"))
+    return pair.select("doc_id", F.md5(F.array_join("p.x", " ")).alias("x"), F.md5(
+        F.array_join("p.y", " ")).alias("y"))
 
 
 @query(CHOICES + """

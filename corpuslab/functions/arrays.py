@@ -15,9 +15,11 @@ def keep_first(ids: Column, n: int) -> Column:
     return F.slice(ids, 1, n)
 
 
-def xy_pair(window: Column, block: int) -> Column:
+def xy_pair(window: Column, block: int | Column) -> Column:
     """Inputs and targets, one step apart, of a window of ``block + 1`` ids."""
-    return F.struct(F.slice(window, 1, block).alias("x"), F.slice(window, 2, block).alias("y"))
+    block = F.lit(block) if isinstance(block, int) else block
+    return F.struct(
+        F.slice(window, F.lit(1), block).alias("x"), F.slice(window, F.lit(2), block).alias("y"))
 
 
 def dot(a: Column, b: Column) -> Column:

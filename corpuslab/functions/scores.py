@@ -31,7 +31,9 @@ def parse_scores(df: DataFrame, column: str, style: str = "regex") -> DataFrame:
         )
     if style == "literal":
         printed = F.regexp_extract(text, r"(?s) scores=(.*?) evaluation_time", 1)
-        as_json = F.regexp_replace(printed, r"(?<=[\s:\[(])None(?=[\s,\])}])", "null")
+        as_json = printed
+        for word, value in (("None", "null"), ("True", "true"), ("False", "false")):
+            as_json = F.regexp_replace(as_json, rf"(?<=[\s:\[(]){word}(?=[\s,\])}}])", value)
         parsed = F.from_json(as_json, f"test array<{SCORE}>")
         return df.select(*keep, F.posexplode(parsed["test"]).alias("pos", "_e")).select(
             *keep, "pos", F.try_element_at("_e.languages", F.lit(1)).alias("lang"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 256 * 2**20
 
 
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -83,16 +84,18 @@ def with_family(
 
 
 def lookup_vectors(
-    tokens: DataFrame, table: DataFrame, key: str = "doc_id", ids: str = "tokens",
+    tokens: DataFrame, table: DataFrame, dim: int, key: str = "doc_id", ids: str = "tokens",
 ) -> DataFrame:
-    """Explode token ids to ``(key, pos, token_id, vector)`` through ``table(id, vector)``.
+    """Explode token ids to ``(key, pos, token_id, vector)`` through ``table(id, vector)``
+    with vectors of ``dim`` numbers.
 
-    A table beyond the broadcast bound is joined with salted keys, since frequent
-    tokens are hot keys by nature.
+    A table whose counted rows pass the broadcast bound in bytes is joined with salted
+    keys, since frequent tokens are hot keys by nature.
     """
     exploded = tokens.select(key, F.posexplode(ids).alias("pos", "token_id"))
     vectors = table.select(F.col("id").alias("token_id"), "vector")
-    if vectors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    fitting = BROADCAST_BYTES // (8 * dim)
+    if vectors.limit(fitting + 1).count() <= fitting:
         return exploded.join(F.broadcast(vectors), "token_id")
     return spread_join(exploded, vectors, ["token_id"], [key, "pos"])
 

@@ -140,8 +140,11 @@ def running_mean(
     ).withColumn("running_mean", F.col("_sum") / F.col("_n"))
     keep = (F.col("_n") % every == 0) | (F.col("_n") <= first)
     if last:
-        ends = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-        run = spread_join(run, ends, keys, order) if keys else run.join(F.broadcast(ends))
+        if keys:
+            ends = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+            run = spread_join(run, ends, keys, order)
+        else:
+            run = run.withColumn("_total", F.lit(df.count()))
         keep = keep | (F.col("_n") == F.col("_total"))
     return run.where(keep).withColumnRenamed("_n", "n").drop("_sum", "_total")
 

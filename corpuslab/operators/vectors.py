@@ -53,7 +53,7 @@ def embed(
     clipped = encoded.select(key, keep_first(F.col(ids), max_length).alias(ids))
     # converted once per vocabulary entry, not once per token
     dense = table.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
-    pooled = mean_pool(lookup_vectors(clipped, dense, key, ids), [key], "vector", dim)
+    pooled = mean_pool(lookup_vectors(clipped, dense, dim, key, ids), [key], "vector", dim)
     whole = clipped.select(key).join(pooled, key, "left").withColumn(
         "vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)))
     return whole.select(key, finite(l2_normalize(F.col("vector"))).alias("vector"))

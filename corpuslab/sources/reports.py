@@ -125,8 +125,16 @@ def language_reports(df: DataFrame) -> DataFrame:
     )
 
 
-def write_language_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder per model, and all models together under ``all_results``."""
+def write_language_report(
+    df: DataFrame, path: str, mode: str = "errorifexists", max_languages: int = 10_000,
+) -> None:
+    """One folder per model, and all models together under ``all_results``.
+
+    A model's report is one document, so its languages are counted first and bounded.
+    """
+    most = df.groupBy("model").count().agg(F.max("count")).first()[0] or 0
+    if most > max_languages:
+        raise ValueError(f"{most} rows for one model do not make one report")
     reports = language_reports(df)
     reports.withColumn("model_dir", model_to_dir(F.col("model"))).write.mode(mode).partitionBy(
         "model_dir").json(f"{path}/models")

@@ -11,7 +11,7 @@ from corpuslab.session import get_session
 @pytest.fixture(scope="session")
 def spark():
     session = get_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
+        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
