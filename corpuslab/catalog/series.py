@@ -8,7 +8,7 @@ from corpuslab.catalog import query
 from corpuslab.catalog.corpus import documents
 from corpuslab.operators.dist import log_softmax, nucleus, softmax, top_k_ties, weighted_draw
 from corpuslab.operators.metrics import (
-    ema, first_details, running_best, running_mean, sort_by,
+    ema, first_details, running_best, running_mean, running_skips, sort_by,
 )
 from corpuslab.operators.pretokens import assign_ids
 from corpuslab.sources.tables import table
@@ -31,6 +31,18 @@ def running_means(spark, sf):
     return rows.select("event_type", "event_id", "n", F.round("running_mean", 6).alias("running_mean"))
 
 
+@query("""
+with r as (
+  select lang, doc_id, row_number() over w as n, sum((length(text) > 2048)::int) over w as s,
+         (length(text) > 2048)::int as bad
+  from documents window w as (partition by lang order by doc_id rows unbounded preceding))
+select lang, doc_id, n - 1 as done, (s - bad)::bigint as skipped from r where (n - 1) % 100 = 0
+""")
+def skip_progress(spark, sf):
+    rows = documents(spark, sf).select("lang", "doc_id", (F.length("text") > 4 * 512).alias("long"))
+    return running_skips(rows, ["lang"], ["doc_id"], F.col("long")).drop("long")
+
+
 @query("""
 select l_returnflag, l_orderkey, l_linenumber, l_quantity from (
   select *, rank() over (partition by l_returnflag order by l_quantity desc) as r from lineitem)

@@ -20,6 +20,9 @@ from corpuslab.operators.subwords import best_split, longest_match, merge_word,
 from corpuslab.operators.vocab import SPECIALS, Vocabulary, byte_alphabet
 
 CACHE_WORDS = 1_000_000
+# What a WordPiece decoder tidies at the head of a piece.
+TIDY = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"),
+        (" 've", "'ve"), (" 're", "'re"))
 
 
 def word_encoder(vocab: Vocabulary) -> Callable[[str], list[int]]:
@@ -121,8 +124,10 @@ def _join_pieces(pieces: list[str], kind: str, to_byte: dict[str, int]) -> str:
     if kind == "bpe":
         return bytes(to_byte[c] for p in pieces for c in p).decode("utf-8", "replace")
     if kind == "wordpiece":
-        joined = "".join(p[2:] if p.startswith("##") else " " + p for p in pieces)
-        return joined[1:] if joined.startswith(" ") else joined
+        spaced = [p if i == 0 else p[2:] if p.startswith("##") else " " + p for i, p in enumerate(pieces)]
+        for mark, tidy in TIDY:
+            spaced = [p.replace(mark, tidy) for p in spaced]
+        return "".join(spaced)
     if kind == "unigram":
         joined = "".join(pieces).replace(META, " ")
         return joined[1:] if joined.startswith(" ") else joined

@@ -149,6 +149,19 @@ def running_mean(
     return run.where(keep).withColumnRenamed("_n", "n").drop("_sum", "_total")
 
 
+def running_skips(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bad: Column, every: int = 100,
+) -> DataFrame:
+    """Progress rows: at every ``every``-th row from the first, the rows ``done`` and
+    ``skipped`` before it."""
+    one = bad.cast("long")
+    run = running(
+        df.withColumn("_bad", one), order,
+        {"_s": (F.col("_bad"), "sum"), "_n": (F.lit(1).cast("long"), "sum")}, keys)
+    return run.where((F.col("_n") - 1) % every == 0).select(
+        *df.columns, (F.col("_n") - 1).alias("done"), (F.col("_s") - F.col("_bad")).alias("skipped"))
+
+
 def ema(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], val: str, a: float = 0.1,
     out: str = "ema",

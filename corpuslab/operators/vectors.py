@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType
 from corpuslab.functions.arrays import cosine, finite, keep_first, l2_normalize
 from corpuslab.operators.lookup import lookup_vectors, spread_join
 from corpuslab.operators.prefix import running
+from corpuslab.session import staged
 
 
 def mean_pool(
@@ -69,11 +70,12 @@ def pair_eval(
     """Per key: pairs, positives, average precision and the accuracy at the best threshold.
 
     Pairs with equal scores are summed before they are ranked, so the running sums
-    see distinct scores. A threshold lies between two distinct scores.
+    see distinct scores. A threshold lies between two distinct scores. The sums are
+    written once, since scoring the pairs again would cost more.
     """
     keys = list(keys)
-    cells = scored.groupBy(*keys, score).agg(
-        F.sum(F.col(gold).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_all"))
+    cells = staged(scored.groupBy(*keys, score).agg(
+        F.sum(F.col(gold).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_all")), "pairs")
     ranked = running(cells, [F.col(score).desc()], {
         "_tp": (F.col("_pos"), "sum"), "_seen": (F.col("_all"), "sum")}, keys)
     totals = cells.groupBy(*keys).agg(
@@ -101,12 +103,15 @@ def sts_eval(
 ) -> DataFrame:
     """Spearman correlation of score and gold per key, ties at their average rank.
 
-    Equal (score, gold) rows are counted before anything is shuffled by value.
+    Equal (score, gold) rows are counted before anything is shuffled by value. The rank
+    tables may be as long as the rows, so they are not copied per salt; adaptive
+    execution splits a value that many rows share.
     """
     keys = list(keys)
-    cells = scored.groupBy(*keys, score, gold).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = spread_join(cells, _ranks(cells, keys, score, "_rx"), [*keys, score], [gold])
-    ranked = spread_join(ranked, _ranks(cells, keys, gold, "_ry"), [*keys, gold], [score])
+    cells = staged(
+        scored.groupBy(*keys, score, gold).agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    ranked = spread_join(cells, _ranks(cells, keys, score, "_rx"), [*keys, score], [gold], salts=1)
+    ranked = spread_join(ranked, _ranks(cells, keys, gold, "_ry"), [*keys, gold], [score], salts=1)
     n, x, y = F.col("_n"), F.col("_rx"), F.col("_ry")
     means = ranked.groupBy(*keys).agg(
         F.sum("_n").alias("n"), (F.sum(n * x) / F.sum(n)).alias("_mx"))

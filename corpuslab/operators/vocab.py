@@ -138,9 +138,9 @@ def exact_batch(
 
 def _dealt(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
     """Spread work that is heavy for its bytes, which adaptive coalescing would pack into
-    a few tasks."""
+    a few tasks: all cores from some thousand rows on."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, rows // per_task))
+    return df.repartition(max(min(cores, rows // 1_000 + 1), rows // per_task))
 
 
 def _learn_merges(
