@@ -183,11 +183,15 @@ def _learn_merges(
         _dealt(spelled.where(F.size("syms") > 1).select("syms", "freq"), spelled.count())
         .mapInArrow(as_ids, "ids array<int>, freq bigint").checkpoint()
     )
+    cores = spark.sparkContext.defaultParallelism
     merges: list[tuple[int, int, int]] = []
     pending: list[list[tuple[int, int, int]]] = []
     while len(vocab) < size:
-        pairs = state.mapInArrow(counted(pending), "l int, r int, n bigint").groupBy("l", "r").agg(
-            F.sum("n").alias("n"))
+        # batches arrive summed; a round is short, so it shuffles to the cores there are
+        pairs = (
+            state.mapInArrow(counted(pending), "l int, r int, n bigint")
+            .repartition(cores, "l", "r").groupBy("l", "r").agg(F.sum("n").alias("n"))
+        )
         top = pairs.orderBy(F.col("n").desc(), "l", "r").limit(RANKED_PAIRS).collect()
         if not top:
             break
