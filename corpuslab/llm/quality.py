@@ -18,9 +18,15 @@ from corpuslab.llm.weak import VoteModel, fit_votes
 from corpuslab.session import staged
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_upper", "n_letters", "n_shouts", "n_distinct")
-RULES = ("v_length", "v_symbols", "v_lines", "v_repeats", "v_word_size", "v_case", "v_shouts",
-         "v_variety")
+EXTRA = ("n_lines", "n_upper", "n_letters", "n_shouts", "n_distinct", "n_function")
+RULES = ("v_length", "v_function_words", "v_letters", "v_symbols", "v_lines", "v_repeats",
+         "v_word_size", "v_case", "v_shouts", "v_variety")
+# fixed values: function words of the languages
+FUNCTION_WORDS = (
+    "the of and to in that is was it for with on be by this are as he she not but from at or an "
+    "der die das und in den von zu mit ist im auf dem nicht ein eine für als sich auch "
+    "de la le et les des en un une que est du au pour dans qui sur pas par avec "
+    "el los del las y se por con para su al lo una como más pero").split()
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,7 +67,9 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         kept_only(r"\P{Lu}+").alias("n_upper"),
         kept_only(r"\P{L}+").alias("n_letters"),
         kept_only(r"[^!?]+").alias("n_shouts"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"))
+        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        F.size(F.filter("_w", lambda x: x.isin(*FUNCTION_WORDS))).cast("long")
+        .alias("n_function"))
 
 
 def base_failed() -> Column:
@@ -70,24 +78,28 @@ def base_failed() -> Column:
 
 def votes() -> dict[str, Column]:
     """The rules over the counts of :func:`with_counts`."""
-    def rule(value: Column, bad: Column, good: Column) -> Column:
-        return F.when(value.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0)
+    def rule(value: Column, bad: Column, good: Column | None = None) -> Column:
+        vote = F.when(value.isNull(), 0).when(bad, -1)
+        return (vote if good is None else vote.when(good, 1)).otherwise(0)
 
     n, share = F.col("n_words"), lambda x: F.col(x) / F.nullif(F.col("n_words"), F.lit(0))
-    symbols, repeats, shouts = share("n_symbols"), share("n_repeat_words"), share("n_shouts")
+    function, symbols = share("n_function"), share("n_symbols")
+    repeats, shouts, size = share("n_repeat_words"), share("n_shouts"), share("word_chars")
+    letters = F.col("n_letters") / F.nullif(F.col("word_chars"), F.lit(0))
     lines = F.col("n_dup_lines") / F.nullif(F.col("n_lines"), F.lit(0))
-    size = share("word_chars")
     case = F.col("n_upper") / F.nullif(F.col("n_letters"), F.lit(0))
     variety = share("n_distinct")
     return {
         "v_length": rule(n, n < 50, n >= 100),
-        "v_symbols": rule(symbols, symbols > 0.25, symbols < 0.02),
-        "v_lines": rule(lines, lines > 0.3, (lines < 0.05) & (F.col("n_lines") > 1)),
-        "v_repeats": rule(repeats, repeats > 0.3, repeats < 0.05),
-        "v_word_size": rule(size, (size < 2.5) | (size > 13), size.between(3.5, 9)),
-        "v_case": rule(case, case > 0.4, case < 0.15),
-        "v_shouts": rule(shouts, shouts > 0.2, shouts < 0.02),
-        "v_variety": rule(variety, variety < 0.15, variety > 0.4),
+        "v_function_words": rule(function, function < 0.05, function > 0.12),
+        "v_letters": rule(letters, letters < 0.85, letters > 0.93),
+        "v_symbols": rule(symbols, symbols > 0.2),
+        "v_lines": rule(lines, lines > 0.3),
+        "v_repeats": rule(repeats, repeats > 0.3),
+        "v_word_size": rule(size, (size < 2.5) | (size > 13)),
+        "v_case": rule(case, case > 0.4),
+        "v_shouts": rule(shouts, shouts > 0.2),
+        "v_variety": rule(variety, variety < 0.15),
     }
 
 
