@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import quality, sharding
+from corpuslab.llm import packing, quality, sharding
 
-QUERIES = {f.__name__: f for f in (quality.op1_quality_votes, sharding.op10_feistel_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        quality.op1_quality_votes, packing.op3_best_fit_packing, sharding.op10_feistel_shards,
+    )
+}
 ORACLES: dict[str, str] = {}
