@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import language, packing, quality, sharding
+from corpuslab.llm import language, packing, quality, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
-        quality.op1_quality_votes, language.op2_language_crf, packing.op3_best_fit_packing, sharding.op10_feistel_shards,
+        quality.op1_quality_votes, language.op2_language_crf, packing.op3_best_fit_packing,
+        toxicity.op4_toxicity_automata, sharding.op10_feistel_shards,
     )
 }
 ORACLES: dict[str, str] = {}
