@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import language, packing, quality, sharding, similarity, toxicity
+from corpuslab.llm import language, packing, pii, quality, sharding, similarity, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         quality.op1_quality_votes, language.op2_language_crf, packing.op3_best_fit_packing,
         toxicity.op4_toxicity_automata, similarity.op5_partenum_join,
-        sharding.op10_feistel_shards,
+        pii.op6_pii_votes, sharding.op10_feistel_shards,
     )
 }
 ORACLES: dict[str, str] = {}
