@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import contamination, language, packing, pii, quality, sharding, similarity, toxicity
+from corpuslab.llm import contamination, language, lm, packing, pii, quality, sharding, similarity, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         quality.op1_quality_votes, language.op2_language_crf, packing.op3_best_fit_packing,
         toxicity.op4_toxicity_automata, similarity.op5_partenum_join,
-        pii.op6_pii_votes, contamination.op9_template_leaks, sharding.op10_feistel_shards,
+        pii.op6_pii_votes, lm.op7_bloom_lm,
+        contamination.op9_template_leaks, sharding.op10_feistel_shards,
     )
 }
 ORACLES: dict[str, str] = {}
