@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: the white space of ASCII parts words; everything else belongs to a word
@@ -25,3 +25,22 @@ def words(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def first_by_hash(rows: DataFrame, label: str, key: str, many: int) -> DataFrame:
+    """At most ``many`` rows ``(key, label)`` of each label, those first by a hash of the key.
+
+    Rows far down the order are left out before any is shuffled, so that a label with most
+    of the rows is no hot key. Labels are few; they are counted on the way.
+    """
+    place = F.xxhash64(F.col(key).cast("string"))
+    counts = rows.groupBy(label).count().collect()
+    bounds = {r[label]: -(2**63) + int(2**64 * min(1.0, (2 * many + 50) / r["count"])) - 1
+              for r in counts}
+    upper = F.lit(None).cast("long")
+    for value, bound in bounds.items():
+        upper = F.when(F.col(label) == F.lit(value), F.lit(bound)).otherwise(upper)
+    near = rows.select(key, label).withColumn("_place", place).where(F.col("_place") <= upper)
+    order = Window.partitionBy(label).orderBy("_place", key)
+    return near.withColumn("_nth", F.row_number().over(order)).where(
+        F.col("_nth") <= many).select(key, label)

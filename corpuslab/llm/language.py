@@ -25,10 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import held_out, table, words
+from corpuslab.llm.common import first_by_hash, held_out, table, words
 from corpuslab.llm.tokens import slices
 
 CHAIN, BITS, ORDERS = 256, 16, (2, 3, 4)
@@ -182,10 +182,7 @@ def sample_chains(
 ) -> tuple[list[tuple[list[str], list[int]]], list[str]]:
     """Training chains from the bounded sample; every third one joins two languages."""
     usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    first = F.row_number().over(
-        Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string")), key))
-    chosen = usable.select(key, label).withColumn("_nth", first).where(F.col("_nth") <= per_label)
-    ids = chosen.select(key).distinct()
+    ids = first_by_hash(usable, label, key, per_label).select(key).distinct()
     found = usable.join(F.broadcast(ids), key).select(key, label, words(F.col(text)).alias("w"))
     windows = [
         F.slice("w", 1 + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(i)),

@@ -23,10 +23,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import held_out, table, words
+from corpuslab.llm.common import first_by_hash, held_out, table, words
 from corpuslab.llm.tokens import slices
 
 FOLDS, PREDICTED_FROM = 3, 0.7
@@ -270,10 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, terms: int =
     """Learn lexicon and weights from a bounded sample; None without labelled texts."""
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         F.max(label).cast("int").alias("_y"))
-    order = Window.partitionBy("_y").orderBy(F.xxhash64(F.col(key).cast("string")), key)
     usable = docs.where(F.col(text).isNotNull()).select(key)
-    chosen = told.join(usable.distinct(), key).withColumn(
-        "_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class).select(key, "_y")
+    chosen = first_by_hash(told.join(usable.distinct(), key), "_y", key, per_class)
     sample = docs.select(key, F.col(text).alias("_t")).join(F.broadcast(chosen), key)
     sample = sample.select("_t", "_y").where(F.col("_t").isNotNull()).distinct().persist()
     try:
