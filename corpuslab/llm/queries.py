@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import contamination, language, lm, packing, pii, quality, sharding, similarity, toxicity
+from corpuslab.llm import contamination, extraction, language, lm, packing, pii, quality, sharding, similarity, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,7 +10,7 @@ QUERIES = {
         quality.op1_quality_votes, language.op2_language_crf, packing.op3_best_fit_packing,
         toxicity.op4_toxicity_automata, similarity.op5_partenum_join,
         pii.op6_pii_votes, lm.op7_bloom_lm,
-        contamination.op9_template_leaks, sharding.op10_feistel_shards,
+        extraction.op8_tree_extraction, contamination.op9_template_leaks, sharding.op10_feistel_shards,
     )
 }
 ORACLES: dict[str, str] = {}
