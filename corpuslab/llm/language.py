@@ -230,10 +230,10 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id",
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, keep…, lang_pred, score, n_words)`` of every row."""
-    rows = docs.select(key, *keep, text)
-    schema = f"{key} {dict(docs.dtypes)[key]}, " + "".join(
-        f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep) + (
+    """``(key, keep…, lang_pred, score, n_words)`` of every row; ``keep`` may name the text."""
+    names = list(dict.fromkeys([key, *keep]))
+    rows = docs.select(*dict.fromkeys([*names, text]))
+    schema = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in names) + (
         "lang_pred string, score double, n_words long")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -243,7 +243,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
         for batch in batches:
             for part in slices(batch, text):
                 n = part.num_rows
-                names, scores = np.full(n, "und", object), np.zeros(n)
+                found, scores = np.full(n, "und", object), np.zeros(n)
                 counts = np.zeros(n, np.int64)
                 if crf is not None:
                     marginals, lettered, bounds = label_texts(crf, part.column(text))
@@ -253,13 +253,13 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
                     counts = np.diff(np.concatenate([[0], np.cumsum(lettered)])[bounds])
                     told = counts > 0
                     best = by_text.argmax(1)
-                    names[told] = np.array(crf.labels, object)[best[told]]
+                    found[told] = np.array(crf.labels, object)[best[told]]
                     scores[told] = np.clip(
                         by_text[told, best[told]] / counts[told], 0, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in (key, *keep)]
-                    + [pa.array(names, pa.string()), pa.array(scores), pa.array(counts)],
-                    names=[key, *keep, "lang_pred", "score", "n_words"])
+                    [part.column(c) for c in names]
+                    + [pa.array(found, pa.string()), pa.array(scores), pa.array(counts)],
+                    names=[*names, "lang_pred", "score", "n_words"])
 
     return rows.mapInArrow(label, schema)
 

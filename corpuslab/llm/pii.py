@@ -177,7 +177,7 @@ def _of_kind(spans: str, kind: int) -> Column:
 
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``spans``: base spans and candidates of all kinds with their votes."""
+    """Add ``_spans``: base spans and candidates of all kinds with their votes."""
     plain = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_t", plain)
     for kind, name in enumerate(KINDS):
@@ -194,7 +194,7 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             "_base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
         out = out.withColumn(f"_c{kind}", judged(F.col("_t"), clear, kind, False))
     added = [F.col(f"_c{k}") for k, p in enumerate(WIDER) if p is not None]
-    return out.select(*docs.columns, F.concat("_base", *added).alias("spans"))
+    return out.select(*docs.columns, F.concat("_base", *added).alias("_spans"))
 
 
 def train_classifier(spans: DataFrame, target: Column, rounds: int = 30, rate: float = 2.0):
@@ -229,17 +229,19 @@ def train_classifier(spans: DataFrame, target: Column, rounds: int = 30, rate: f
     return probability
 
 
-def personal_data(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Every column but the text, and ``spans``: accepted spans by start and kind."""
-    keep = [c for c in docs.columns if c not in (text, "spans", "_t")]
-    found = staged(find_spans(docs.select(*keep, text), text).drop(text), "spans")
-    every = found.select(F.explode("spans").alias("s")).select("s.*")
+def personal_data(docs: DataFrame, text: str = "text", threshold: float = 0.5,
+                  out: str = "spans", keep_text: bool = False) -> DataFrame:
+    """Add ``out``: accepted spans by start and kind; the text is dropped unless kept."""
+    keep = [c for c in docs.columns if c not in (text, out)]
+    found = find_spans(docs.select(*keep, text), text)
+    found = staged(found if keep_text else found.drop(text), "spans")
+    every = found.select(F.explode("_spans").alias("s")).select("s.*")
     model = fit_votes(every, RULES)
     accept = train_classifier(every, model.posterior())
-    chosen = F.filter("spans", lambda e: e["base"] | (accept(e) >= threshold))
-    return found.withColumn("spans", F.sort_array(F.transform(chosen, lambda e: F.struct(
+    chosen = F.filter("_spans", lambda e: e["base"] | (accept(e) >= threshold))
+    return found.withColumn(out, F.sort_array(F.transform(chosen, lambda e: F.struct(
         e["start"].alias("start"), e["kind"].alias("kind"), e["end"].alias("end"),
-        e["base"].alias("base")))))
+        e["base"].alias("base"))))).drop("_spans")
 
 
 def written(spans: Column) -> Column:

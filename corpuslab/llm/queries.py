@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import contamination, extraction, language, lm, packing, pii, quality, sharding, similarity, toxicity
+import corpus_pipeline
+from corpuslab.llm import (
+    contamination, extraction, language, lm, packing, pii, quality, sharding, similarity, toxicity,
+)
 
 QUERIES = {
     f.__name__: f
@@ -13,4 +16,5 @@ QUERIES = {
         extraction.op8_tree_extraction, contamination.op9_template_leaks, sharding.op10_feistel_shards,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
