@@ -276,11 +276,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, terms: int =
     sample = sample.select("_t", "_y").where(F.col("_t").isNotNull()).distinct().persist()
     try:
         trie = learn_terms(sample, "_t", "_y", terms, evidence)
-        rows = with_features(sample, trie, "_t").orderBy("_y").collect()
+        rows = with_features(sample, trie, "_t").collect()
     finally:
         sample.unpersist()
     if not rows:
         return None
+    rows.sort(key=lambda r: (r["_y"], r["features"]))  # sums in one order, whatever came first
     x, y = np.array([r["features"] for r in rows]), np.array([r["_y"] for r in rows], float)
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     return Model(trie, logistic((x - center) / scale, y), center, scale)
