@@ -137,12 +137,24 @@ def numeric_accuracy_cued(spark, sf):
     return numeric_eval(rows, "cued", ["user_id"]).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query()
+@query("""
+with v as (select ch, row_number() over (order by ch) as id
+           from (select distinct ch from (select unnest(string_split(text, '')) as ch from documents)) where ch <> ''),
+s as (select string_agg(text, '' order by doc_id) as stream, sum(length(text))::bigint as n from documents),
+o as (select i as sample, ('0x' || substr(md5('1337:' || i), 1, 13))::bigint % (n - 256) as place, stream
+      from s cross join (select unnest(range(0, 2400)) as i)),
+w as (select sample, place, unnest(range(0, 257)) as p, unnest(string_split(substr(stream, (place + 1)::bigint, 257), '')) as ch from o)
+select sample, place::bigint as offset_at, md5(string_agg(v.id, ',' order by p) filter (p < 256)) as x,
+       md5(string_agg(v.id, ',' order by p) filter (p > 0)) as y
+from w join v on v.ch = w.ch group by 1, 2
+""")
 def sampled_windows(spark, sf):
     docs = documents(spark, sf)
     tokens = [r["token"] for r in char_vocab(docs).orderBy("id").collect()]
     rows = sample_windows(token_stream(encode_chars(docs, tokens)), 200 * 12, 256, 1337)
-    return rows.select("sample", "offset", F.md5(F.to_json(F.struct("x", "y"))).alias("digest"))
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda i: i.cast("string")), ","))
+    return rows.select(
+        "sample", F.col("offset").alias("offset_at"), joined("x").alias("x"), joined("y").alias("y"))
 
 
 @query("""

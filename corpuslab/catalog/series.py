@@ -93,7 +93,12 @@ def log_softmax_weights(spark, sf):
         "event_type", "event_id", F.round("logprob", 6).alias("logprob"))
 
 
-@query()
+@query("""
+with d as (select user_id, event_id, value,
+                  -ln((('0x' || substr(md5('1337:' || event_id), 1, 13))::bigint + 0.5::double) / 4503599627370496::double) / value as race
+           from events where value > 0)
+select user_id, arg_min(event_id, race) as event_id, arg_min(value, race) as value from d group by 1
+""")
 def drawn_rows(spark, sf):
     rows = events(spark, sf).select("user_id", "event_id", "value")
     return weighted_draw(rows, ["user_id"], "value", 1337, ["event_id"])

@@ -194,7 +194,24 @@ def clipped_ids(spark, sf):
         F.md5(F.array_join(keep_first(F.col("w"), 512), " ")).alias("first_words"))
 
 
-@query()
+def byte_split(text: str) -> str:
+    """The byte-level split; a mark before the last blank of a run stands for look-ahead."""
+    return (f"regexp_extract_all(regexp_replace({text}, '(\\s+)(\\s\\S)', '\\1' || chr(1) || '\\2', 'g'), "
+            "'''s|''t|''re|''ve|''m|''ll|''d| ?\\pL+| ?\\pN+| ?[^\\s\\pL\\pN\\x01]+|\\s+')")
+
+
+# the cue has three tokens, which with ten to spare leaves the question 512 - 10 - 3
+@query(f"""
+with p as (select doc_id, 'Question: ' || text || chr(10) as head, 'Answer: ' as cue from documents),
+h as (select *, {byte_split("head")} as w, len({byte_split("head || cue")}) as n from p),
+c as (select doc_id, head || cue as whole, n, len(w) as m,
+             array_to_string(w[greatest(len(w) - 498, 1):], '') || cue as cut from h),
+f as (select doc_id, case when n >= 510 and m > 499 then
+        case when contains(cut, ' ') then '...' || substr(cut, instr(cut, ' ')) else cut end
+      else whole end as prompt from c),
+k as (select doc_id, prompt, {byte_split("prompt")} as w from f)
+select doc_id, case when len(w) > 510 then array_to_string(w[:510], '') else prompt end as prompt from k
+""")
 def fitted_prompts(spark, sf):
     prompt = F.concat(F.lit("Question: "), "text", F.lit("\nAnswer: "))
     return documents(spark, sf).select("doc_id", fit_prompt(prompt, 512).alias("prompt"))
@@ -293,7 +310,10 @@ def normalised_texts(spark, sf):
         "doc_id", F.md5(normalize_text(F.col("text"), "sequence")).alias("digest"))
 
 
-@query()
+@query("""
+select doc_id, md5(lower(strip_accents(regexp_replace(regexp_replace(
+  text, '[\\t\\n\\r\\p{Zs}]', ' ', 'g'), '[\\p{Cc}\\p{Cf}]', '', 'g')))) as digest from documents
+""")
 def bert_normalised_texts(spark, sf):
     return documents(spark, sf).select(
         "doc_id", F.md5(normalize_text(F.col("text"), "bert")).alias("digest"))

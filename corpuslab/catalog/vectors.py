@@ -15,7 +15,7 @@ from corpuslab.sources.tables import table
 @query("""
 with v as (select ch, row_number() over (order by ch) as id
            from (select distinct ch from (select unnest(string_split(text, '')) as ch from documents)) where ch <> ''),
-c as (select doc_id, ch, count(*) as m from (select doc_id, unnest(string_split(left(text, 512), '')) as ch from documents)
+c as (select doc_id, ch, count(*) as m from (select doc_id, unnest(string_split(text, '')) as ch from documents)
       group by 1, 2),
 m as (select c.doc_id, i, sum(c.m * e.embedding[i]::double) / sum(c.m) as x
       from c join v on v.ch = c.ch join embeddings e on e.vec_id = v.id cross join (select unnest(range(1, 65)) as i)

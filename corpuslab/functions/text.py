@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -228,10 +228,11 @@ def fmt(value: Column, digits: int = 3, thousands: bool = False) -> Column:
 
 def _decomposed(text: Column, form: str) -> Column:
     """Unicode decomposition, which has no SQL function; texts travel in Arrow batches."""
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pc.utf8_normalize(texts, form)
 
-    return F.pandas_udf(run, StringType())(text)
+    return run(text)
 
 
 def normalize_text(text: Column, style: str = "sequence") -> Column:

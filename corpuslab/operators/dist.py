@@ -77,8 +77,14 @@ def nucleus(
 
 def uniform(seed: int, *row_id: str | Column) -> Column:
     """A repeatable number in (0, 1) per row."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *row_id), 11)
-    return (bits.cast("double") + 0.5) / F.lit(float(2**53))
+    return (drawn_bits(seed, *row_id).cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def drawn_bits(seed: int, *row_id: str | Column) -> Column:
+    """52 bits of the MD5 of seed and id, the same in every engine."""
+    text = F.concat_ws(":", F.lit(seed).cast("string"), *[
+        (F.col(c) if isinstance(c, str) else c).cast("string") for c in row_id])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def weighted_draw(

@@ -89,15 +89,29 @@ def lookup_vectors(
     """Explode token ids to ``(key, pos, token_id, vector)`` through ``table(id, vector)``
     with vectors of ``dim`` numbers.
 
+    An id that the table lacks is an error, as a mean over the others would be wrong.
+    """
+    exploded = tokens.select(key, F.posexplode(ids).alias("pos", "token_id"))
+    return with_vectors(exploded, table, dim, [key, "pos"])
+
+
+def with_vectors(
+    rows: DataFrame, table: DataFrame, dim: int, salt_by: Sequence[str],
+) -> DataFrame:
+    """Add ``vector`` of ``token_id``; fails on an id that ``table(id, vector)`` lacks.
+
     A table whose counted rows pass the broadcast bound in bytes is joined with salted
     keys, since frequent tokens are hot keys by nature.
     """
-    exploded = tokens.select(key, F.posexplode(ids).alias("pos", "token_id"))
-    vectors = table.select(F.col("id").alias("token_id"), "vector")
+    vectors = table.select(F.col("id").alias("token_id"), "vector", F.lit(True).alias("_known"))
     fitting = BROADCAST_BYTES // (8 * dim)
     if vectors.limit(fitting + 1).count() <= fitting:
-        return exploded.join(F.broadcast(vectors), "token_id")
-    return spread_join(exploded, vectors, ["token_id"], [key, "pos"])
+        found = rows.join(F.broadcast(vectors), "token_id", "left")
+    else:
+        found = spread_join(rows, vectors, ["token_id"], salt_by, "left")
+    known = F.coalesce("_known", F.raise_error(F.concat(
+        F.lit("no vector for token id "), F.col("token_id").cast("string"))).cast("boolean"))
+    return found.where(known).drop("_known")
 
 
 def join_gold(pred: DataFrame, gold: DataFrame, key: Sequence[str] | str) -> DataFrame:
@@ -118,12 +132,14 @@ def dense_grid(
 ) -> DataFrame:
     """Every row label against every column label; a missing cell is NULL (or NaN).
 
-    ``df`` holds one value per cell. The column axis is checked to be small and laid
+    ``df`` holds one value per cell; a cell without a column label has no place in the grid,
+    though its row has. The column axis is checked to be small and laid
     out by ``explode`` of a literal, one shuffle on the row label, no cross join.
     """
     labels = axis(df, column)
     cells = df.groupBy(row).agg(
-        F.map_from_entries(F.collect_list(F.struct(column, value))).alias("_cells")
+        F.map_from_entries(F.collect_list(
+            F.when(F.col(column).isNotNull(), F.struct(column, value)))).alias("_cells")
     )
     out = cells.select(
         row, F.explode(F.array(*[F.lit(v) for v in labels])).alias(column), "_cells"

@@ -168,36 +168,66 @@ def ema(
 ) -> DataFrame:
     """``(1-a)*previous + a*x`` per key, seeded with the first value.
 
-    Unrolled, a value ``d`` rows back weighs ``(1-a)**d``, which passes below half an
-    ulp (2**-60) after ``span`` rows. Rows are numbered per key and cut into chunks of
-    ``span``; a row then depends on its own chunk and the one before, so a long series
-    is spread over tasks and equals the recursion to double precision.
+    A row is the affine map ``y -> (1-a)*y + w``; maps compose, so a long series is cut into
+    chunks whose carries are a shorter series of the same kind (:func:`recurrence`).
     """
-    keep = 1.0 - a
-    span = max(1, math.ceil(60 * math.log(2) / -math.log(keep)))
-    if span > 1_000_000:
-        raise ValueError(f"a={a} needs chunks of {span} rows")
     keys = list(keys)
     numbered = running(df, order, {"_n": (F.lit(1).cast("long"), "sum")}, keys)
-    placed = (
-        numbered.withColumn("_chunk", F.expr(f"(_n - 1) div {span}"))
-        .withColumn("_i", ((F.col("_n") - 1) % span + 1).cast("double"))
-        .withColumn("_w", F.when(F.col("_n") == 1, F.col(val).cast("double"))
-                    .otherwise(F.col(val).cast("double") * a))
-    )
-    ends = placed.groupBy(*keys, (F.col("_chunk") + 1).alias("_chunk")).agg(
-        F.sum(F.col("_w") * F.pow(F.lit(keep), F.lit(float(span)) - F.col("_i"))).alias("_start")
-    )
-    within = (
-        Window.partitionBy(*keys, "_chunk").orderBy("_i")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    scaled = F.sum(F.col("_w") * F.pow(F.lit(keep), -F.col("_i"))).over(within)
-    return (
-        placed.join(ends, [*keys, "_chunk"], "left")
-        .withColumn(out, (scaled + F.coalesce("_start", F.lit(0.0))) * F.pow(F.lit(keep), F.col("_i")))
-        .select(*df.columns, out)
-    )
+    weighed = numbered.withColumn("_n", F.col("_n") - 1).withColumn(
+        "_w", F.when(F.col("_n") == 0, F.col(val).cast("double")).otherwise(
+            F.col(val).cast("double") * a))
+    return recurrence(weighed, keys, 1.0 - a).select(
+        *df.columns, F.col("_y").alias(out))
+
+
+LONGEST_CHUNK = 100_000
+
+
+def recurrence(df: DataFrame, keys: Sequence[str], keep: float) -> DataFrame:
+    """Add ``_y``: ``_y[n] = keep * _y[n - 1] + _w[n]`` per key, from ``_n`` = 0 on.
+
+    A chunk is as long as ``keep`` stays far above the smallest doubles. Within it, weights
+    are scaled down to its first row and summed. The last value of a chunk depends on the
+    one before by the same recurrence, with ``keep`` to the power of the length, so the carries
+    are found by this function; each level is shorter by the length of a chunk.
+    """
+    keys = list(keys)
+    if keep <= 0.0:
+        return df.withColumn("_y", F.col("_w"))
+    far = -math.log(keep) if keep < 1.0 else 0.0
+    if keep < 1e-30:  # a value fades below the smallest double within a few rows
+        reach = int(650 * math.log(10) / far) + 1
+        sent = df.select(*keys, "_n", F.explode(F.array(*[
+            F.struct((F.col("_n") + d).alias("_at"), (F.col("_w") * keep**d).alias("_v"))
+            for d in range(reach + 1)])).alias("_s"))
+        sums = sent.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_s._at").alias(
+            "_at")).agg(F.sum("_s._v").alias("_y"))
+        match = F.col("_n") == F.col("_at")
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        return df.join(sums, match).select(*df.columns, "_y")
+    span = min(LONGEST_CHUNK, max(2, int(60 * math.log(10) / far))) if far else LONGEST_CHUNK
+    placed = df.withColumn("_chunk", F.expr(f"_n div {span}")).withColumn(
+        "_i", (F.col("_n") % span).cast("double"))
+    within = Window.partitionBy(*keys, "_chunk").orderBy("_i").rowsBetween(
+        Window.unboundedPreceding, 0)
+    power = lambda n: F.pow(F.lit(keep), n)
+    scaled = F.sum(F.col("_w") * power(F.lit(float(span)) - F.col("_i"))).over(within)
+    local = placed.withColumn("_y", scaled * power(F.col("_i") - F.lit(float(span))))
+    if (df.agg(F.max("_n")).first()[0] or 0) < span:
+        return local.drop("_chunk", "_i")
+    ends = placed.groupBy(*keys, "_chunk").agg(
+        F.sum(F.col("_w") * power(F.lit(float(span - 1)) - F.col("_i"))).alias("_w"))
+    carries = recurrence(
+        ends.withColumnRenamed("_chunk", "_n"), keys, keep**span).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_n") + 1).alias("_after"),
+        F.col("_y").alias("_carry"))
+    match = F.col("_chunk") == F.col("_after")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return local.join(carries, match, "left").withColumn(
+        "_y", F.col("_y") + F.coalesce("_carry", F.lit(0.0)) * power(F.col("_i") + 1)
+    ).select(*df.columns, "_y")
 
 
 def running_best(

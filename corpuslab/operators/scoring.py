@@ -138,10 +138,8 @@ def mcq_requests(
     style: str = "en",
 ) -> DataFrame:
     """``(item, idx, context, continuation)`` texts for the letters of each item's choices."""
-    letters = labels(F.col(choices), 4 if style == "en" else None)
-    asked = F.when(F.size(choices) <= 4, F.col(choices)).otherwise(
-        F.slice(choices, 1, 4)) if style == "en" else F.col(choices)
-    cued = mcq_prompt(F.col(question), asked, style)
+    letters = labels(F.col(choices), None)
+    cued = mcq_prompt(F.col(question), F.col(choices), style)
     context = cued if style == "full" else F.concat(cued, F.lit(" "))
     return items.select(
         F.col(item).alias("item"), context.alias("context"), F.posexplode(letters).alias("idx", "continuation"))

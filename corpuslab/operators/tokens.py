@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.arrays import xy_pair
+from corpuslab.operators.dist import drawn_bits
+from corpuslab.operators.lookup import small
 from corpuslab.operators.prefix import running
 from corpuslab.session import staged
 
@@ -58,16 +60,22 @@ def split_tokens(
         F.size("tokens") > 0)
 
 
-def blocks_of(stream: DataFrame, size: int, start: str = "start", ids: str = "tokens") -> DataFrame:
+def blocks_of(
+    stream: DataFrame, size: int, start: str = "start", ids: str = "tokens",
+    only: DataFrame | None = None,
+) -> DataFrame:
     """Re-cut a token stream into ``(block, lo, cell)``: positions ``lo`` on, in blocks of
     ``size`` positions, whatever the documents' lengths. A block holds at most ``size``
-    tokens, so its collected pieces are bounded."""
+    tokens, so its collected pieces are bounded. With ``only(block)`` the other blocks are
+    left out before anything is shuffled or collected."""
     first = F.expr(f"{start} div {size}")
     last = F.expr(f"({start} + size({ids}) - 1) div {size}")
+    parts = stream.where(F.size(ids) > 0).select(
+        start, ids, F.explode(F.sequence(first, last)).alias("block"))
+    if only is not None:
+        parts = parts.join(only, "block", "left_semi")
     return (
-        stream.where(F.size(ids) > 0)
-        .select(start, ids, F.explode(F.sequence(first, last)).alias("block"))
-        .withColumn("lo", F.greatest(F.col(start), F.col("block") * size))
+        parts.withColumn("lo", F.greatest(F.col(start), F.col("block") * size))
         .select(
             "block", "lo",
             F.slice(ids, (F.col("lo") - F.col(start) + 1).cast("int"), F.least(
@@ -91,11 +99,11 @@ def windows_at(
     once are looked up once, so a block meets at most its own size of windows.
     """
     size = max(length, 1024)
-    cells = blocks_of(stream, size, start, ids)
     wanted = offsets.select(F.col(offset).alias("_at")).distinct().withColumn(
         "block",
         F.explode(F.sequence(F.expr(f"_at div {size}"), F.expr(f"(_at + {length - 1}) div {size}"))),
     )
+    cells = blocks_of(stream, size, start, ids, only=small(wanted.select("block").distinct()))
     skip = F.greatest(F.col("_at") - F.col("lo"), F.lit(0))
     end = F.least(F.col("_at") + length - F.col("lo"), F.size("cell").cast("long"))
     found = (
@@ -119,7 +127,7 @@ def sample_offsets(spark, n: int, total: int, length: int, seed: int) -> DataFra
         raise ValueError("the stream must be longer than a window")
     return spark.range(n).select(
         F.col("id").alias("sample"),
-        F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total - length)).alias("offset"),
+        (drawn_bits(seed, "id") % F.lit(total - length)).alias("offset"),
     )
 
 

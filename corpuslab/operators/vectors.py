@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from corpuslab.functions.arrays import cosine, finite, keep_first, l2_normalize
-from corpuslab.operators.lookup import lookup_vectors, spread_join
+from corpuslab.operators.lookup import spread_join, with_vectors
 from corpuslab.operators.prefix import running
 from corpuslab.session import staged
 
@@ -45,16 +45,22 @@ def mean_pool(
 
 def embed(
     encoded: DataFrame, table: DataFrame, dim: int, key: str = "doc_id", ids: str = "tokens",
-    max_length: int = 512,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """Document vectors from token ids: clip, look up, pool, normalise, clean.
+    """Document vectors from token ids: clip if asked, look up, pool, normalise, clean.
 
-    A document without tokens gets the zero vector.
+    The tokens of a document are counted before they meet their vectors, which are then summed
+    with the counts as weights. A document without tokens gets the zero vector.
     """
-    clipped = encoded.select(key, keep_first(F.col(ids), max_length).alias(ids))
+    tokens = F.col(ids) if max_length is None else keep_first(F.col(ids), max_length)
+    clipped = encoded.select(key, tokens.alias(ids))
     # converted once per vocabulary entry, not once per token
     dense = table.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
-    pooled = mean_pool(lookup_vectors(clipped, dense, dim, key, ids), [key], "vector", dim)
+    counted = clipped.select(key, F.explode(ids).alias("token_id")).groupBy(key, "token_id").agg(
+        F.count(F.lit(1)).cast("double").alias("_n"))
+    pooled = with_vectors(counted, dense, dim, [key]).groupBy(key).agg(
+        Summarizer.sum(F.col("vector"), F.col("_n")).alias("_s"), F.sum("_n").alias("_n")).select(
+        key, F.transform(vector_to_array("_s"), lambda s: s / F.col("_n")).alias("vector"))
     whole = clipped.select(key).join(pooled, key, "left").withColumn(
         "vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)))
     return whole.select(key, finite(l2_normalize(F.col("vector"))).alias("vector"))

@@ -32,11 +32,6 @@ EMBEDDING_MODELS = (
     ("cohere-v3", "Cohere/embed-multilingual-v3.0"),
     ("jina-v3", "jinaai/jina-embeddings-v3"), ("kalm", "kaist-nlp-lab/kalm-embedding-base"),
 )
-# The locales of the multilingual benchmark.
-LOCALES = (
-    "AR_XY", "BN_BD", "DE_DE", "ES_LA", "FR_FR", "HI_IN", "ID_ID", "IT_IT", "JA_JP", "KO_KR",
-    "PT_BR", "SW_KE", "YO_NG", "ZH_CN",
-)
 
 
 def families(spark) -> DataFrame:
@@ -66,18 +61,25 @@ def family_table(summaries: DataFrame) -> DataFrame:
     return dense_grid(scores, "model", "family", "score")
 
 
-def language_table(summaries: DataFrame) -> DataFrame:
-    """The language chart as a table, from the first printed entry of each run."""
-    first = summaries.select("model", F.try_element_at("results_list", F.lit(1)).alias("entry"))
-    return dense_grid(language_scores(parse_scores(first, "entry", "literal")), "model", "lang", "score")
+def _printed(summaries: DataFrame, first_only: bool) -> DataFrame:
+    """``(model, task, entry)`` of printed results; published charts read the first of a run."""
+    listed = F.slice("results_list", 1, 1) if first_only else F.col("results_list")
+    return summaries.select("model", F.posexplode(listed).alias("task", "entry"))
+
+
+def language_table(summaries: DataFrame, first_only: bool = False) -> DataFrame:
+    """The language chart as a table, over all printed entries of each run."""
+    scores = parse_scores(_printed(summaries, first_only), "entry", "literal")
+    return dense_grid(language_scores(scores), "model", "lang", "score")
 
 
-def model_scores(summaries: DataFrame) -> DataFrame:
+def model_scores(summaries: DataFrame, first_only: bool = False) -> DataFrame:
     """One model's score per language in language order, the last entry winning."""
-    first = summaries.select("model", F.try_element_at("results_list", F.lit(1)).alias("entry"))
     rows = summaries.where(F.col("results_rows").isNotNull()).select(
         "model", F.posexplode("results_rows").alias("pos", "e")).select(
-        "model", "pos", F.try_element_at("e.languages", F.lit(1)).alias("lang"),
-        F.col("e.main_score").alias("score"))
-    both = parse_scores(first, "entry", "regex").unionByName(rows)
-    return last_per_key(both, ["model", "lang"], F.col("pos"), "score").orderBy("model", "lang")
+        "model", F.lit(0).alias("task"), "pos",
+        F.try_element_at("e.languages", F.lit(1)).alias("lang"), F.col("e.main_score").alias("score"))
+    both = parse_scores(_printed(summaries, first_only), "entry", "regex").select(
+        "model", "task", "pos", "lang", "score").unionByName(rows)
+    return last_per_key(
+        both, ["model", "lang"], F.struct("task", "pos"), "score").orderBy("model", "lang")

@@ -34,11 +34,15 @@ CARD = ", ".join(f"{f} {CARD_TYPES.get(f, 'string')}" for f in CARD_FIELDS)
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One document per file; the option also reads line-delimited files of one line."""
-    return (
-        spark.read.schema(schema).option("multiLine", True).json(path)
-        .withColumn("path", F.input_file_name())
-    )
+    """Every document of every file, be it one spread over lines or one to a line.
+
+    A document that ends before a line on which another begins has no comma between them, which
+    cannot happen inside one document, so that is where a file is cut.
+    """
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    parts = files.select("path", F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value"))
+    return parts.where(F.trim("value") != "").select(
+        "path", F.from_json("value", schema).alias("document")).select("path", "document.*")
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:

@@ -137,3 +137,27 @@ def test_weighted_draw_follows_the_weights(spark):
     assert set(share) == {"a", "b"} and abs(share["a"] - 0.7) < 0.03
     again = weighted_draw(df.repartition(7), ["g"], "weight", 7, ["g", "token"])
     assert drawn.exceptAll(again).count() == 0
+
+
+@pytest.mark.parametrize("a", [0.1, 1e-5, 0.9, 1.0])
+def test_ema_keeps_a_large_head(spark, a):
+    rows = [("k", i, 1e40 if i == 0 else 0.0) for i in range(1500)] + [(None, i, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, it int, x double")
+    got = {(r.k, r.it): r.ema for r in M.ema(df, ["k"], ["it"], "x", a).collect()}
+    assert len(got) == len(rows)
+    for i in (0, 1, 790, 800, 1499):
+        want = 1e40 * (1.0 - a) ** i
+        assert got["k", i] == pytest.approx(want, rel=1e-9, abs=1e-300)
+    assert got[None, 2] == pytest.approx(1.0)
+
+
+def test_recurrence_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(M, "LONGEST_CHUNK", 7)
+    rng = random.Random(5)
+    xs = [rng.uniform(-5, 5) for _ in range(400)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "it int, x double")
+    got = {r.it: r.ema for r in M.ema(df, [], ["it"], "x", 0.001).collect()}
+    y = xs[0]
+    for i, x in enumerate(xs):
+        y = y if i == 0 else 0.999 * y + 0.001 * x
+        assert got[i] == pytest.approx(y, rel=1e-9)

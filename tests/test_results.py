@@ -1,3 +1,4 @@
+import pytest
 import json
 import math
 import os
@@ -159,3 +160,32 @@ def test_rank_correlation(spark):
     assert got.n == 400 and math.isclose(got.spearman, want, rel_tol=1e-9)
     flat = df.withColumn("gold", F.lit(1.0))
     assert sts_eval(flat, ["k"]).first().spearman is None
+
+
+def test_two_runs_of_a_model_are_two_summaries(spark, tmp_path):
+    from corpuslab.sources.reports import read_summaries, write_summary
+
+    rows = spark.createDataFrame(
+        [("a/m", 1.0, ["x"]), ("a/m", 2.0, ["y"]), ("b/n", 3.0, ["z"])],
+        "model string, elapsed_sec double, results array<string>")
+    write_summary(rows.coalesce(1), str(tmp_path / "s"))
+    got = read_summaries(spark, f"{tmp_path}/s/*/*.json")
+    assert sorted((r.model, r.elapsed_sec) for r in got.collect()) == [("a/m", 1.0), ("a/m", 2.0), ("b/n", 3.0)]
+
+
+def test_grid_with_a_missing_label(spark):
+    from corpuslab.operators.lookup import dense_grid
+
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", None, 2.0), ("b", None, 3.0)], "r string, c string, v double")
+    assert sorted(map(tuple, dense_grid(df, "r", "c", "v").collect())) == [("a", "x", 1.0), ("b", "x", None)]
+
+
+def test_a_token_without_a_vector_fails(spark):
+    from pyspark.errors import PySparkException
+
+    from corpuslab.operators.lookup import lookup_vectors
+
+    tokens = spark.createDataFrame([(0, [1, 2])], "doc_id int, tokens array<int>")
+    table = spark.createDataFrame([(1, [0.5])], "id int, vector array<double>")
+    with pytest.raises(PySparkException, match="no vector for token id 2"):
+        lookup_vectors(tokens, table, 1).collect()

@@ -73,7 +73,7 @@ def test_any_scorer_fits(spark):
 def test_requests(spark):
     items = spark.createDataFrame([(1, "q", list("vwxyz")), (2, "q", [])], "item int, question string, choices array<string>")
     en = {(r.item, r.idx): (r.context, r.continuation) for r in mcq_requests(items).collect()}
-    assert en[1, 3] == ("q\nA. v\nB. w\nC. x\nD. y\nAnswer: ", "D") and len(en) == 4
+    assert en[1, 3] == ("q\nA. v\nB. w\nC. x\nD. y\nE. z\nAnswer: ", "D") and len(en) == 5
     tr = mcq_requests(items, style="tr").collect()
     assert len(tr) == 5 and tr[0].context.endswith("\nE. z\nCevap: ")
 
