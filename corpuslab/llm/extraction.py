@@ -81,7 +81,7 @@ NAME_PRIOR = {
     for word in group.split()
 }
 TEXT_PRIOR = {
-    "few": -1.0, "some": 0.0, "many": 1.5, "sentence": 0.7, "linked": -3.0, "rights": -1.0,
+    "few": -0.5, "some": 0.0, "many": 1.5, "sentence": 0.7, "linked": -3.0, "rights": -1.0,
     "text": 0.0, "node": 0.0, "within": -8.0,  # within an element named as something else
 }
 LABELLED = ("tag:article", "tag:main", "name:articlebody")
@@ -103,7 +103,7 @@ def prior() -> Model:
     for names, kind in ((TAG_PRIOR, "tag:"), (NAME_PRIOR, "name:"), (TEXT_PRIOR, "")):
         for name, weight in names.items():
             unary[FEATURES[kind + name]] = weight
-    return Model(unary, np.array([[1.5, -6.0], [0.0, 0.6]]))
+    return Model(unary, np.array([[0.2, -5.0], [0.0, 0.8]]))
 
 
 class Page:

@@ -230,8 +230,11 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id",
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, keep…, lang_pred, score, n_words)`` of every row; ``keep`` may name the text."""
-    names = list(dict.fromkeys([key, *keep]))
+    """``(key, keep…, lang_pred, score, n_words)`` of every row; ``keep`` may name the text.
+
+    A column to keep that has the name of a result gives way to it.
+    """
+    names = [c for c in dict.fromkeys([key, *keep]) if c not in ("lang_pred", "score", "n_words")]
     rows = docs.select(*dict.fromkeys([*names, text]))
     schema = "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in names) + (
         "lang_pred string, score double, n_words long")

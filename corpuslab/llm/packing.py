@@ -140,7 +140,11 @@ def ranked(items: DataFrame, size: str, ids: list[str]) -> DataFrame:
 
 def pack(items: DataFrame, capacity: int = CAPACITY, size: str = "length",
          ids: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows of a ``size`` between 1 and ``capacity``."""
+    """Add ``sequence_id`` and ``offset`` to rows of a ``size`` between 1 and ``capacity``.
+
+    Columns of these names that ``items`` has already are replaced.
+    """
+    items = items.drop("sequence_id", "offset")
     spark = items.sparkSession
     counts = {r[size]: r["n"] for r in
               items.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()}

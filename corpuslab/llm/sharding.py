@@ -78,7 +78,9 @@ def shard(
     """Add ``row`` (global number in ``order``), ``shard`` and ``slot``.
 
     Counts of the shards differ by one at most, and slots of a shard are gapless from 0.
+    Columns of these three names that ``rows`` has already are replaced.
     """
+    rows = rows.drop("row", "shard", "slot")
     numbered = running(rows, list(order), {"row": (F.lit(1), "sum")})
     place = shuffled_places(F.col("row") - 1, rows.count(), key)
     return (

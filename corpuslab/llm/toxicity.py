@@ -288,7 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, terms: int =
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Replace the text by ``score`` and ``predicted``."""
+    """Replace the text by ``score`` and ``predicted``, and columns of these names as well."""
+    docs = docs.drop("score", "predicted", "features")
     if model is None:
         rest = docs.drop(text)
         return rest.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
