@@ -15,8 +15,15 @@ from corpuslab.plans.corpus_plan import token_shards
 CHARS = """
 select distinct ch from (select unnest(string_split(text, '')) as ch from documents) where ch <> ''
 """
-# few enough merges for a trial run, over every text
-TRIAL = {"bpe": 220, "wordpiece": 220, "unigram": 8000}
+_LEARNED: dict[tuple, Vocabulary] = {}
+
+
+def learned(spark, sf, train) -> Vocabulary:
+    """A vocabulary at the operator's own size, learned once per session and corpus."""
+    key = (spark.sparkContext.applicationId, sf, train.__name__)
+    if key not in _LEARNED:
+        _LEARNED[key] = train(documents(spark, sf))
+    return _LEARNED[key]
 
 
 @query(f"""
@@ -61,44 +68,44 @@ def vocabulary_size(spark, sf):
 
 @query()
 def bpe_merges(spark, sf):
-    return train_bpe(documents(spark, sf), size=TRIAL["bpe"]).merge_table(spark)
+    return learned(spark, sf, train_bpe).merge_table(spark)
 
 
 @query("select doc_id, md5(text) as digest from documents")
 def bpe_decoded(spark, sf):
     """Learn, encode, decode: byte-level text comes back whole."""
     docs = documents(spark, sf)
-    vocab = train_bpe(docs, size=150)
+    vocab = learned(spark, sf, train_bpe)
     return decode_corpus(encode_corpus(docs, vocab), vocab).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query()
 def bpe_token_shards(spark, sf):
     docs = documents(spark, sf)
-    shards = token_shards(docs, train_bpe(docs, size=150))
+    shards = token_shards(docs, learned(spark, sf, train_bpe))
     return shards.groupBy("split").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"))
 
 
 @query()
 def wordpiece_merges(spark, sf):
-    return train_wordpiece(documents(spark, sf), size=TRIAL["wordpiece"]).merge_table(spark)
+    return learned(spark, sf, train_wordpiece).merge_table(spark)
 
 
 @query()
 def wordpiece_encoded(spark, sf):
     docs = documents(spark, sf)
-    ids = encode_corpus(docs, train_wordpiece(docs, size=180))
+    ids = encode_corpus(docs, learned(spark, sf, train_wordpiece))
     return ids.select("doc_id", F.size("tokens").alias("n"))
 
 
 @query()
 def unigram_pieces(spark, sf):
-    return train_unigram(documents(spark, sf), size=TRIAL["unigram"], seeds=16_000).piece_table(spark)
+    return learned(spark, sf, train_unigram).piece_table(spark)
 
 
 @query()
 def unigram_encoded(spark, sf):
     docs = documents(spark, sf)
-    ids = encode_corpus(docs, train_unigram(docs, size=TRIAL["unigram"], seeds=16_000))
+    ids = encode_corpus(docs, learned(spark, sf, train_unigram))
     return ids.select("doc_id", F.size("tokens").alias("n"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -184,3 +187,68 @@ def longest_match(word: str, ids: dict[str, int], unknown: int, limit: int = 100
         else:
             return [unknown]
     return out
+
+
+def merge_in_place(
+    lists: pa.ListArray, freqs: np.ndarray, name: Callable[[int, int], int], go_on: Callable[[], bool],
+) -> list[tuple[int, int, int]]:
+    """Merge the most frequent pair, ties to the smaller ids, for as long as ``go_on`` says.
+
+    For words that fit into one place. Symbols are a linked list and each pair knows its
+    places, so a merge touches its own occurrences only; all merges together touch no
+    more places than there are symbols.
+    """
+    sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+    ids = np.asarray(lists.flatten()).tolist()
+    weight = np.repeat(np.asarray(freqs), sizes).tolist()
+    ends = np.cumsum(sizes)
+    after = np.arange(1, len(ids) + 1)
+    after[ends - 1] = -1
+    before = np.arange(-1, len(ids) - 1)
+    before[ends - sizes] = -1
+    after, before = after.tolist(), before.tolist()
+    counts: dict[tuple[int, int], int] = defaultdict(int)
+    places: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for at, right in enumerate(after):
+        if right >= 0:
+            pair = (ids[at], ids[right])
+            counts[pair] += weight[at]
+            places[pair].append(at)
+    ranked = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(ranked)
+    merges = []
+    while ranked and go_on():
+        count, left, right = heapq.heappop(ranked)
+        now = counts.get((left, right), 0)
+        if now != -count:
+            if now > 0:
+                heapq.heappush(ranked, (-now, left, right))
+            continue
+        if now <= 0:
+            continue
+        new = name(left, right)
+        merges.append((left, right, new))
+        grown = set()
+        for at in sorted(places.pop((left, right))):
+            other = after[at]
+            if ids[at] != left or other < 0 or ids[other] != right:
+                continue
+            n, last, nxt = weight[at], before[at], after[other]
+            counts[left, right] -= n
+            ids[at], ids[other], after[at] = new, -1, nxt
+            if last >= 0:
+                counts[ids[last], left] -= n
+                pair = (ids[last], new)
+                counts[pair] += n
+                places[pair].append(last)
+                grown.add(pair)
+            if nxt >= 0:
+                before[nxt] = at
+                counts[right, ids[nxt]] -= n
+                pair = (new, ids[nxt])
+                counts[pair] += n
+                places[pair].append(at)
+                grown.add(pair)
+        for pair in grown:
+            heapq.heappush(ranked, (-counts[pair], *pair))
+    return merges

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corpuslab.operators.corpus import charset
 from corpuslab.operators.pretokens import assign_ids, prepared, pretoken_counts
 from corpuslab.operators.subwords import (
-    best_split, count_pairs, expected_pieces, merge_rows, prefixes,
+    best_split, count_pairs, expected_pieces, merge_in_place, merge_rows, prefixes,
 )
 from corpuslab.session import fixed_table, shared_dir
 
@@ -33,6 +33,8 @@ SPECIALS = {
 END_NAMES = (END_OF_TEXT, "<eos>", "</s>")
 MAX_SYMBOLS = 1_200_000
 RANKED_PAIRS = 512
+#: words of no more symbols than this (16 MB of ids) are merged in one place, without rounds
+HELD_SYMBOLS = 4_000_000
 
 
 @dataclass
@@ -151,7 +153,9 @@ def _learn_merges(
 
     A word is its array of symbol ids. Each round is one aggregation: tasks apply the
     merges since the last checkpoint to their words and count pairs, sums collapse on
-    the map side, the best pairs reach the driver. Ties go to the smaller ids.
+    the map side, the best pairs reach the driver. Ties go to the smaller ids. Distinct
+    words of at most ``HELD_SYMBOLS`` symbols are merged in one place instead, with the same
+    result and without a job for every few merges.
     """
     spark = words.sparkSession
     shared_dir(spark)
@@ -183,6 +187,21 @@ def _learn_merges(
         _dealt(spelled.where(F.size("syms") > 1).select("syms", "freq"), spelled.count())
         .mapInArrow(as_ids, "ids array<int>, freq bigint").checkpoint()
     )
+    symbols = spelled.agg(F.sum(F.size("syms"))).first()[0] or 0
+    if symbols <= HELD_SYMBOLS:
+        def name(left: int, right: int) -> int:
+            token = glue(vocab[left], vocab[right])
+            if token not in index:
+                index[token] = len(vocab)
+                vocab.append(token)
+            return index[token]
+
+        held = state.toArrow().combine_chunks()
+        if not held.num_rows:
+            return vocab, []
+        return vocab, merge_in_place(
+            held.column("ids").chunk(0), held.column("freq").to_numpy(), name,
+            lambda: len(vocab) < size)
     cores = spark.sparkContext.defaultParallelism
     merges: list[tuple[int, int, int]] = []
     pending: list[list[tuple[int, int, int]]] = []

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.operators import vocab as V
 from corpuslab.operators.encode import decode_corpus, encode_corpus, word_encoder
 from corpuslab.operators.pretokens import pretoken_counts, pretokens
 from corpuslab.operators.vocab import (
@@ -18,6 +19,13 @@ TEXTS = [
 ]
 
 
+@pytest.fixture(params=["held", "rounds"])
+def route(request, monkeypatch):
+    """Both ways of merging: in one place, and in rounds of jobs."""
+    if request.param == "rounds":
+        monkeypatch.setattr(V, "HELD_SYMBOLS", 0)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").repartition(3).cache()
@@ -67,14 +75,14 @@ def test_byte_level_split(spark, corpus):
 
 
 @pytest.mark.parametrize("size", [90, 400])
-def test_bpe_equals_one_merge_at_a_time(corpus, size):
+def test_bpe_equals_one_merge_at_a_time(corpus, size, route):
     vocab = train_bpe(corpus, size=size)
     tokens, merges = learn_by_hand(byte_words(TEXTS), SPECIALS["bpe"], size, lambda a, b: a + b)
     assert vocab.merges == merges
     assert vocab.tokens == tokens
 
 
-def test_bpe_on_random_words(spark):
+def test_bpe_on_random_words(spark, route):
     rng = random.Random(11)
     texts = ["".join(rng.choice("aaabbc d") for _ in range(60)) for _ in range(80)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -127,7 +135,7 @@ def test_char_vocabulary(spark, corpus):
     assert eos_id(named).first()[0] == 2
 
 
-def test_wordpiece(corpus):
+def test_wordpiece(corpus, route):
     vocab = train_wordpiece(corpus, size=110)
     import unicodedata
     def norm(t):
