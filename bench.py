@@ -18,7 +18,8 @@ HEADLINE = (
     "ending_accuracy", "numeric_accuracy_cued", "accuracy_by_language", "language_sweep",
     "running_means", "smoothed_series", "nucleus_filter", "softmax_weights",
     "top_values_with_ties", "best_choice", "document_vectors", "pair_evaluation",
-    "similarity_correlation", "family_chart",
+    "similarity_correlation", "family_chart", "bpe_merges", "wordpiece_merges",
+    "bpe_token_shards", "wordpiece_encoded", "sampled_loss",
 )
 
 

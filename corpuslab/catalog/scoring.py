@@ -14,9 +14,10 @@ from corpuslab.operators.scoring import (
     BigramScorer, evaluate_choices, expand_choices, numeric_eval, score_continuations,
     score_labels, sweep,
 )
-from corpuslab.operators.tokens import sample_windows, token_stream
+from corpuslab.operators.tokens import sample_windows, split_tokens, token_stream
 from corpuslab.operators.vocab import char_vocab
 from corpuslab.plans.choice_plan import evaluate_mcq, loose_items
+from corpuslab.plans.loss_plan import evaluate_loss
 
 SPLIT = "regexp_extract_all({}, '[^ \\t\\n\\r\\f\\v]+')"
 BIGRAMS = f"""
@@ -168,3 +169,33 @@ def language_sweep(spark, sf):
     out = sweep(rows.withColumnsRenamed({"source": "model", "lang": "language"}), "pred", "quality", seconds="seconds")
     return out.withColumn("accuracy", F.round("accuracy", 9)).withColumn(
         "elapsed_time", F.round("elapsed_time", 6))
+
+
+@query("""
+with c as (select doc_id, string_split(text, '') as w from documents),
+pairs as (select w[i] as prev, w[i + 1] as tok, count(*) as n
+          from (select w, unnest(range(1, len(w))) as i from c) group by 1, 2),
+heads as (select prev, sum(n) as n from pairs group by 1),
+vocab as (select count(distinct ch) as size from (select unnest(w) as ch from c) where ch <> ''),
+s as (select string_agg(text, '' order by doc_id) as stream, sum(length(text))::bigint as n,
+             floor(sum(length(text)) * 0.9::double)::bigint as cut from documents),
+p as (select 'train' as split, 0::bigint as low, cut as n, stream from s
+      union all select 'val', cut, n - cut, stream from s),
+t as (select split, i as sample, string_split(substr(stream, (low + ('0x' || substr(md5('1337:' || i), 1, 13))::bigint % (n - 64) + 1)::bigint, 65), '') as w
+      from p cross join (select unnest(range(0, 200)) as i)),
+steps as (select split, sample, w[j] as prev, w[j + 1] as tok
+          from (select *, unnest(range(1, 65)) as j from t)),
+losses as (select s.split, s.sample, -sum(ln((coalesce(a.n, 0) + 1) / (coalesce(h.n, 0) + v.size)::double)) / 64 as loss
+           from steps s cross join vocab v left join pairs a on a.prev = s.prev and a.tok = s.tok
+           left join heads h on h.prev = s.prev group by 1, 2)
+select split, round(avg(loss), 6) as loss, count(*) as batches, round(exp(avg(loss)), 5) as perplexity
+from losses group by 1
+""")
+def sampled_loss(spark, sf):
+    docs = documents(spark, sf)
+    tokens = [r["token"] for r in char_vocab(docs).orderBy("id").collect()]
+    encoded = encode_chars(docs, tokens)
+    scorer = BigramScorer.train(encoded, F.col("tokens"))
+    summary, _ = evaluate_loss(split_tokens(encoded), scorer, 200, 64)
+    return summary.select(
+        "split", F.round("loss", 6).alias("loss"), "batches", F.round("perplexity", 5).alias("perplexity"))

@@ -36,7 +36,7 @@ def locate(df: DataFrame, order: str, size: Column, target: int) -> tuple[int, i
         width = (high - low) // FANOUT + 1
         cells = (
             sized.where(F.col("o").between(low, high))
-            .groupBy(F.expr(f"(o - ({low}L)) div {width}L").alias("cell"))
+            .groupBy(_cell(low, width).alias("cell"))
             .agg(F.sum("s").alias("s"))
             .collect()
         )
@@ -52,6 +52,12 @@ def locate(df: DataFrame, order: str, size: Column, target: int) -> tuple[int, i
             return low, before
 
 
+def _cell(low: int, width: int) -> Column:
+    """The cell of id ``o``; in decimals, as ids may lie further apart than a bigint holds."""
+    away = F.col("o").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+    return F.floor(away / F.lit(width).cast("decimal(20,0)")).cast("long")
+
+
 def range_blocks(df: DataFrame, sort: Sequence[Column | str]) -> DataFrame:
     """Number contiguous, size-balanced ranges of ``sort`` as ``_block``.
 

@@ -114,3 +114,11 @@ def test_small_operators(spark):
     groups = spark.range(10).withColumn("g", F.col("id") % 2)
     got = head_per_group(groups, ["g"], 2, ["id"]).orderBy("g", "id").collect()
     assert [(r.g, r.id) for r in got] == [(0, 0), (0, 2), (1, 1), (1, 3)]
+
+
+def test_budget_over_ids_further_apart_than_a_bigint(spark):
+    rows = [(-(2**63), "abc"), (-5, "de"), (0, "f"), (2**63 - 1, "ghi")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from corpuslab.operators.corpus import char_budget
+
+    assert sorted(r.doc_id for r in char_budget(df, "doc_id", 6).collect()) == [-(2**63), -5, 0]
