@@ -17,4 +17,23 @@ QUERIES = {
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # every pair of documents that share a shingle, and the least id that links reach
+    "op5_partenum_join": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+             from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c
+           from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+          where 100 * c >= 75 * (a.n + b.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id as root from documents
+          union select e.y, r.root from reach r join both_ways e on e.x = r.doc_id)
+select d.doc_id, coalesce(any_value(z.n), 0)::bigint as n_shingles, min(r.root) as component_id
+from documents d join reach r on r.doc_id = d.doc_id left join sizes z on z.doc_id = d.doc_id group by d.doc_id
+""",
+}
