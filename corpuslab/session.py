@@ -39,13 +39,23 @@ def get_session(app: str = "corpuslab", master: str | None = None, **overrides:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers, unless it is installed there already."""
+    """Send this package to the workers, once per application.
+
+    Workers that find the package on their own path use the same code either way.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
     here = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="corpuslab-")
     archive = shutil.make_archive(
         os.path.join(folder, "corpuslab"), "zip", os.path.dirname(here), os.path.basename(here))
     spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
