@@ -40,6 +40,7 @@ from corpuslab.session import staged
 FOLDS, DEV_FOLDS = 5, 50
 FILTER_BITS, BITS_PER_TOKEN, PROBES, MAX_LEVEL = 2**29, 16, 3, 48
 KEY_BYTES = 5
+SLICE = 2**21  # bytes of text worked on at once, beside the filter
 GRID = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 0.55, 0.8)
 BANDS = 12
 U = np.uint64
@@ -165,7 +166,7 @@ def _local_counts(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of a block and their counts in its training texts."""
     found, many = np.zeros(0, U), np.zeros(0, np.int64)
     for batch in parts:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             tokens, bounds = token_hashes(part.column("text"))
             train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False),
                               np.diff(bounds))
@@ -289,7 +290,7 @@ def _read_block(parts: list[pa.RecordBatch], total: int, distinct: int):
         many[np.searchsorted(found, np.frombuffer(blob, U, n))] = np.frombuffer(
             blob, np.int64, n, 8 * n)
     for batch in texts:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             tokens, bounds = token_hashes(part.column("text"))
             counts = many[np.searchsorted(found, tokens)]
             yield part, tokens, bounds, counts, (counts + 0.5) / (total + 0.5 * (distinct + 1))
