@@ -33,8 +33,8 @@ SPECIALS = {
 END_NAMES = (END_OF_TEXT, "<eos>", "</s>")
 MAX_SYMBOLS = 1_200_000
 RANKED_PAIRS = 512
-#: words of no more symbols than this (16 MB of ids) are merged in one place, without rounds
-HELD_SYMBOLS = 4_000_000
+#: words of no more symbols than this (40 MB of ids) are merged in one place, without rounds
+HELD_SYMBOLS = 10_000_000
 
 
 @dataclass
