@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslab.session import scratch_path
+
 #: the white space of ASCII parts words; everything else belongs to a word
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +25,39 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+class Workspace:
+    """Written tables of one job, deleted together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table to the shared folder and go on from the files."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def clear(self) -> None:
+        """Delete all tables, by the file system that holds them."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.paths = []
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    It does so when the driver's JVM has collected their plans, which may be half an hour
+    later by default; a job with a large shuffle that goes on from a written table need not hold
+    the disk for that long.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

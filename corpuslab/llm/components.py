@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.llm.common import Workspace
 from corpuslab.session import staged
 
 
@@ -16,16 +17,20 @@ def components(edges: DataFrame) -> DataFrame:
     are joined back, so a hub with any number of edges is a skewed join that adaptive
     execution splits. Ends when a round changes nothing (about the log of the diameter).
     """
-    current = staged(_directed(edges), "edges")
+    work = Workspace(edges.sparkSession)
+    current = work.staged(_directed(edges), "edges")
     before = None
     while True:
+        earlier, work = work, Workspace(edges.sparkSession)
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         larger = both.where(F.col("b") > F.col("a")).join(least, "a")
         starred = _directed(larger.select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = starred.groupBy("a").agg(F.min("b").alias("m"))
         smaller = starred.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = staged(_directed(smaller.union(low.select("a", F.col("m").alias("b")))), "edges")
+        current = work.staged(
+            _directed(smaller.union(low.select("a", F.col("m").alias("b")))), "edges")
+        earlier.clear()
         after = current.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
@@ -34,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     members = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select("b").distinct().select(
         F.col("b").alias("node"), F.col("b").alias("component"))
-    return staged(members.union(roots), "components")
+    out = staged(members.union(roots), "components")
+    work.clear()
+    return out
 
 
 def _directed(edges: DataFrame) -> DataFrame:

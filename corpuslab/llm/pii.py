@@ -198,7 +198,7 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train_classifier(spans: DataFrame, target: Column, rounds: int = 30, rate: float = 2.0):
-    """Logistic regression of the posterior on properties of a span.
+    """Logistic regression of the posterior on properties of a span, seen ``_times``.
 
     The training table has one row for each combination of discrete properties, however many
     spans there are; each round is one aggregate over it. Returns a function from a
@@ -211,7 +211,8 @@ def train_classifier(spans: DataFrame, target: Column, rounds: int = 30, rate: f
 
     combos = staged(
         spans.groupBy("kind", *RULES).agg(
-            F.sum(target).alias("_y"), F.count(F.lit(1)).cast("double").alias("_n")).coalesce(1),
+            F.sum(target * F.col("_times")).alias("_y"),
+            F.sum("_times").cast("double").alias("_n")).coalesce(1),
         "span-kinds")
     columns = inputs({c: F.col(c) for c in ("kind", *RULES)})
     weights = [0.0] * len(columns)
@@ -234,9 +235,14 @@ def personal_data(docs: DataFrame, text: str = "text", threshold: float = 0.5,
     """Add ``out``: accepted spans by start and kind; the text is dropped unless kept."""
     keep = [c for c in docs.columns if c not in (text, out)]
     found = find_spans(docs.select(*keep, text), text)
-    found = staged(found if keep_text else found.drop(text), "spans")
-    every = found.select(F.explode("_spans").alias("s")).select("s.*")
-    model = fit_votes(every, RULES)
+    if keep_text:  # texts are not written again; the search for spans runs twice instead
+        every = found.select(F.explode("_spans").alias("s")).select("s.*")
+        every = staged(every.groupBy("kind", *RULES).agg(F.count(F.lit(1)).alias("_times")), "votes")
+    else:
+        found = staged(found.drop(text), "spans")
+        every = found.select(F.explode("_spans").alias("s")).select("s.*").groupBy(
+            "kind", *RULES).agg(F.count(F.lit(1)).alias("_times"))
+    model = fit_votes(every, RULES, times="_times")
     accept = train_classifier(every, model.posterior())
     chosen = F.filter("_spans", lambda e: e["base"] | (accept(e) >= threshold))
     return found.withColumn(out, F.sort_array(F.transform(chosen, lambda e: F.struct(

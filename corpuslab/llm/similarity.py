@@ -14,11 +14,12 @@ anything is shuffled within a partition. From there:
 
 1. signatures are shuffled, and only those of two sets or more survive;
 2. a set needs as many shared signatures as parts it touches beyond k, or has no partner;
-3. in each cluster of sets joined by signatures, every set is compared with a hub, those left
-   with another hub (a few rounds): one comparison per set instead of all pairs of a group;
-4. sets outside the largest star of their cluster are counted against all sets of it: in
-   blocks, by shared signatures, without listing pairs, and only pairs that share as many as
-   they need are compared;
+3. each set is compared with the first and the last set of the signatures it shares most often,
+   two comparisons instead of all pairs of a group; links join sets into stars;
+4. only sets that share as many signatures as they need with other stars can link two
+   stars. They form clusters, in which each is compared with a hub (a few rounds), and those outside
+   the largest star are counted against all sets of the cluster, block by block; pairs that
+   share as many signatures as they need are compared where they meet, so no pairs are written;
 5. links found by exact comparison are joined into components.
 
 No pair is lost and no group is capped: pairs of one star are connected already. Shingles are
@@ -39,17 +40,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import partitions, table
+from corpuslab.llm.common import Workspace, forget_shuffles, partitions, table
 from corpuslab.llm.components import components
 from corpuslab.llm.tokens import slices
 from corpuslab.session import staged
 
 WORDS, PERCENT = 5, 75
-BAND = 2.0
+BAND, SPARE = 3.0, 1.06
 SEEDS = 64
 BROADCAST_NODES = 500_000
-HUB_ROUNDS = 4
-BLOCK_ROWS = 200_000
+HUB_ROUNDS = 2
+BLOCK_ITEMS = 2_000_000
 SET_SCHEMA = "doc_id long, node long, n long, shingles array<long>"
 U = np.uint64
 
@@ -119,7 +120,7 @@ def bands(percent: int, up_to: int) -> tuple[tuple[int, int, int], ...]:
     out, low = [], 1
     while not out or out[-1][1] < up_to:
         high = max(low + 2, int(low * BAND))
-        wanted = 1.15 * (most_apart(high, percent) + 1) + 1
+        wanted = SPARE * (most_apart(high, percent) + 1) + 1
         parts = 2
         while parts * (1 - (1 - 1 / parts) ** high) < min(wanted, high - 0.5):
             parts = int(parts * 1.02) + 1
@@ -178,7 +179,7 @@ def _emit(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text", 4 * 2**20):
+            for part in slices(batch, "text", 2 * 2**20):
                 flat, bounds = shingle_sets(part.column("text"), width)
                 nodes, sizes = set_nodes(flat, bounds), np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
@@ -201,8 +202,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
         info = batch.column("info").to_numpy()
-        member = pa.array(info < 0)
-        yield batch.filter(member)
+        member = batch.filter(pa.array(info < 0))
+        nothing = pa.nulls(len(member), pa.int64())
+        yield member.append_column("low", nothing).append_column("high", nothing)
         for column, name in zip(kept, ("key", "node", "info")):
             column.append(batch.column(name).to_numpy(zero_copy_only=False)[info >= 0])
     if not kept[0]:
@@ -217,28 +219,33 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     next_same[:-1] = key[1:] == key[:-1]
     shared = next_same.copy()
     shared[1:] |= next_same[:-1]
+    fresh = ~_same(key)
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(key)) - 1
+    group = np.cumsum(fresh) - 1
     yield pa.RecordBatch.from_arrays(
-        [pa.array(key[shared]), pa.array(node[shared]), pa.array(info[shared])],
-        names=["key", "node", "info"])
+        [pa.array(x[shared]) for x in (key, node, info, node[first[group]], node[last[group]])],
+        names=["key", "node", "info", "low", "high"])
 
 
-def _peel(shared: DataFrame, rounds: int = 2) -> DataFrame:
-    """Drop sets that share fewer signatures than any partner would need."""
-    for _ in range(rounds):
-        enough = shared.groupBy("node", "band").agg(
-            F.count(F.lit(1)).alias("c"), F.max("need").alias("m")).where("c >= m").select(
-            "node", "band")
-        left = shared.join(enough, ["node", "band"])
-        alone = left.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
-        shared = staged(left.join(alone, "sig"), "shared")
-    return shared
+def _same(key: np.ndarray) -> np.ndarray:
+    """Whether each element equals the one before."""
+    out = np.zeros(len(key), bool)
+    out[1:] = key[1:] == key[:-1]
+    return out
+
+
+def _sent(nodes: DataFrame) -> DataFrame:
+    """A table of one row per node, marked for broadcast while it is small."""
+    return F.broadcast(nodes) if nodes.limit(
+        BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """``(doc_id, node, n, shingles)`` of rows ``(doc_id, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 * 2**20):
+            for part in slices(batch, "text", 2 * 2**20):
                 flat, bounds = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(set_nodes(flat, bounds)),
@@ -256,32 +263,56 @@ def _linked(percent: int):
     return 100 * both >= percent * (F.size("s") + F.size("o") - both)
 
 
-def _count_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of an outlier (right) and a set of this block (left) that share enough."""
-    empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    if left.empty or right.empty:
-        return empty
-    right = right.rename(columns=lambda c: c.removeprefix("o_"))
-    left = left.sort_values("sig", kind="stable")
-    sig = left["sig"].to_numpy()
-    members, at = np.unique(left["node"].to_numpy(), return_inverse=True)
-    info = left.drop_duplicates("node").set_index("node").loc[members]
-    star, need = info["star"].to_numpy(), info["need"].to_numpy()
-    outer = info["outlier"].to_numpy()
-    found = []
-    for x, rows in right.groupby("node", sort=True):
-        low = np.searchsorted(sig, rows["sig"].to_numpy(), "left")
-        high = np.searchsorted(sig, rows["sig"].to_numpy(), "right")
-        many = high - low
-        if not many.sum():
-            continue
-        ends = np.cumsum(many)
-        hits = at[np.arange(int(ends[-1])) + np.repeat(low - (ends - many), many)]
-        shared = np.bincount(hits, minlength=len(members))
-        good = shared >= np.maximum(need, rows["need"].iloc[0])
-        good &= (star != rows["star"].iloc[0]) & ((members < x) | ~outer)
-        found.append(pd.DataFrame({"a": np.int64(x), "b": members[good]}))
-    return pd.concat(found) if found else empty
+def _compare_block(percent: int):
+    """Links between an outlier (right) and a set of this block (left) in another star.
+
+    Pairs are counted by shared signatures, and those with enough are compared by their sets.
+    """
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sizes = left["sigs"].map(len).to_numpy()
+            sig = np.concatenate(left["sigs"].to_list())
+            order = np.argsort(sig, kind="stable")
+            sig, at = sig[order], np.repeat(np.arange(len(left)), sizes)[order]
+            node, star = left["node"].to_numpy(), left["star"].to_numpy()
+            need, outer = left["need"].to_numpy(), left["outlier"].to_numpy()
+            sets, lengths = left["shingles"].to_list(), left["shingles"].map(len).to_numpy()
+            for x, x_star, x_need, x_sigs, own in zip(*(
+                    right[f"o_{c}"] for c in ("node", "star", "need", "sigs", "shingles"))):
+                low, high = np.searchsorted(sig, x_sigs, "left"), np.searchsorted(sig, x_sigs, "right")
+                many = high - low
+                if not many.sum():
+                    continue
+                ends = np.cumsum(many)
+                hits = at[np.arange(int(ends[-1])) + np.repeat(low - (ends - many), many)]
+                good = np.bincount(hits, minlength=len(left)) >= np.maximum(need, x_need)
+                good &= (star != x_star) & ((node < x) | ~outer)
+                n = len(own)
+                good &= (100 * n >= percent * lengths) & (100 * lengths >= percent * n)
+                for i in np.flatnonzero(good):
+                    both = len(np.intersect1d(own, sets[i], assume_unique=True))
+                    if 100 * both >= percent * (n + lengths[i] - both):
+                        found.append((x, node[i]))
+        a, b = zip(*found) if found else ((), ())
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Add ``linked`` to rows ``(node, hub, …)``; sets meet at the hub, each once for a row."""
+    hubs = pairs.select("hub").distinct().join(
+        sets.select(F.col("node").alias("hub"), F.col("shingles").alias("o")), "hub")
+    return sets.withColumnRenamed("shingles", "s").join(_sent(pairs), "node").join(
+        hubs, "hub").withColumn("linked", _linked(percent)).drop("s", "o")
+
+
+def _largest_share(shared: DataFrame, hub: str) -> DataFrame:
+    """``(node, hub)``: of the first (or last) sets of its signatures, the one met most often."""
+    met = shared.where(F.col(hub) != F.col("node")).groupBy("node", F.col(hub).alias("hub")).agg(
+        F.count(F.lit(1)).alias("c"))
+    return met.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
 
 
 def links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS
@@ -291,72 +322,94 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS
     The links connect exactly the sets that chains of similar pairs connect.
     """
     spark = docs.sparkSession
+    work = Workspace(spark)
     rows = docs.select("doc_id", "text").mapInArrow(
         _emit(percent, width), "key long, node long, info long")
-    dealt = staged(rows.repartition(partitions(spark), "key").mapInArrow(
-        _shared, "key long, node long, info long"), "signatures")
-    members = dealt.where("info < 0").select(
-        F.col("key").alias("node"), F.col("node").alias("doc_id"), (-1 - F.col("info")).alias("n"))
-    shared = _peel(dealt.where("info >= 0").select(
-        F.col("key").alias("sig"), "node", F.expr("info >> 32").alias("band"),
-        F.expr("info & 4294967295").alias("need")))
-    hubs = shared.groupBy("sig").agg(F.min("node").alias("h"))
-    cluster = components(shared.join(hubs, "sig").select(
-        F.col("node").alias("a"), F.col("h").alias("b")))
-
-    least = members.join(cluster, "node", "left_semi").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"))
-    least = staged(least, "survivors")
-    few = F.broadcast(least) if least.count() <= BROADCAST_NODES else least
-    picked = docs.select("doc_id", "text").join(few.select("doc_id").distinct(), "doc_id")
-    sets = sets_of(picked, width).join(least, ["doc_id", "node"], "left_semi").dropDuplicates(
-        ["node"]).select("node", "shingles")
-    sets = staged(sets, "sets")
-
-    degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    waiting = staged(cluster.join(degree, "node").select(
-        "node", F.col("component").alias("cluster"), "degree"), "waiting")
-    stars: list[DataFrame] = []
+    dealt = work.staged(rows.repartition(partitions(spark), "key").mapInArrow(
+        _shared, "key long, node long, info long, low long, high long"), "signatures")
+    forget_shuffles(spark)
+    members = staged(dealt.where("info < 0").select(
+        F.col("key").alias("node"), F.col("node").alias("doc_id"),
+        (-1 - F.col("info")).alias("n")), "members")
+    shared = dealt.where("info >= 0").select(
+        F.col("key").alias("sig"), "node", "low", "high", F.expr("info >> 32").alias("band"),
+        F.expr("info & 4294967295").alias("need"))
+    # a set that shares fewer signatures than any partner would need has none
+    degree = work.staged(_enough(shared).groupBy("node").agg(
+        F.sum("c").alias("degree"), F.min("m").alias("need")), "degrees")
+    shared = shared.join(_sent(degree.select("node")), "node", "left_semi")
+
+    least = work.staged(members.join(_sent(degree.select("node")), "node", "left_semi").groupBy(
+        "node").agg(F.min("doc_id").alias("doc_id")), "survivors")
+    ids = least.select("doc_id").distinct()
+    picked = docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi")
+    sets = work.staged(sets_of(picked, width).join(
+        _sent(least), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select(
+        "node", "shingles"), "sets")
+
+    spokes = work.staged(_compared(
+        _largest_share(shared, "low").union(_largest_share(shared, "high")).distinct(),
+        sets, percent).where("linked").select(
+        F.col("node").alias("a"), F.col("hub").alias("b")), "spokes")
+
+    # what could still link two stars: sets that share enough signatures with other stars
+    mixed = shared.join(_sent(_stars(degree, spokes)), "node")
+    open_sigs = mixed.groupBy("sig").agg(
+        F.min("star").alias("x"), F.max("star").alias("y"), F.min("node").alias("first")).where(
+        "x <> y").select("sig", "first")
+    mixed = work.staged(mixed.join(open_sigs, "sig").select(
+        "sig", "node", "band", "need", "first"), "mixed")
+    able = _enough(mixed).groupBy("node").agg(F.min("m").alias("need"))
+    mixed = work.staged(mixed.drop("need").join(_sent(able), "node"), "able")
+    cluster = components(mixed.select(F.col("node").alias("a"), F.col("first").alias("b"))).join(
+        _sent(able), "node").select("node", "need", F.col("component").alias("cluster"))
+    cluster = work.staged(cluster.join(degree.select("node", "degree"), "node"), "clusters")
+    waiting = cluster
     for _ in range(HUB_ROUNDS):
-        best = waiting.groupBy("cluster").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-        hub_sets = best.join(sets, best["hub"] == sets["node"]).select(
-            "cluster", "hub", F.col("shingles").alias("o"))
-        tested = waiting.join(sets, "node").withColumnRenamed("shingles", "s").join(
-            hub_sets, "cluster").select(
-            "node", "cluster", "degree", "hub",
-            ((F.col("node") == F.col("hub")) | _linked(percent)).alias("linked"))
-        tested = staged(tested, "tested")
-        stars.append(tested.where("linked").select("node", "cluster", F.col("hub").alias("star")))
-        waiting = tested.where(~F.col("linked")).select("node", "cluster", "degree")
-    stars.append(waiting.select("node", "cluster", F.col("node").alias("star")))
-    starred = stars[0]
-    for more in stars[1:]:
-        starred = starred.union(more)
-    starred = staged(starred, "stars")
-    by_star = starred.groupBy("cluster", "star").agg(F.count(F.lit(1)).alias("c"))
-    largest = by_star.groupBy("cluster").agg(
-        F.max_by("star", F.struct("c", "star")).alias("main"), F.count(F.lit(1)).alias("many"))
-    open_sets = starred.join(largest.where("many > 1"), "cluster").withColumn(
-        "outlier", F.col("star") != F.col("main"))
-    need = shared.groupBy("node").agg(F.min("need").alias("need"))
-    incidence = staged(shared.select("sig", "node").join(
-        open_sets.select("node", "cluster", "star", "outlier"), "node").join(need, "node"), "incidence")
-    sizes = incidence.groupBy("cluster").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    incidence = incidence.join(sizes, "cluster")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    left = incidence.withColumn("block", block)
-    right = incidence.where("outlier").withColumn(
+        best = waiting.groupBy("cluster").agg(
+            F.max_by("node", F.struct("degree", "node")).alias("hub"))
+        tested = work.staged(_compared(
+            waiting.join(best, "cluster").where("node <> hub"), sets, percent), "tested")
+        spokes = spokes.union(tested.where("linked").select(
+            F.col("node").alias("a"), F.col("hub").alias("b")))
+        waiting = tested.where("not linked").select("node", "need", "cluster", "degree")
+
+    starred = work.staged(cluster.join(_sent(_stars(degree, spokes)), "node"), "starred")
+    largest = starred.groupBy("cluster", "star").agg(F.count(F.lit(1)).alias("c")).groupBy(
+        "cluster").agg(F.max_by("star", F.struct("c", "star")).alias("main"),
+                       F.count(F.lit(1)).alias("many"))
+    open_sets = work.staged(starred.join(largest.where("many > 1"), "cluster").select(
+        "node", "cluster", "star", "need", (F.col("star") != F.col("main")).alias("outlier")), "open")
+    sigs = mixed.select("sig", "node").join(
+        _sent(open_sets.select("node")), "node", "left_semi").groupBy("node").agg(
+        F.collect_set("sig").alias("sigs"))  # as many as the parts of its bands
+    whole = work.staged(sets.join(_sent(open_sets), "node").join(sigs, "node"), "whole")
+    sizes = whole.groupBy("cluster").agg(F.ceil(
+        F.sum(F.size("sigs") + F.size("shingles")) / BLOCK_ITEMS).cast("int").alias("blocks"))
+    whole = whole.join(sizes, "cluster")
+    left = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    right = whole.where("outlier").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = right.select(*[F.col(c).alias(f"o_{c}") for c in right.columns])
-    counted = left.groupBy("cluster", "block").cogroup(
-        right.groupBy("o_cluster", "o_block")).applyInPandas(_count_block, "a long, b long")
-    compared = counted.join(
-        sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("o")), "b")
-    found = compared.where(_linked(percent)).select("a", "b")
-    spokes = starred.where("node <> star").select(F.col("node").alias("a"), F.col("star").alias("b"))
-    return members, staged(spokes.union(found), "links")
+    found = left.groupBy("cluster", "block").cogroup(
+        right.groupBy("o_cluster", "o_block")).applyInPandas(
+        _compare_block(percent), "a long, b long")
+    out = staged(spokes.union(found), "links")
+    work.clear()
+    return members, out
+
+
+def _enough(shared: DataFrame) -> DataFrame:
+    """``(node, band, c, m)`` of sets that share the ``m`` signatures a partner would need."""
+    return shared.groupBy("node", "band").agg(
+        F.count(F.lit(1)).alias("c"), F.max("need").alias("m")).where("c >= m")
+
+
+def _stars(nodes: DataFrame, spokes: DataFrame) -> DataFrame:
+    """``(node, star)``: what the links so far connect."""
+    joined = components(spokes).withColumnRenamed("component", "star")
+    return nodes.select("node").join(joined, "node", "left").select(
+        "node", F.coalesce("star", "node").alias("star"))
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:

@@ -49,9 +49,10 @@ class VoteModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def patterns(votes: DataFrame, rules: Sequence[str]) -> DataFrame:
-    """How many rows cast each combination of votes."""
-    return votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("_n"))
+def patterns(votes: DataFrame, rules: Sequence[str], times: str | None = None) -> DataFrame:
+    """How many rows (or how many ``times``) cast each combination of votes."""
+    many = F.sum(times) if times else F.count(F.lit(1))
+    return votes.groupBy(*rules).agg(many.alias("_n"))
 
 
 def majority(rules: Sequence[str]) -> Column:
@@ -62,6 +63,7 @@ def majority(rules: Sequence[str]) -> Column:
 
 def fit_votes(
     votes: DataFrame, rules: Sequence[str], iterations: int = 12, smoothing: float = 1.0,
+    times: str | None = None,
 ) -> VoteModel:
     """Estimate prior and vote probabilities of both classes by expectation-maximisation.
 
@@ -69,7 +71,7 @@ def fit_votes(
     name. An empty table gives the smoothed, uninformative model.
     """
     rules = tuple(rules)
-    counted = staged(patterns(votes, rules).coalesce(1), "vote-patterns")
+    counted = staged(patterns(votes, rules, times).coalesce(1), "vote-patterns")
     share, model = majority(rules), None
     for _ in range(iterations):
         weighted = counted.select(

@@ -191,7 +191,7 @@ def brute_groups(docs):
 
 def test_similar_groups(spark, odd, none, monkeypatch):
     monkeypatch.setattr(similarity, "HUB_ROUNDS", 1)
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(similarity, "BLOCK_ITEMS", 3000)
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
     docs, n = [], 0
