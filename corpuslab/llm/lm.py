@@ -284,16 +284,24 @@ def _read_block(parts: list[pa.RecordBatch], total: int, distinct: int):
     """Slices of a block with tokens, bounds, counts and unigram probabilities."""
     texts = [b.filter(pc.is_null(b.column("blob"))) for b in parts]
     sent = [x for b in parts for x in b.column("blob").to_pylist() if x is not None]
-    found, many = _local_counts(texts)
+    read = [(part, *token_hashes(part.column("text")))
+            for batch in texts for part in slices(batch, "text", SLICE)]
+    if not read:
+        return
+    train = np.concatenate([np.repeat(
+        ~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(bounds))
+        for part, _, bounds in read])
+    found, at = np.unique(np.concatenate([tokens for _, tokens, _ in read]), return_inverse=True)
+    many = np.bincount(at, train, len(found)).astype(np.int64)
     for blob in sent:
         n = len(blob) // 16
         many[np.searchsorted(found, np.frombuffer(blob, U, n))] = np.frombuffer(
             blob, np.int64, n, 8 * n)
-    for batch in texts:
-        for part in slices(batch, "text", SLICE):
-            tokens, bounds = token_hashes(part.column("text"))
-            counts = many[np.searchsorted(found, tokens)]
-            yield part, tokens, bounds, counts, (counts + 0.5) / (total + 0.5 * (distinct + 1))
+    start = 0
+    for part, tokens, bounds in read:
+        counts = many[at[start:start + len(tokens)]]
+        start += len(tokens)
+        yield part, tokens, bounds, counts, (counts + 0.5) / (total + 0.5 * (distinct + 1))
 
 
 def _gains(lookup: Filter, tokens, bounds, counts, base) -> np.ndarray:
