@@ -24,9 +24,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(docs)
     if model is None:
         return docs
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    told = language.predict(rows, model, keep=("_row",))
-    return told.where(F.col("lang_pred") != "und").select("_row.*")
+    # the other columns pass under names that no result has
+    names = [c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)]
+    told = language.predict(docs.toDF(*names), model, keep=tuple(names))
+    return told.where(F.col("lang_pred") != "und").select(*names).toDF(*docs.columns)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ def sample_chains(
     return out, labels
 
 
-def fit(docs: DataFrame, per_label: int = 1200, chains: int = 2, span: int = 48,
+def fit(docs: DataFrame, per_label: int = 800, chains: int = 2, span: int = 40,
         label: str = "lang", text: str = "text", key: str = "doc_id") -> Model | None:
     """Learn from labelled rows; None if there are none."""
     found, labels = sample_chains(docs, per_label, chains, span, label, text, key)
@@ -244,7 +244,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 2 * 2**20):
                 n = part.num_rows
                 found, scores = np.full(n, "und", object), np.zeros(n)
                 counts = np.zeros(n, np.int64)

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 # fixed values: the word pattern of the tokenizer file
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-KEPT_WORDS, KEPT_PARTS = 400_000, 300_000
+KEPT_WORDS, KEPT_PARTS = 250_000, 200_000
 _LOADED: dict[str, WordIds] = {}
 
 
