@@ -61,6 +61,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, (_, kind) in zip(out, fields)],
                     names=[name for name, _ in fields])
+        encoder.shrink()
 
     return rows.mapInArrow(cut, schema)
 

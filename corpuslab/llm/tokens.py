@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 # fixed values: the word pattern of the tokenizer file
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-KEPT_WORDS, KEPT_PARTS = 250_000, 200_000
+KEPT_WORDS, KEPT_PARTS, KEPT_IDLE = 250_000, 200_000, 50_000
 _LOADED: dict[str, WordIds] = {}
 
 
@@ -68,6 +68,11 @@ class WordIds:
             self.words[word] = ids
         return ids
 
+    def shrink(self) -> None:
+        """Keep only the words met first, which are the frequent ones, for the next task."""
+        self.words = dict(itertools.islice(self.words.items(), KEPT_IDLE))
+        self.parts = dict(itertools.islice(self.parts.items(), KEPT_IDLE))
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text begins (one more than texts)."""
         lists = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[\x09-\x0d\x20]+")
