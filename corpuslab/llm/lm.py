@@ -10,7 +10,8 @@ into account.
 
 The probability of a token is a mixture of its relative frequency after its predecessor, as the
 filter tells it, and of its smoothed unigram frequency. The weight depends on how often the
-predecessor occurs, and is chosen on training texts kept out of the filter (one in fifty).
+predecessor occurs, and is chosen on training texts kept out of the filter (one in fifty, by a hash
+that no rule for held-out texts uses). Where no such text has a token, the weight is ``UNTUNED``.
 
 Unigram counts are exact and unbounded in number, so they are never gathered: texts are dealt into
 blocks, each block sends the counts of its distinct tokens to where they are summed, and gets
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import held_out, partitions, table
@@ -42,6 +43,7 @@ FILTER_BITS, BITS_PER_TOKEN, PROBES, MAX_LEVEL = 2**29, 16, 3, 48
 KEY_BYTES = 5
 SLICE = 2**21  # bytes of text worked on at once, beside the filter
 GRID = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 0.55, 0.8)
+UNTUNED = 0.1  # one of the grid
 BANDS = 12
 U = np.uint64
 END = U(xxhash.xxh3_64_intdigest("\n"))
@@ -333,6 +335,29 @@ def _with_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:
         partitions(docs.sparkSession), "block").sortWithinPartitions("block")
 
 
+def tuning(doc_id: Column) -> Column:
+    """Training texts kept out of the filter; independent of what ``held_out`` goes by."""
+    place = F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("tuning")), F.lit(DEV_FOLDS))
+    return doc_id.isNotNull() & (place == 1)
+
+
+def _cell(band: int, weight: int) -> Column:
+    return F.get("gains", F.lit(band * len(GRID) + weight)).cast("double")
+
+
+def fit_weights(scored: DataFrame) -> list[int]:
+    """For each band, the place in the grid of the weight with the largest gain on these texts."""
+    size = len(GRID)
+    sums = scored.agg(*[F.sum(_cell(band, g)).alias(f"g{band}_{g}")
+                        for band in range(BANDS) for g in range(size)]).first()
+    best = []
+    for band in range(BANDS):
+        own = [x or 0.0 for x in sums[band * size:(band + 1) * size]]
+        best.append(max(range(size), key=lambda g: (own[g], -g)) if any(own)
+                    else GRID.index(UNTUNED))
+    return best
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``.
 
@@ -348,7 +373,7 @@ def scores(docs: DataFrame) -> DataFrame:
     for r in counts.where("block = -1").select(
             F.sum(_number("blob", 0)).alias("n"), F.sum(_number("blob", 1)).alias("v")).collect():
         total, distinct = int(r["n"] or 0), int(r["v"] or 0)
-    dev = held_out(F.col("doc_id"), DEV_FOLDS)
+    dev = tuning(F.col("doc_id"))
     lookup = spark.sparkContext.broadcast(
         build_filter(rows.where(~F.col("held_out") & ~dev), total))
 
@@ -369,13 +394,8 @@ def scores(docs: DataFrame) -> DataFrame:
     scored = staged(_with_counts(rows, counts).mapInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, "
              "gains array<float>"), "scored")
-    size = len(GRID)
-    cells = [F.get("gains", F.lit(i)).cast("double") for i in range(BANDS * size)]
-    sums = scored.where(~F.col("held_out") & dev).agg(
-        *[F.sum(c).alias(f"g{i}") for i, c in enumerate(cells)]).first()
-    best = [max(range(size), key=lambda g: (sums[band * size + g] or 0.0, -g))
-            for band in range(BANDS)]
-    gain = sum((cells[band * size + g] for band, g in enumerate(best)), F.lit(0.0))
+    best = fit_weights(scored.where(~F.col("held_out") & dev))
+    gain = sum((_cell(band, g) for band, g in enumerate(best)), F.lit(0.0))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         "base_score", (F.col("base_score") + gain).alias("score"))

@@ -314,6 +314,20 @@ def test_language_model_knows_repeated_texts(spark):
     assert gain[False] > 0.5 > gain[True] + 0.3
 
 
+def test_language_model_tunes_its_weights(spark, monkeypatch):
+    rng = random.Random(11)
+    known = [" ".join("".join(rng.choices("abcdefgh", k=3)) for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame([(i, known[i % 40]) for i in range(800)], "doc_id long, text string").withColumn(
+        "held_out", held_out(F.col("doc_id"), lm.FOLDS))
+    tuned = df.where(~F.col("held_out") & lm.tuning(F.col("doc_id"))).count()
+    assert 0 < tuned < 60
+    seen, fit = [], lm.fit_weights
+    monkeypatch.setattr(lm, "fit_weights", lambda scored: seen.extend(fit(scored)) or seen)
+    gain = lm.scores(df).agg(F.avg((F.col("score") - F.col("base_score")) / F.col("n_tokens"))).first()[0]
+    assert gain > 0.5 and all(g > 0 for g in seen) and max(lm.GRID[g] for g in seen) >= 0.55
+    assert fit(spark.createDataFrame([], "gains array<float>")) == [lm.GRID.index(lm.UNTUNED)] * lm.BANDS
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame(
         [(i, "u", f"<body><nav><a href=x>Home {i}</a></nav><article><h1>Title {i}</h1><p>Some long text of the "
