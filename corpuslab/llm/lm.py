@@ -2,11 +2,11 @@
 
 Counts of bigrams are quantised to powers of two; a bigram of level q enters the filter with the
 levels 1 to q, and its count is read back by probing level after level until one is missing. The
-filter is built in segments, each by the task that holds the bigrams of that segment, and broadcast
-to the workers. It has ``BITS_PER_TOKEN`` bits for each training token up to ``FILTER_BITS``
-(64 MiB, the bound of the broadcast); beyond that every bigram still enters it, and what
-grows is the rate of false hits, which the interpolation weights, fitted on the filter itself, take
-into account.
+filter is built in segments, each by the task that holds the bigrams of that segment and sized by
+what enters it (``BITS_PER_ENTRY`` for each level of a distinct bigram), so that the rate of false
+hits is the same at every size of the input. While all segments have at most ``FILTER_BITS``
+(64 MiB) they are broadcast to the workers; beyond that they stay where they are, and the distinct
+bigrams of a block of texts go to the segments and come back with their levels.
 
 The probability of a token is a mixture of its relative frequency after its predecessor, as the
 filter tells it, and of its smoothed unigram frequency. The weight depends on how often the
@@ -34,12 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import held_out, partitions, table
+from corpuslab.llm.common import forget_shuffles, held_out, partitions, table
 from corpuslab.llm.tokens import slices
 from corpuslab.session import staged
 
 FOLDS, DEV_FOLDS = 5, 50
-FILTER_BITS, BITS_PER_TOKEN, PROBES, MAX_LEVEL = 2**29, 16, 3, 48
+FILTER_BITS, BITS_PER_ENTRY, PROBES, MAX_LEVEL = 2**29, 12, 3, 48
+SEGMENT_TOKENS = 2**22
 KEY_BYTES = 5
 SLICE = 2**21  # bytes of text worked on at once, beside the filter
 GRID = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 0.55, 0.8)
@@ -87,22 +88,29 @@ def bigram_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A log-frequency Bloom filter in ``2 ** segments`` equal parts."""
+    """A log-frequency Bloom filter in ``2 ** segments`` parts, equal ones unless ``parts`` has bits."""
 
-    def __init__(self, bits: int, segments: int, data: np.ndarray | None = None) -> None:
+    def __init__(self, bits: int, segments: int, data: np.ndarray | None = None,
+                 parts: np.ndarray | None = None) -> None:
         self.segments, self.part = segments, max(64, bits >> segments)
-        self.data = np.zeros((self.part << segments) // 8, np.uint8) if data is None else data
+        self.parts = np.full(1 << segments, self.part) if parts is None else parts
+        self.starts = np.concatenate([[0], np.cumsum(self.parts)])
+        self.data = np.zeros(int(self.starts[-1]) // 8, np.uint8) if data is None else data
 
     def place(self, bucket: np.ndarray, key: np.ndarray, level: int, probe: int) -> np.ndarray:
-        inside = mix(key, 1000 * level + probe) % U(self.part)
-        return bucket * self.part + inside.astype(np.int64)
+        inside = mix(key, 1000 * level + probe) % self.parts[bucket].astype(U)
+        return self.starts[bucket] + inside.astype(np.int64)
 
     def read(self, keys: np.ndarray) -> np.ndarray:
         """The level of each bigram: 0 if unseen, else 1 + the binary logarithm of its count."""
-        bucket, key = split_key(keys, self.segments)
-        level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        return self.levels(*split_key(keys, self.segments))
+
+    def levels(self, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+        level, alive = np.zeros(len(key), np.int64), np.arange(len(key))
         for step in range(1, MAX_LEVEL + 1):
             for probe in range(PROBES):
+                if not len(alive):
+                    return level
                 at = self.place(bucket[alive], key[alive], step, probe)
                 alive = alive[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
             if not len(alive):
@@ -118,9 +126,20 @@ def split_key(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, keys & U(2 ** (8 * KEY_BYTES) - 1)
 
 
-def _segments(spark: SparkSession) -> int:
-    """The binary logarithm of the number of filter segments: a task or more for each."""
-    return min(16, max(4, (partitions(spark) - 1).bit_length()))
+def _segments(spark: SparkSession, tokens: int) -> int:
+    """The binary logarithm of the number of filter segments: one task has a few tokens only."""
+    return min(24, max(4, (partitions(spark) - 1).bit_length(),
+                       (tokens // SEGMENT_TOKENS).bit_length()))
+
+
+def _pack(key: np.ndarray) -> np.ndarray:
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8, n * KEY_BYTES).reshape(n, KEY_BYTES)
+    return wide.reshape(-1).view("<u8").astype(U)
 
 
 def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -219,11 +238,9 @@ def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
         total, BLOB), "token-counts")
 
 
-def build_filter(docs: DataFrame, tokens: int) -> Filter:
-    """The filter of the bigrams of ``docs``, sized for this many training tokens."""
+def build_filter(docs: DataFrame, segments: int) -> DataFrame:
+    """``(kind, block, bucket, blob)``: the filter of the bigrams of ``docs``, a row a segment."""
     spark = docs.sparkSession
-    segments = _segments(spark)
-    bits = 1 << max(16, min(FILTER_BITS, BITS_PER_TOKEN * max(1, tokens)).bit_length() - 1)
     size = KEY_BYTES
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +251,7 @@ def build_filter(docs: DataFrame, tokens: int) -> Filter:
                 bucket, key = split_key(keys, segments)
                 order, runs = _by_bucket(bucket)
                 key, many = key[order], many[order]
-                packed = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
+                packed = _pack(key)
                 rows = []
                 for b, f, e in runs:
                     often = many[f:e] > 1
@@ -244,11 +261,6 @@ def build_filter(docs: DataFrame, tokens: int) -> Filter:
                                      + many[f:e][often].astype(np.int64).tobytes()))
                 yield _blobs(rows)
 
-    def unpack(blob: bytes, n: int) -> np.ndarray:
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :size] = np.frombuffer(blob, np.uint8, n * size).reshape(n, size)
-        return wide.reshape(-1).view("<u8").astype(U)
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, parts in _groups(batches, "bucket"):
             keys, counts = [], []
@@ -256,12 +268,13 @@ def build_filter(docs: DataFrame, tokens: int) -> Filter:
                 for kind, n, blob in zip(*(batch.column(c).to_pylist()
                                            for c in ("kind", "block", "blob"))):
                     n = n if kind else len(blob) // size
-                    keys.append(unpack(blob, n))
+                    keys.append(_unpack(blob, n))
                     counts.append(np.frombuffer(blob, np.int64, n, n * size) if kind
                                   else np.ones(n, np.int64))
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
             count = np.bincount(at, np.concatenate(counts), len(key))
-            own = Filter(bits, segments, np.zeros(0, np.uint8))
+            entries = int(np.frexp(count.astype(np.float64))[1].sum())
+            own = Filter(-(-BITS_PER_ENTRY * entries // 8) * 8, 0, np.zeros(0, np.uint8))
             used = np.zeros(own.part, bool)
             level, nothing = 1, np.zeros(len(key), np.int64)
             while len(key):
@@ -269,23 +282,69 @@ def build_filter(docs: DataFrame, tokens: int) -> Filter:
                     used[own.place(nothing[:len(key)], key, level, probe)] = True
                 more = count >= 2**level
                 key, count, level = key[more], count[more], level + 1
-            yield _blobs([(0, 0, int(bucket), np.packbits(used, bitorder="little").tobytes())])
+            yield _blobs([(0, -1, int(bucket), np.packbits(used, bitorder="little").tobytes())])
 
-    parts = staged(docs.select("text").mapInArrow(send, BLOB).repartition(
+    return staged(docs.select("text").mapInArrow(send, BLOB).repartition(
         max(partitions(spark), 1 << segments), "bucket").sortWithinPartitions("bucket").mapInArrow(
         build, BLOB), "filter")
-    out = Filter(bits, segments)
-    width = out.part // 8
-    for row in parts.select("bucket", "blob").toLocalIterator():
-        out.data[row["bucket"] * width:(row["bucket"] + 1) * width] = np.frombuffer(
-            row["blob"], np.uint8)
-    return out
+
+
+def gathered(parts: DataFrame, segments: int) -> Filter:
+    """All segments in one place; a segment that nothing entered has 64 bits."""
+    blobs = {r["bucket"]: r["blob"] for r in parts.select("bucket", "blob").toLocalIterator()}
+    blobs = [blobs.get(b, bytes(8)) for b in range(1 << segments)]
+    return Filter(0, segments, np.frombuffer(b"".join(blobs), np.uint8),
+                  np.array([8 * len(b) for b in blobs]))
+
+
+def routed_levels(docs: DataFrame, parts: DataFrame, segments: int) -> DataFrame:
+    """``(kind, block, bucket, blob)``: a byte for each distinct bigram of the block and segment.
+
+    They are in the order of the bigrams' hashes. A task has one segment at a time.
+    """
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _groups(batches, "block"):
+            keys = np.unique(np.concatenate([
+                np.unique(bigram_keys(*token_hashes(part.column("text"))))
+                for batch in held for part in slices(batch, "text", SLICE)]))
+            bucket, key = split_key(keys, segments)
+            _, runs = _by_bucket(bucket)
+            packed = _pack(key)
+            yield _blobs([(1, int(block), b, packed[f:e].tobytes()) for b, f, e in runs])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in _groups(batches, "bucket"):
+            own = Filter(0, 0)  # a segment that nothing entered
+            for batch in held:
+                rows = []
+                for kind, block, blob in zip(*(batch.column(c).to_pylist()
+                                               for c in ("kind", "block", "blob"))):
+                    if not kind:
+                        own = Filter(8 * len(blob), 0, np.frombuffer(blob, np.uint8))
+                        continue
+                    key = _unpack(blob, len(blob) // KEY_BYTES)
+                    level = own.levels(np.zeros(len(key), np.int64), key)
+                    rows.append((1, block, int(bucket), level.astype(np.uint8).tobytes()))
+                yield _blobs(rows)
+
+    spark = docs.sparkSession
+    asked = docs.select("text", "block").repartition(
+        partitions(spark), "block").sortWithinPartitions("block").mapInArrow(send, BLOB)
+    return staged(asked.union(parts).repartition(
+        max(partitions(spark), 1 << segments), "bucket").sortWithinPartitions(
+        "bucket", "kind").mapInArrow(probe, BLOB), "levels")
 
 
 def _read_block(parts: list[pa.RecordBatch], total: int, distinct: int):
-    """Slices of a block with tokens, bounds, counts and unigram probabilities."""
+    """Slices of a block with tokens, bounds, counts, unigram probabilities and levels.
+
+    The levels are None unless they were sent to the block.
+    """
     texts = [b.filter(pc.is_null(b.column("blob"))) for b in parts]
-    sent = [x for b in parts for x in b.column("blob").to_pylist() if x is not None]
+    blobs = [x for b in parts for x in zip(b.column("bucket").to_pylist(),
+                                           b.column("blob").to_pylist()) if x[1] is not None]
+    sent = [blob for bucket, blob in blobs if bucket is None]
+    told = b"".join(blob for bucket, blob in sorted(x for x in blobs if x[0] is not None))
     read = [(part, *token_hashes(part.column("text")))
             for batch in texts for part in slices(batch, "text", SLICE)]
     if not read:
@@ -299,16 +358,21 @@ def _read_block(parts: list[pa.RecordBatch], total: int, distinct: int):
         n = len(blob) // 16
         many[np.searchsorted(found, np.frombuffer(blob, U, n))] = np.frombuffer(
             blob, np.int64, n, 8 * n)
+    if told:
+        bigrams, place = np.unique(np.concatenate(
+            [bigram_keys(tokens, bounds) for _, tokens, bounds in read]), return_inverse=True)
+        levels = np.frombuffer(told, np.uint8, len(bigrams))
     start = 0
     for part, tokens, bounds in read:
-        counts = many[at[start:start + len(tokens)]]
+        own = slice(start, start + len(tokens))
+        counts = many[at[own]]
         start += len(tokens)
-        yield part, tokens, bounds, counts, (counts + 0.5) / (total + 0.5 * (distinct + 1))
+        yield (part, tokens, bounds, counts, (counts + 0.5) / (total + 0.5 * (distinct + 1)),
+               levels[place[own]].astype(np.int64) if told else None)
 
 
-def _gains(lookup: Filter, tokens, bounds, counts, base) -> np.ndarray:
+def _gains(level, bounds, counts, base) -> np.ndarray:
     """Per text, band of the predecessor and weight of the grid: what the bigrams add."""
-    level = lookup.read(bigram_keys(tokens, bounds))
     before = np.empty_like(counts)
     before[1:] = counts[:-1]
     before[bounds[:-1]] = counts[bounds[1:] - 1]  # the count of ends
@@ -323,13 +387,14 @@ def _gains(lookup: Filter, tokens, bounds, counts, base) -> np.ndarray:
             texts, BANDS) for weight in GRID], axis=2)
 
 
-def _with_counts(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Texts and the counts sent to their block, block by block."""
+def _with_counts(docs: DataFrame, counts: DataFrame, levels: DataFrame | None) -> DataFrame:
+    """Texts and the counts and levels sent to their block, block by block."""
     key = dict(docs.dtypes)["doc_id"]
-    blobs = counts.where("block >= 0").select(
+    sent = counts.where("block >= 0").withColumn("bucket", F.lit(None).cast("int"))
+    blobs = (sent if levels is None else sent.union(levels)).select(
         F.lit(None).cast(key).alias("doc_id"), F.lit(None).cast("string").alias("text"),
-        F.lit(True).alias("held_out"), "block", "blob")
-    texts = docs.select("doc_id", "text", "held_out", "block",
+        F.lit(True).alias("held_out"), "block", "bucket", "blob")
+    texts = docs.select("doc_id", "text", "held_out", "block", F.lit(None).cast("int").alias("bucket"),
                         F.lit(None).cast("binary").alias("blob"))
     return texts.union(blobs).repartition(
         partitions(docs.sparkSession), "block").sortWithinPartitions("block")
@@ -374,13 +439,22 @@ def scores(docs: DataFrame) -> DataFrame:
             F.sum(_number("blob", 0)).alias("n"), F.sum(_number("blob", 1)).alias("v")).collect():
         total, distinct = int(r["n"] or 0), int(r["v"] or 0)
     dev = tuning(F.col("doc_id"))
-    lookup = spark.sparkContext.broadcast(
-        build_filter(rows.where(~F.col("held_out") & ~dev), total))
+    segments = _segments(spark, total)
+    parts = build_filter(rows.where(~F.col("held_out") & ~dev), segments)
+    bits = 8 * (parts.agg(F.sum(F.length("blob"))).first()[0] or 0)
+    lookup = levels = None
+    if bits <= FILTER_BITS:
+        lookup = spark.sparkContext.broadcast(gathered(parts, segments))
+    else:
+        forget_shuffles(spark)
+        levels = routed_levels(rows, parts, segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _groups(batches, "block"):
-            for part, tokens, bounds, many, base in _read_block(parts, total, distinct):
-                gains = _gains(lookup.value, tokens, bounds, many, base)
+            for part, tokens, bounds, many, base, level in _read_block(parts, total, distinct):
+                if lookup is not None:
+                    level = lookup.value.read(bigram_keys(tokens, bounds))
+                gains = _gains(level, bounds, many, base)
                 known = np.concatenate([[0], np.cumsum(many > 0)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"),
@@ -391,7 +465,7 @@ def scores(docs: DataFrame) -> DataFrame:
                               pa.list_(pa.float32()))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "gains"])
 
-    scored = staged(_with_counts(rows, counts).mapInArrow(
+    scored = staged(_with_counts(rows, counts, levels).mapInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, "
              "gains array<float>"), "scored")
     best = fit_weights(scored.where(~F.col("held_out") & dev))

@@ -328,6 +328,20 @@ def test_language_model_tunes_its_weights(spark, monkeypatch):
     assert fit(spark.createDataFrame([], "gains array<float>")) == [lm.GRID.index(lm.UNTUNED)] * lm.BANDS
 
 
+def test_language_model_beyond_one_broadcast(spark, odd, monkeypatch):
+    rng = random.Random(12)
+    docs = ROWS + [(20 + i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(80))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn(
+        "held_out", held_out(F.col("doc_id"), lm.FOLDS))
+    scored = lambda: sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm.scores(df).collect())
+    want = scored()
+    monkeypatch.setattr(lm, "FILTER_BITS", 2**10)
+    assert scored() == want and len(want) == len(docs)
+    monkeypatch.setattr(lm, "SEGMENT_TOKENS", 2**9)
+    assert len(scored()) == len(docs)
+    assert len(rows(lm.scores(odd.withColumn("held_out", F.lit(True))))) == len(ROWS)
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame(
         [(i, "u", f"<body><nav><a href=x>Home {i}</a></nav><article><h1>Title {i}</h1><p>Some long text of the "
