@@ -3,9 +3,10 @@
 Words of benchmark items and documents become templates: numbers, names and units turn into
 typed placeholders, everything else into bare lower-case words. Windows of a template are
 hash-joined, so that a question with new numbers or names still meets its original; then the
-slots are checked: along one alignment of a document with an item, a value of the item must
-always stand for the same value of the document. An item is found in a document if enough of
-its windows are matched in consistent alignments.
+slots are checked: along one alignment of a document with an item, a value of the document stands
+for a value of the item if it does so at half or more of the places of that value, and windows
+in which another one does, or two do, are left out. Windows that agree word for word always
+stay. An item is found in a document if enough of its windows are left.
 
 The benchmark decides how the join runs: its window hashes go to the workers as a filter while
 there are at most ``FILTER_WINDOWS`` (8 bytes each), and all windows of the documents are shuffled to
@@ -104,9 +105,14 @@ def _slots(place: np.ndarray, width: int, parts) -> list[list[str]]:
     return [[word[at[i]] for i in range(p, p + width) if not plain[i]] for p in place]
 
 
+def _spots(place: np.ndarray, width: int, parts) -> list[list[int]]:
+    """Where in its window each slot stands."""
+    return [[i for i in range(width) if not parts[1][p + i]] for p in place]
+
+
 def find_windows(rows: DataFrame, key: str, text: str, width: int = WIDTH,
                  only: np.ndarray | None = None) -> DataFrame:
-    """``(key, place, window, slots, windows)``; with ``only``, the windows among these hashes.
+    """``(key, place, window, slots, spots, windows)``; with ``only``, the windows among these hashes.
 
     ``windows`` counts all windows of the text that could be matched.
     """
@@ -129,11 +135,13 @@ def find_windows(rows: DataFrame, key: str, text: str, width: int = WIDTH,
                     [part.column(key).take(pa.array(owner)),
                      pa.array(place - parts[4][owner]), pa.array(hashes),
                      pa.array(_slots(place, width, parts), pa.list_(pa.string())),
+                     pa.array(_spots(place, width, parts), pa.list_(pa.int64())),
                      pa.array(total[owner])],
-                    names=[key, "place", "window", "slots", "windows"])
+                    names=[key, "place", "window", "slots", "spots", "windows"])
 
     return rows.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, place long, window long, slots array<string>, windows long")
+        run, f"`{key}` {kind}, place long, window long, slots array<string>, "
+             "spots array<long>, windows long")
 
 
 def index_items(items: DataFrame, item: str, text: str, width: int) -> DataFrame:
@@ -141,7 +149,23 @@ def index_items(items: DataFrame, item: str, text: str, width: int) -> DataFrame
     rows = items.select(F.col(item).alias("item_id"), F.col(text).alias("text"))
     return staged(find_windows(rows, "item_id", "text", width).select(
         "window", "item_id", F.col("place").alias("item_place"),
-        F.col("slots").alias("item_slots"), F.col("windows").alias("item_windows")), "items")
+        F.col("slots").alias("item_slots"), "spots", F.col("windows").alias("item_windows")), "items")
+
+
+def _consistent(hits: DataFrame, lines: list[str]) -> DataFrame:
+    """Windows that agree word for word or whose slots stand for what they mostly do in the line."""
+    places = hits.select(*lines, F.explode("pairs").alias("p")).select(*lines, "p.*").distinct()
+    votes = places.groupBy(*lines, "b", "d").agg(F.count(F.lit(1)).alias("n"))
+    rare = votes.groupBy(*lines, "b").agg(
+        F.sum("n").alias("all"), F.collect_list(F.struct("d", "n")).alias("told")).select(
+        *lines, "b", F.explode(F.filter("told", lambda v: 2 * v["n"] < F.col("all"))).alias("v"))
+    torn = rare.groupBy(*lines).agg(F.collect_set(F.struct("b", "v.d")).alias("torn"))
+    match = [F.col(f"h.{c}").eqNullSafe(F.col(f"t.{c}")) for c in lines]
+    told = F.transform("pairs", lambda p: F.struct(p["b"].alias("b"), p["d"].alias("d")))
+    own = F.size(F.array_distinct(told)) == F.size(F.array_distinct(F.col("pairs.b")))
+    fits = F.col("torn").isNull() | ~F.arrays_overlap(told, "torn")
+    return hits.alias("h").join(torn.alias("t"), match, "left").where(
+        F.col("same") | (own & fits)).select("h.*")
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id",
@@ -152,18 +176,15 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
     few = hashes.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS
     only = np.sort(np.array(
         [r["window"] for r in hashes.collect()], np.int64)) if few else None
-    found = find_windows(docs.select(key, text), key, text, width, only).drop("windows")
+    found = find_windows(docs.select(key, text), key, text, width, only).drop("windows", "spots")
     hits = staged(found.join(F.broadcast(index) if few else index, "window").select(
         key, "item_id", "item_place", "item_windows", "place",
         (F.col("place") - F.col("item_place")).alias("shift"),
-        F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")).alias("pairs"),
+        F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"),
+                     F.transform("spots", lambda i: F.col("item_place") + i).alias("at")).alias("pairs"),
         (F.col("item_slots") == F.col("slots")).alias("same")), "hits")
     lines = [key, "item_id", "shift"]
-    values = hits.select(*lines, F.explode("pairs").alias("p")).groupBy(*lines, "p.b").agg(
-        F.min("p.d").alias("low"), F.max("p.d").alias("high"))
-    torn = values.where("low <> high").select(*lines).distinct()
-    match = [F.col(f"h.{c}").eqNullSafe(F.col(f"t.{c}")) for c in lines]
-    whole = hits.alias("h").join(torn.alias("t"), match, "left_anti")
+    whole = _consistent(hits, lines)
     pairs = whole.groupBy(key, "item_id").agg(
         F.count_distinct("item_place").alias("matched"), F.max("item_windows").alias("windows"),
         F.min("place").alias("place"), (~F.min("same")).alias("reparameterised"))

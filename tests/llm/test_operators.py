@@ -384,6 +384,18 @@ def test_slots_must_agree(spark):
     assert got == [1]
 
 
+def test_one_torn_slot_leaves_the_rest(spark):
+    twice = ("the slow journey over the high mountains takes 2 hours while both of them sit beside the window and "
+             "look at 2 trains that stand in the valley below as evening falls over the quiet village")
+    once = twice.replace("2 trains", "7 trains")
+    items = spark.createDataFrame([(1, twice), (2, once.replace("journey", "trip")[::-1])], "item_id long, text string")
+    docs = [(1, twice), (2, once), (3, twice.replace("2 hours", "5 hours").replace("2 trains", "9 trains")),
+            (4, twice.replace("2", "6"))]
+    got = {r.doc_id: r for r in contamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert [got[i].reparameterised for i in (1, 2, 3, 4)] == [False, True, True, True]
+
+
 def test_unfiltered_join_finds_the_same(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten people walked along the wide river towards a town"
     items = spark.createDataFrame([(1, item + " far away from here")], "item_id long, text string")
