@@ -6,15 +6,18 @@ hash-joined, so that a question with new numbers or names still meets its origin
 slots are checked: along one alignment of a document with an item, a value of the document stands
 for a value of the item if it does so at half or more of the places of that value, and windows
 in which another one does, or two do, are left out. Windows that agree word for word always
-stay. An item is found in a document if enough of its windows are left.
+stay. An item is found in a document if enough of its windows are left, or if such windows cover
+``RUN`` words in a row without a difference.
 
 The benchmark decides how the join runs: its window hashes go to the workers as a filter while
 there are at most ``FILTER_WINDOWS`` (8 bytes each), and all windows of the documents are shuffled to
 the join beyond that. Documents are read whole.
 
-Null and empty texts have no windows and are never found; an item with fewer words than a window
-cannot be told from chance and is not searched, nor are windows of placeholders (fewer
-than ``LITERALS`` plain words). Repeated rows are found alike, and repeated items too.
+Windows of placeholders (fewer than ``LITERALS`` plain words) are not searched. An item that has no
+other, or fewer words than a window, is one window as a whole, and is found where all its bare
+words stand in a row; then it counts as one matched window of one.
+
+Null and empty texts have no words and are never found. Repeated rows are found alike, and repeated items too.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import table
@@ -33,6 +36,7 @@ from corpuslab.llm.tokens import slices
 from corpuslab.session import staged
 
 WIDTH, LITERALS, COVERAGE, LEAST = 6, 4, 0.35, 3
+RUN = 13  # words
 FILTER_WINDOWS = 2_000_000
 U = np.uint64
 # fixed values: what a template keeps as a type
@@ -168,6 +172,103 @@ def _consistent(hits: DataFrame, lines: list[str]) -> DataFrame:
         F.col("same") | (own & fits)).select("h.*")
 
 
+def _whole_windows(texts: pa.Array):
+    """Where the bare words of each text begin, and a function of their hashes at a length."""
+    _, _, at, word, bounds = template(texts)
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in word), U, len(word))[at]
+    base = U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
+    back = U(pow(int(base), -1, 2**64))
+    ones = np.ones(max(0, len(hashed) - 1), U)
+    first = np.ones(min(1, len(hashed)), U)
+    up, down = (np.cumprod(np.concatenate([first, ones * x])) for x in (base, back))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(hashed * up)])
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+    def rolled(size: int):
+        """``(text index, place, hash)`` of all runs of ``size`` words within a text."""
+        many = max(0, len(hashed) - size + 1)
+        place = np.flatnonzero(owner[:many] == owner[len(hashed) - many:])
+        sum_ = (sums[place + size] - sums[place]) * down[place]
+        sum_ = (sum_ ^ (sum_ >> U(29)) ^ U(size)) * U(0xBF58476D1CE4E5B9)
+        return owner[place], place - bounds[owner[place]], sum_.view(np.int64)
+
+    return bounds, rolled
+
+
+def whole_items(items: DataFrame, item: str, text: str, width: int) -> DataFrame:
+    """``(item_id, size, window)`` of the items that have words but no window to search."""
+    kind = dict(items.dtypes)[item]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 * 2**20):
+                owner, _, _, parts = windows(part.column("text"), width)
+                sizes = np.diff(parts[4])
+                bare = np.flatnonzero((np.bincount(owner, minlength=part.num_rows) == 0) & (sizes > 0))
+                if not len(bare):
+                    continue
+                alone = part.take(pa.array(bare))
+                _, rolled = _whole_windows(alone.column("text"))
+                found = np.zeros(len(bare), np.int64)
+                for size in np.unique(sizes[bare]):
+                    own, place, hashes = rolled(int(size))
+                    fits = sizes[bare][own] == size
+                    found[own[fits]] = hashes[fits]
+                yield pa.RecordBatch.from_arrays(
+                    [alone.column("item_id"), pa.array(sizes[bare]), pa.array(found)],
+                    names=["item_id", "size", "window"])
+
+    return staged(items.select(F.col(item).alias("item_id"), F.col(text).alias("text")).mapInArrow(
+        run, f"item_id {kind}, size long, window long"), "whole-items")
+
+
+def _whole_leaks(docs: DataFrame, whole: DataFrame, key: str, text: str) -> DataFrame | None:
+    """The pairs of ``leaks`` for items searched as a whole; None if there are none."""
+    sizes = sorted(r["size"] for r in whole.select("size").distinct().collect())
+    if not sizes:
+        return None
+    hashes = whole.select("window").distinct()
+    few = hashes.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(
+        [r["window"] for r in hashes.collect()], np.int64)) if few else None)
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = wanted.value
+        for batch in batches:
+            for part in slices(batch, text, 2 * 2**20):
+                _, rolled = _whole_windows(part.column(text))
+                for size in sizes:
+                    owner, place, hashes = rolled(size)
+                    if only is not None:
+                        at = np.minimum(np.searchsorted(only, hashes), len(only) - 1)
+                        hit = only[at] == hashes
+                        owner, place, hashes = owner[hit], place[hit], hashes[hit]
+                    # the first of the equal ones in a text
+                    _, first = np.unique(np.stack([owner, hashes]), axis=1, return_index=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(key).take(pa.array(owner[first])), pa.array(place[first]),
+                         pa.array(hashes[first])], names=[key, "place", "window"])
+
+    found = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, place long, window long")
+    index = whole.select("window", "item_id")
+    return found.join(F.broadcast(index) if few else index, "window").groupBy(key, "item_id").agg(
+        F.min("place").alias("place")).select(
+        key, "item_id", F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("windows"),
+        "place", F.lit(False).alias("reparameterised"), F.lit(1.0).alias("coverage"))
+
+
+def _runs(kept: DataFrame, lines: list[str], width: int) -> DataFrame:
+    """``(key, item_id, run)``: the most words in a row that windows without a difference cover."""
+    order = Window.partitionBy(*lines).orderBy("item_place")
+    opens = F.col("item_place") - F.lag("item_place").over(order) > width
+    islands = kept.where("same").select(*lines, "item_place").distinct().withColumn(
+        "new", F.when(opens, 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
+    return islands.groupBy(*lines, "island").agg(
+        (F.max("item_place") - F.min("item_place") + width).alias("run")).groupBy(
+        *lines[:2]).agg(F.max("run").alias("run"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id",
           text: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """``(key, item_id, matched, windows, coverage, reparameterised)`` of found pairs."""
@@ -185,12 +286,18 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
         (F.col("item_slots") == F.col("slots")).alias("same")), "hits")
     lines = [key, "item_id", "shift"]
     whole = _consistent(hits, lines)
+    long = [F.col(f"p.{c}").eqNullSafe(F.col(f"r.{c}")) for c in lines[:2]]
+    runs = _runs(whole, lines, width).where(F.col("run") >= RUN)
     pairs = whole.groupBy(key, "item_id").agg(
         F.count_distinct("item_place").alias("matched"), F.max("item_windows").alias("windows"),
         F.min("place").alias("place"), (~F.min("same")).alias("reparameterised"))
     share = F.col("matched") / F.col("windows")
-    return pairs.withColumn("coverage", share).where(
-        (share >= coverage) & (F.col("matched") >= F.least(F.lit(LEAST), F.col("windows"))))
+    pairs = pairs.alias("p").join(runs.alias("r"), long, "left").select("p.*", "run")
+    out = pairs.withColumn("coverage", share).where(
+        F.col("run").isNotNull()
+        | (share >= coverage) & (F.col("matched") >= F.least(F.lit(LEAST), F.col("windows")))).drop("run")
+    others = _whole_leaks(docs, whole_items(items, item, text, width), key, text)
+    return out if others is None else out.union(others.select(*out.columns))
 
 
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,6 +396,24 @@ def test_one_torn_slot_leaves_the_rest(spark):
     assert [got[i].reparameterised for i in (1, 2, 3, 4)] == [False, True, True, True]
 
 
+def test_items_without_windows_and_long_runs(spark, monkeypatch):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti") for b in ("den", "fel", "gor", "hin", "jas", "kum", "lir")]
+    items = spark.createDataFrame(
+        [(1, "What is 17 plus 25?"), (2, "12 + 30 - 7 = 35 and 8 x 9 = 72 or 4 / 2 = 2"), (3, " ".join(words)), (4, None), (5, "!!")],
+        "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "so we ask: what is 17 plus 25 in all"), (2, "so we ask: what is 17 plus 26 in all"),
+         (3, "sums 12 + 30 - 7 = 35 and 8 x 9 = 72 or 4 / 2 = 2 are easy"), (4, "12 + 30 - 7 = 35 and 8 x 9 = 73 or 4 / 2 = 2"),
+         (5, "before " + " ".join(words[20:33]) + " after"), (6, "before " + " ".join(words[20:32]) + " after"),
+         (7, None), (8, "What is 17 plus 25? What is 17 plus 25?"), (9, "plus 25"), (None, "what is 17 plus 25")],
+        "doc_id long, text string")
+    pairs = lambda: sorted((str(r.doc_id), r.item_id) for r in contamination.leaks(docs, items).collect())
+    want = [("1", 1), ("3", 2), ("5", 3), ("8", 1), ("None", 1)]
+    assert pairs() == want
+    monkeypatch.setattr(contamination, "FILTER_WINDOWS", 0)
+    assert pairs() == want
+
+
 def test_unfiltered_join_finds_the_same(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten people walked along the wide river towards a town"
     items = spark.createDataFrame([(1, item + " far away from here")], "item_id long, text string")
