@@ -53,6 +53,10 @@ CLOSES = {
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"),
 }
+# what may stand in a head; the start of anything else ends it
+IN_HEAD = frozenset("base link meta title style script noscript template bgsound basefont noframes".split())
+# silent elements that the start of a block ends if they have no end tag
+UNENDED = frozenset("noscript svg object".split())
 SCOPES = frozenset("table ul ol dl td th div article section select body html".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("html body button select option label legend".split())
 # prior weights of the content class: of tags, of words of class, id and role, of texts
@@ -119,6 +123,8 @@ class Page:
         stack: list[tuple[str, int]] = []  # open elements and their nodes (inline: the node around)
         parts: list[str] = []
         node, links, linked, silent, at = 0, 0, 0, 0, 0
+        starts: list[int] = []  # where the open elements start
+        closed: dict[str, set[int]] = {}
 
         def flush() -> None:
             nonlocal linked
@@ -132,16 +138,30 @@ class Page:
             nonlocal node, links, silent
             while len(stack) > depth:
                 name, around = stack.pop()
+                starts.pop()
                 links -= name == "a"
                 silent -= name in SILENT
                 if around != node:
                     flush()
                     node = around
 
+        def ended(name: str, start: int) -> bool:
+            """Whether the element that starts here has an end tag of its own."""
+            if name not in closed:
+                closed[name], waiting = set(), []
+                for tag in re.finditer(rf"<(/?){name}\b([^>]*)>", source, re.I):
+                    if not tag[1] and not tag[2].endswith("/"):
+                        waiting.append(tag.start())
+                    elif tag[1] and waiting:
+                        closed[name].add(waiting.pop())
+            return start in closed[name]
+
         size = len(source)
         while at < size:
             found = TAG.search(source, at)
             stop = found.start() if found else size
+            if stack and stack[-1][0] == "head" and source[at:stop].strip():
+                close(len(stack) - 1)  # nor can text stand in it
             if stop > at and not silent:
                 text = html.unescape(source[at:stop])
                 parts.append(text)
@@ -165,9 +185,12 @@ class Page:
                 if name in ("br", "hr"):
                     flush()
                 continue
+            if silent:
+                self._speak(name, stack, starts, close, ended)
             self._imply(name, stack, close)
             block, names = name in BLOCKS, self._names(found[3])
             stack.append((name, node))
+            starts.append(found.start())
             links += name == "a"
             silent += name in SILENT
             if block or names:
@@ -181,6 +204,18 @@ class Page:
         close(0)
         flush()
 
+    @staticmethod
+    def _speak(name: str, stack: list[tuple[str, int]], starts: list[int], close, ended) -> None:
+        """End an open head before what cannot stand in it, and unended silent elements before blocks."""
+        for depth, (open_name, _) in enumerate(stack):
+            if open_name == "template":
+                return
+            if (open_name == "head" and name not in IN_HEAD and not any(
+                    n in SILENT for n, _ in stack[depth + 1:] if n != "noscript")
+                    or open_name in UNENDED and name in BLOCKS and not ended(open_name, starts[depth])):
+                close(depth)
+                return
+
     @staticmethod
     def _imply(name: str, stack: list[tuple[str, int]], close) -> None:
         """End the elements that the start of another one ends."""

@@ -186,6 +186,21 @@ def test_templates():
     assert [word[i] for i, p in zip(at, plain) if not p] == ["1999", "mary", "12", "kg"]
 
 
+def test_pages_with_unended_silent_elements():
+    article = "<article><h1>Title</h1><p>Some long text of the story, as it was told to us that day.</p></article>"
+    want = "Title Some long text of the story, as it was told to us that day."
+    pages = [
+        f"<html><head><title>T</title><meta charset=utf-8><body>{article}</body></html>",
+        f"<html><head><title>T</title><style>p{{}}</style>{article}</html>",
+        f"<html><head><noscript><link href=x></noscript><script>1</script></head><body>{article}</body></html>",
+        f"<html><head><noscript><img src=x></noscript><title>T</title><body>{article}</body></html>",
+        f"<body><svg><path d=x>{article}</body>", f"<body><object data=x>{article}</body>",
+        f"<body><noscript><p>Turn it on, we ask you, it is needed here.</p></noscript>{article}</body>",
+        f"<body><noscript>{article}<noscript>x</noscript></body>", f"<head><title>T</title>\n</head><body>{article}</body>", f"<body><object><p>It needs a plugin, we are sorry.</p></object>{article}</body>",
+    ]
+    assert extraction.extract(extraction.train([]), pages) == [want] * len(pages)
+
+
 def test_page_parts():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
     <ul id="main-menu"><li><a href="/">Home</a></li></ul><script>var t = "</p>";</script>
