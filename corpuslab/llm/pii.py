@@ -1,8 +1,9 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base patterns find spans that are kept in any case. Wider patterns find candidates:
-spelled-out addresses, telephone numbers without the international sign, card numbers in
-groups that fail the check digit. Labelers of three sorts (forms, gazetteers, words around the span)
+spelled-out addresses, telephone numbers without the international sign in American, German, French
+and Spanish groups, card numbers in groups that fail the check digit, IPv6 addresses and those with
+dots written out or in brackets. Labelers of three sorts (forms, gazetteers, words around the span)
 vote on every span, base or candidate; expectation-maximisation (``weak``) estimates
 their reliabilities, and its posteriors train a final classifier, a logistic regression over
 the properties of a span, which decides on the candidates.
@@ -33,13 +34,23 @@ BASE = (
 #: what a text must have for a pattern to be worth a search
 HINT = ("@", r"[0-9]\.[0-9]", r"[0-9](?:[ -]?[0-9]){13}", r"\+[0-9]")
 WIDER = (
-    r"(?<![\p{L}0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}"
-    r"(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{2,63}){1,4}",
-    None,
+    r"(?<![\p{L}0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}"
+    r"(?:(?: \. |\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?)[A-Za-z0-9-]{1,62}[A-Za-z0-9]){1,4}"
+    r"| (?i:at|arobase|arroba) [A-Za-z0-9-]{1,63}(?: (?i:dot|punkt|point|punto) [A-Za-z0-9-]{1,62}[A-Za-z0-9]){1,4})",
+    r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| ?[\[\(]dot[\]\)] ?| dot |\.)[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+    r"|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:]))",
     r"(?<![0-9.-])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{2,4}(?![0-9])",
-    r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9.-])",
+    r"(?<![0-9+])(?<![0-9][.-])(?:(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}"
+    r"|0[0-9](?:[ .-][0-9]{2}){4}"
+    r"|(?:\(0[0-9]{1,4}\) ?|0[0-9]{1,4}(?:[ .-]| ?/ ?))(?:[0-9]{5,8}|[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,3})"
+    r"|[6-9][0-9]{2}(?:[ .-][0-9]{3}){2}|[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}"
+    r"|9[0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2})(?![0-9]|[.-][0-9])",
 )
-WIDER_HINT = (r"[\(\[\{]at[\)\]\}]", None, r"[0-9]{4}[ -][0-9]{4}", r"[0-9][ .-][0-9]{4}")
+WIDER_HINT = (
+    r"[\(\[\{]at[\)\]\}]| (?i:dot|punkt|point|punto) ",
+    r"[0-9] ?[\[\(](?:\.|dot)[\]\)]|[0-9] dot [0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]",
+    r"[0-9]{4}[ -][0-9]{4}", r"[0-9]\)?(?:[ .-]| ?/ ?)[0-9]{2}")
 # fixed values: words that stand near personal data of each kind, and words that deny it
 NEAR = (
     r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel|adresse?|address)\b",
@@ -48,7 +59,7 @@ NEAR = (
     r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|telefon|téléphone|teléfono|contact)\b",
 )
 DENIED = r"(?i)\b(?:version|isbn|issn|order|invoice|serial|section|example|sku|part)\b[ :#.]*$"
-TOP_DOMAINS = r"(?i)(?:\.|dot[\)\]\}] ?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at|it|nl|us)$"
+TOP_DOMAINS = r"(?i)(?:\.|dot[\)\]\}] ?| (?:dot|punkt|point|punto) )(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at|it|nl|us)$"
 RULES = ("form", "gazetteer", "near", "denied", "check", "plain")
 BLOCK = 512
 CONTEXT = 40
@@ -146,7 +157,7 @@ def judged(text: Column, spans: Column, kind: int, base: bool) -> Column:
             vote(value.rlike(TOP_DOMAINS), ~value.rlike(r"\.[A-Za-z]{2,}$")),
             vote(value.rlike(r"^(?!0\.|255\.)"), value.rlike(r"^0\.")),
             vote(number.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"), number.rlike("^0")),
-            vote(value.rlike(r"^\+(?:1|3[0-9]|4[0-9])|^\(?[2-9]"), number.rlike("^0{3}")),
+            vote(value.rlike(r"^\+(?:1|3[0-9]|4[0-9])|^\(?[2-9]|^\(?0[1-9]"), number.rlike("^0{3}")),
         )[kind]
         form = (
             vote(value.rlike(r"^[^@]{1,64}@[^@]{3,}$"), value.rlike(r"\.\.")),
@@ -187,13 +198,11 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = [judged(F.col("_t"), F.col(f"_b{k}"), k, True) for k in range(len(KINDS))]
     out = out.withColumn("_base", F.concat(*parts))
     for kind, pattern in enumerate(WIDER):
-        if pattern is None:
-            continue
         out = out.withColumn(f"_w{kind}", located(F.col("_t"), pattern, WIDER_HINT[kind]))
         clear = F.filter(f"_w{kind}", lambda e: ~F.exists(
             "_base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
         out = out.withColumn(f"_c{kind}", judged(F.col("_t"), clear, kind, False))
-    added = [F.col(f"_c{k}") for k, p in enumerate(WIDER) if p is not None]
+    added = [F.col(f"_c{k}") for k in range(len(WIDER))]
     return out.select(*docs.columns, F.concat("_base", *added).alias("_spans"))
 
 

@@ -275,6 +275,26 @@ def test_personal_data_adds_spelled_out_addresses(spark):
     assert row.r.startswith("my e-mail: [EMAIL], phone ")
 
 
+def test_candidates_of_all_forms(spark):
+    forms = {
+        3: ["(555) 123-4567", "555-123-4567", "030 12345678", "(030) 12345678", "030/1234567", "0171 123 4567",
+            "06 12 34 56 78", "06-12-34-56-78", "612 345 678", "612 34 56 78", "91 123 45 67"],
+        0: ["jane at host dot com", "jane.doe at mail dot host dot org", "jane arroba host punto es", "jane (at) host (dot) com"],
+        1: ["10[.]0[.]0[.]1", "10 dot 0 dot 0 dot 1", "10.0.0[.]1", "2001:db8:0:0:0:0:0:1", "fe80::1ff:fe23"],
+    }
+    docs = [(k, v, f"{before}{v}{after}") for k, vs in forms.items() for v in vs
+            for before, after in (("call ", ". Then"), ("see ", " today"), ("(x) ", "-"), ("", ""))]
+    df = spark.createDataFrame(docs, "kind int, value string, text string")
+    missed = pii.find_spans(df).select("kind", "value", "text", F.exists("_spans", lambda e: (e["kind"] == F.col("kind")) & (
+        e["end"] - e["start"] == F.length("value"))).alias("hit")).where("not hit")
+    assert rows(missed) == []
+    some = [(i, f"please call our phone {v}.") for i, v in enumerate(forms[3][:7])]
+    some += [(100 + i, f"please call our phone +49 30 1234{i:04d} today or write a mail to me{i}@example.com") for i in range(40)]
+    found = pii.personal_data(spark.createDataFrame(some, "doc_id long, text string"), keep_text=True)
+    got = rows(found.where("doc_id < 100").select(pii.redacted(F.col("text"), F.col("spans"))))
+    assert got == [("please call our phone [PHONE].",)] * 7
+
+
 def test_redaction_joins_overlapping_spans(spark):
     df = spark.createDataFrame([(1, "x +1 10.0.0.1 2345 y 10.0.0.9"), (2, "nothing"), (3, None)], "doc_id long, text string")
     found = pii.personal_data(df, keep_text=True)
