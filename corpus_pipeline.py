@@ -20,7 +20,11 @@ BROADCAST_IDS = 1_000_000
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which the field finds a language; all of them if no row is labelled."""
+    """Documents with a letter; all of them if no row is labelled.
+
+    The field names a learned language for every text with a letter, also for one in a language
+    it never learned and for letter noise; neither its choice nor its score rejects any.
+    """
     model = language.fit(docs)
     if model is None:
         return docs
