@@ -79,3 +79,23 @@ def first_by_hash(rows: DataFrame, label: str, key: str, many: int) -> DataFrame
     order = Window.partitionBy(label).orderBy("_place", key)
     return near.withColumn("_nth", F.row_number().over(order)).where(
         F.col("_nth") <= many).select(key, label)
+
+
+def join_counted(
+    rows: DataFrame, counted: DataFrame, on: list[str], count: str, total: int, spread: list[str],
+) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, whose keys ``on`` are unique and not null.
+
+    ``counted[count]`` says how many of the ``total`` rows have a key. A key with more than a
+    quarter of a partition's share is split: its rows go by a hash of ``spread`` to so many parts
+    that each is within that share, and its one partner is copied to each part. There are at most
+    four such keys for each partition, which bounds what is broadcast to mark their rows.
+    """
+    share = max(1, total // (4 * partitions(rows.sparkSession)))
+    parts = F.ceil(F.col(count) / F.lit(share)).cast("int")
+    hot = counted.where(F.col(count) > share).select(*on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(
+        F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copied = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(
+        parts, F.lit(1)) - 1)))
+    return dealt.join(copied, [*on, "_part"]).drop("_part")
