@@ -71,11 +71,11 @@ from forms f join chain c on c.word = f.word group by f.word, f.form, f.n, f.n_n
     # every window as a string
     "op12_winnowed_repeats": r"""
 with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
-windows as (select doc_id, i, count(*) over (partition by md5(array_to_string(w[i:i + 34], ' '))) as places
-  from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from docs where len(w) >= 35)),
 words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from docs),
-last as (select a.doc_id, a.word, a.i, max(case when b.places > 1 then a.i end) over (partition by a.doc_id order by a.i) as start
-  from words a left join windows b on b.doc_id = a.doc_id and b.i = a.i),
+windows as (select doc_id, word, i, case when count(*) over own = 35 then md5(string_agg(word, ' ') over own) end as h
+  from words window own as (partition by doc_id order by i rows between current row and 34 following)),
+places as (select doc_id, word, i, h is not null and count(*) over (partition by h) > 1 as twice from windows),
+last as (select doc_id, word, i, max(case when twice then i end) over (partition by doc_id order by i) as start from places),
 kept as (select doc_id, count(*) filter (where i - start < 35) as n_removed,
     string_agg(word, ' ' order by i) filter (where start is null or i - start >= 35) as rest from last group by doc_id)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.rest, '')) as kept_sha256
