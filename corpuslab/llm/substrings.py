@@ -22,9 +22,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +36,7 @@ SIZE, SEED = 35, 8
 SPACE = r"[\x09-\x0d\x20]+"
 #: odd multipliers of the two polynomial hashes
 BASES = np.array([[0x9E3779B97F4A7C15], [0xD6E8FEB86659FD93]], np.uint64)
+HASH_KEYS = ("first word hash ", "second word hash")
 SLICE = 4 * 2**20
 PLACE = ["doc_id", "text_hash"]
 RESULT = ["doc_id", "n_words", "n_removed", "kept"]
@@ -58,11 +59,11 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.filter(pa.array(filled, pa.bool_())), ends[lists.offsets.to_numpy()]
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """Two independent 64-bit hashes of each word, as two rows."""
-    both = b"".join([xxhash.xxh3_128_digest(w) for w in words.dictionary.to_pylist()])
-    known = np.frombuffer(both, ">u8").astype(np.uint64).reshape(-1, 2).T
-    return known[:, words.indices.to_numpy(zero_copy_only=False)]
+def word_hashes(words: pa.Array) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of each word (SipHash under two keys)."""
+    spelled = words.dictionary.to_numpy(zero_copy_only=False)
+    places = words.indices.to_numpy(zero_copy_only=False)
+    return [pd.util.hash_array(spelled, hash_key=key, categorize=False)[places] for key in HASH_KEYS]
 
 
 def run_hashes(words: np.ndarray, size: int, base: np.ndarray) -> np.ndarray:
@@ -182,30 +183,27 @@ def window_rows(open_docs: DataFrame, size: int, seed: int) -> DataFrame:
         run, f"doc_id {kind}, text_hash long, start int, anchor long, window long")
 
 
-def covered(n: int, starts: np.ndarray, many: np.ndarray, size: int) -> np.ndarray:
-    """Which of ``n`` words lie in a window among ``many`` from each of ``starts``."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + many + size - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def rest_of(part: pa.RecordBatch, size: int, digest: bool) -> list[pa.Array]:
     """The columns of ``RESULT`` of texts from which the windows in ``gone`` are taken."""
     words, bounds = split_words(part.column("text"))
-    spelled = words.dictionary_decode().to_pylist()
-    removed, kept = [], []
-    for i, spans in enumerate(part.column("gone").to_pylist()):
-        own = spelled[bounds[i]: bounds[i + 1]]
-        rest = own
-        if spans:
-            starts, many = (np.array([s[c] for s in spans]) for c in ("start", "many"))
-            rest = [own[j] for j in np.flatnonzero(~covered(len(own), starts, many, size))]
-        removed.append(len(own) - len(rest))
-        text = " ".join(rest)
-        kept.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
-    return [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()),
-            pa.array(kept, pa.string())]
+    gone = part.column("gone")
+    spans = gone.flatten()
+    starts, many = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("start", "many"))
+    counts = pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False)
+    starts = starts + np.repeat(bounds[:-1], counts)
+    # how many windows begin and end before each word
+    n = len(words) + 1
+    open_windows = np.cumsum(np.bincount(starts, minlength=n)
+                             - np.bincount(starts + many + size - 1, minlength=n))
+    kept = open_windows[:-1] == 0
+    left = np.concatenate([[0], np.cumsum(kept)])[bounds]
+    rest = words.filter(pa.array(kept, pa.bool_())).dictionary_decode()
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), rest), " ")
+    if digest:
+        texts = pa.array([hashlib.sha256(t.encode()).hexdigest()
+                          for t in texts.to_numpy(zero_copy_only=False)], pa.string())
+    return [part.column("doc_id"), pa.array(np.diff(bounds)),
+            pa.array(np.diff(bounds) - np.diff(left)), texts]
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
