@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators.merges import MergeTable
 from corpuslab.operators.pretokens import META, prepared
-from corpuslab.operators.subwords import best_split, longest_match, merge_word, prefixes
+from corpuslab.operators.subwords import PieceTrie, best_split, longest_match, prefixes
 from corpuslab.operators.vocab import SPECIALS, Vocabulary, byte_alphabet
 
 CACHE_WORDS = 1_000_000
@@ -25,17 +26,19 @@ TIDY = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" n't", "n't"), ("
         (" 've", "'ve"), (" 're", "'re"))
 
 
-def word_encoder(vocab: Vocabulary) -> Callable[[str], list[int]]:
-    """The function that turns one pretoken into ids."""
+def word_encoder(vocab: Vocabulary, longest: int | None = None) -> Callable[[str], list[int]]:
+    """The function that turns one pretoken into ids; ``longest`` holds for WordPiece."""
     ids = {t: i for i, t in enumerate(vocab.tokens)}
     if vocab.kind == "bpe":
         alphabet = byte_alphabet()
-        ranks = {(a, b): (r, m) for r, (a, b, m) in enumerate(vocab.merges)}
+        table = MergeTable(vocab.merges)
         letters = [ids.get(c) for c in alphabet]
-        return lambda word: merge_word(
-            [letters[b] for b in word.encode() if letters[b] is not None], ranks)
+        return lambda word: table.apply_word(
+            [letters[b] for b in word.encode() if letters[b] is not None])
     if vocab.kind == "wordpiece":
-        return lambda word: longest_match(word, ids, ids["[UNK]"])
+        tails = PieceTrie({t[2:]: i for t, i in ids.items() if t.startswith("##")})
+        heads = PieceTrie(ids)
+        return lambda word: longest_match(word, heads, tails, ids["[UNK]"], longest)
     if vocab.kind == "unigram":
         specials = set(SPECIALS["unigram"])
         scores = {t: s for t, s in zip(vocab.tokens, vocab.scores) if t not in specials}
@@ -80,15 +83,19 @@ def _encode_words(lists: pa.Array, encode: Callable[[str], list[int]], cache: di
 
 def encode_corpus(
     df: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text",
+    longest: int | None = None,
 ) -> DataFrame:
-    """``(key, tokens)`` with the ids of each text, no special tokens added."""
+    """``(key, tokens)`` with the ids of each text, no special tokens added.
+
+    ``longest`` makes longer words of a WordPiece vocabulary unknown; without it none is too long.
+    """
     if vocab.kind == "char":
         return encode_chars(df, vocab.tokens, key, text)
     schema = f"{key} {df.schema[key].dataType.simpleString()}, tokens array<int>"
     words = df.select(key, prepared(F.col(text), vocab.kind, vocab.mode).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cache = word_encoder(vocab), {}
+        encode, cache = word_encoder(vocab, longest), {}
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), _encode_words(batch.column(1), encode, cache)], [key, "tokens"])

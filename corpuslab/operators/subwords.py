@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import defaultdict
-from collections.abc import Callable
-
-import numpy as np
-import pyarrow as pa
 
 UNKNOWN = -30.0
 
@@ -87,168 +81,44 @@ def best_split(
     return pieces[::-1], best[n]
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All symbol ids of a batch end to end, and the row each belongs to."""
-    lists = batch.column("ids")
-    sizes = np.asarray(lists.value_lengths()).astype(np.int64)
-    return np.asarray(lists.flatten()).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _keys(ids: np.ndarray) -> np.ndarray:
-    return (ids[:-1] << 32) | ids[1:]
-
-
-def _merge(
-    ids: np.ndarray, row: np.ndarray, batch: list[tuple[int, int, int]],
-) -> tuple[np.ndarray, np.ndarray]:
-    """Replace the pairs of one batch everywhere, leftmost first within a row."""
-    wanted = sorted(((a << 32) | b, new) for a, b, new in batch)
-    keys = np.array([k for k, _ in wanted])
-    new = np.array([n for _, n in wanted])
-    have = _keys(ids)
-    slot = np.minimum(np.searchsorted(keys, have), len(keys) - 1)
-    hits = np.flatnonzero((keys[slot] == have) & (row[:-1] == row[1:]))
-    if not len(hits):
-        return ids, row
-    # hits in sequence overlap (only a symbol merged with itself does): every other one counts
-    first = np.concatenate([[True], np.diff(hits) > 1])
-    place = np.arange(len(hits)) - np.maximum.accumulate(np.where(first, np.arange(len(hits)), 0))
-    hits = hits[place % 2 == 0]
-    ids = ids.copy()
-    ids[hits] = new[slot[hits]]
-    keep = np.ones(len(ids), bool)
-    keep[hits + 1] = False
-    return ids[keep], row[keep]
-
-
-def _merged(batch: pa.RecordBatch, rounds: list) -> tuple[np.ndarray, np.ndarray]:
-    ids, row = _flat(batch)
-    for pairs in rounds:
-        ids, row = _merge(ids, row, pairs)
-    return ids, row
-
-
-def count_pairs(batch: pa.RecordBatch, rounds: list) -> pa.RecordBatch:
-    """``(l, r, n)``: adjacent pairs of a batch of words after the given merge rounds."""
-    ids, row = _merged(batch, rounds)
-    freq = np.asarray(batch.column("freq"))
-    inside = row[:-1] == row[1:]
-    keys, where = np.unique(_keys(ids)[inside], return_inverse=True)
-    n = np.zeros(len(keys), np.int64)
-    np.add.at(n, where, freq[row[:-1][inside]])
-    return pa.RecordBatch.from_arrays(
-        [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)),
-         pa.array(n)], ["l", "r", "n"])
-
-
-def merge_rows(batch: pa.RecordBatch, rounds: list) -> pa.RecordBatch:
-    """The batch with the merge rounds applied; words of one symbol are done and leave."""
-    ids, row = _merged(batch, rounds)
-    sizes = np.bincount(row, minlength=batch.num_rows)
-    long = sizes > 1
-    offsets = np.concatenate([[0], np.cumsum(sizes[long])])
-    return pa.RecordBatch.from_arrays(
-        [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                  pa.array(ids[long[row]].astype(np.int32))),
-         batch.column("freq").filter(pa.array(long))], ["ids", "freq"])
-
-
-def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply the earliest learned merge present until none is."""
-    while len(ids) > 1:
-        present = [(ranks[p][0], p) for p in zip(ids, ids[1:]) if p in ranks]
-        if not present:
-            break
-        _, pair = min(present)
-        merged, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                merged.append(ranks[pair][1])
-                i += 2
-            else:
-                merged.append(ids[i])
-                i += 1
-        ids = merged
-    return ids
-
-
-def longest_match(word: str, ids: dict[str, int], unknown: int, limit: int = 100) -> list[int]:
-    """WordPiece: the longest known piece from each position, ``[UNK]`` if one is missing."""
-    if len(word) > limit:
-        return [unknown]
-    out, start = [], 0
-    while start < len(word):
-        for end in range(len(word), start, -1):
-            found = ids.get(("##" if start else "") + word[start:end])
-            if found is not None:
-                out.append(found)
-                start = end
+class PieceTrie:
+    """Known pieces by their characters: one walk finds the longest that starts at a place."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.steps: dict[tuple[int, str], int] = {}
+        self.ids: dict[int, int] = {}
+        for piece, number in pieces.items():
+            node = 0
+            for ch in piece:
+                node = self.steps.setdefault((node, ch), len(self.steps) + 1)
+            self.ids[node] = number
+
+    def longest(self, word: str, start: int) -> tuple[int, int | None]:
+        """``(end, id)`` of the longest piece of ``word`` from ``start``; the id is None for none."""
+        node, end, found, steps = 0, start, None, self.steps
+        for at in range(start, len(word)):
+            node = steps.get((node, word[at]))
+            if node is None:
                 break
-        else:
-            return [unknown]
-    return out
+            if node in self.ids:
+                end, found = at + 1, self.ids[node]
+        return end, found
 
 
-def merge_in_place(
-    lists: pa.ListArray, freqs: np.ndarray, name: Callable[[int, int], int], go_on: Callable[[], bool],
-) -> list[tuple[int, int, int]]:
-    """Merge the most frequent pair, ties to the smaller ids, for as long as ``go_on`` says.
+def longest_match(
+    word: str, heads: PieceTrie, tails: PieceTrie, unknown: int, longest: int | None = None,
+) -> list[int]:
+    """WordPiece: the longest known piece from each place, ``[UNK]`` if one is missing.
 
-    For words that fit into one place. Symbols are a linked list and each pair knows its
-    places, so a merge touches its own occurrences only; all merges together touch no
-    more places than there are symbols.
+    A walk is no longer than the longest piece, so a word of any length takes linear time. ``longest``
+    makes longer words ``[UNK]``, as public encoders do from 100 characters on.
     """
-    sizes = np.asarray(lists.value_lengths()).astype(np.int64)
-    ids = np.asarray(lists.flatten()).tolist()
-    weight = np.repeat(np.asarray(freqs), sizes).tolist()
-    ends = np.cumsum(sizes)
-    after = np.arange(1, len(ids) + 1)
-    after[ends - 1] = -1
-    before = np.arange(-1, len(ids) - 1)
-    before[ends - sizes] = -1
-    after, before = after.tolist(), before.tolist()
-    counts: dict[tuple[int, int], int] = defaultdict(int)
-    places: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for at, right in enumerate(after):
-        if right >= 0:
-            pair = (ids[at], ids[right])
-            counts[pair] += weight[at]
-            places[pair].append(at)
-    ranked = [(-n, *pair) for pair, n in counts.items()]
-    heapq.heapify(ranked)
-    merges = []
-    while ranked and go_on():
-        count, left, right = heapq.heappop(ranked)
-        now = counts.get((left, right), 0)
-        if now != -count:
-            if now > 0:
-                heapq.heappush(ranked, (-now, left, right))
-            continue
-        if now <= 0:
-            continue
-        new = name(left, right)
-        merges.append((left, right, new))
-        grown = set()
-        for at in sorted(places.pop((left, right))):
-            other = after[at]
-            if ids[at] != left or other < 0 or ids[other] != right:
-                continue
-            n, last, nxt = weight[at], before[at], after[other]
-            counts[left, right] -= n
-            ids[at], ids[other], after[at] = new, -1, nxt
-            if last >= 0:
-                counts[ids[last], left] -= n
-                pair = (ids[last], new)
-                counts[pair] += n
-                places[pair].append(last)
-                grown.add(pair)
-            if nxt >= 0:
-                before[nxt] = at
-                counts[right, ids[nxt]] -= n
-                pair = (new, ids[nxt])
-                counts[pair] += n
-                places[pair].append(at)
-                grown.add(pair)
-        for pair in grown:
-            heapq.heappush(ranked, (-counts[pair], *pair))
-    return merges
+    if longest is not None and len(word) > longest:
+        return [unknown]
+    out, start = [], 0
+    while start < len(word):
+        start, found = (tails if start else heads).longest(word, start)
+        if found is None:
+            return [unknown]
+        out.append(found)
+    return out

@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators.corpus import charset
+from corpuslab.operators.merges import MergeTable, count_pairs, merge_band, merged_rows, rows_with
 from corpuslab.operators.pretokens import assign_ids, prepared, pretoken_counts
-from corpuslab.operators.subwords import (
-    best_split, count_pairs, expected_pieces, merge_in_place, merge_rows, prefixes,
-)
+from corpuslab.operators.subwords import best_split, expected_pieces, prefixes
 from corpuslab.session import fixed_table, shared_dir
 
 END_OF_TEXT = "<|endoftext|>"
@@ -32,9 +31,10 @@ SPECIALS = {
 }
 END_NAMES = (END_OF_TEXT, "<eos>", "</s>")
 MAX_SYMBOLS = 1_200_000
-RANKED_PAIRS = 512
-#: words of no more symbols than this (40 MB of ids) are merged in one place, without rounds
-HELD_SYMBOLS = 10_000_000
+#: how far the ranking of pairs is looked at in a round
+RANKED_PAIRS = 20_000
+#: words of no more symbols than this (about 100 MB while they are merged) make up a band
+BAND_SYMBOLS = 500_000
 
 
 @dataclass
@@ -147,15 +147,17 @@ def _dealt(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
 
 def _learn_merges(
     words: DataFrame, symbols: Callable[[Column], Column], specials: Sequence[str], size: int,
-    glue: Callable[[str, str], str], checkpoint_every: int = 24,
+    glue: Callable[[str, str], str], checkpoint_every: int = 12,
 ) -> tuple[list[str], list[tuple[int, int, int]]]:
     """Merge the most frequent adjacent pair until the vocabulary is full.
 
-    A word is its array of symbol ids. Each round is one aggregation: tasks apply the
-    merges since the last checkpoint to their words and count pairs, sums collapse on
-    the map side, the best pairs reach the driver. Ties go to the smaller ids. Distinct
-    words of at most ``HELD_SYMBOLS`` symbols are merged in one place instead, with the same
-    result and without a job for every few merges.
+    A word is its array of symbol ids, ties go to the smaller ids. A round counts all pairs once: tasks
+    apply the merges since the last checkpoint, sums collapse on the map side, the head of the ranking
+    reaches the driver. As far as the words that hold its pairs have at most ``BAND_SYMBOLS``
+    symbols, these words alone are fetched and merged down to the count of the first pair left out
+    (:func:`merge_band`), often thousands of merges at once. While the first pairs are in too many words
+    for that, merges are taken from the ranking as far as none can influence another
+    (:func:`exact_batch`). The result is that of one merge at a time, at every size.
     """
     spark = words.sparkSession
     shared_dir(spark)
@@ -177,65 +179,77 @@ def _learn_merges(
                 [pa.ListArray.from_arrays(offsets, known.take(flat.indices)), batch.column("freq")],
                 ["ids", "freq"])
 
-    def counted(rounds):
-        return lambda batches: (count_pairs(b, rounds) for b in batches if b.num_rows)
-
-    def rewritten(rounds):
-        return lambda batches: (merge_rows(b, rounds) for b in batches if b.num_rows)
-
     state = (
         _dealt(spelled.where(F.size("syms") > 1).select("syms", "freq"), spelled.count())
         .mapInArrow(as_ids, "ids array<int>, freq bigint").checkpoint()
     )
-    symbols = spelled.agg(F.sum(F.size("syms"))).first()[0] or 0
-    if symbols <= HELD_SYMBOLS:
-        def name(left: int, right: int) -> int:
-            token = glue(vocab[left], vocab[right])
-            if token not in index:
-                index[token] = len(vocab)
-                vocab.append(token)
-            return index[token]
-
-        held = state.toArrow().combine_chunks()
-        if not held.num_rows:
-            return vocab, []
-        return vocab, merge_in_place(
-            held.column("ids").chunk(0), held.column("freq").to_numpy(), name,
-            lambda: len(vocab) < size)
     cores = spark.sparkContext.defaultParallelism
     merges: list[tuple[int, int, int]] = []
-    pending: list[list[tuple[int, int, int]]] = []
+    # merges to apply, in lists: a known token may bring back a merged pair, so it ends its list
+    pending: list[list[tuple[int, int, int]]] = [[]]
+    rounds = 0
+
+    def name(left: int, right: int) -> tuple[int, bool]:
+        token = glue(vocab[left], vocab[right])
+        known = token in index
+        if not known:
+            index[token] = len(vocab)
+            vocab.append(token)
+        return index[token], known
+
+    def in_tasks(work, schema, *args):
+        segments = [m for m in pending if m]
+
+        def run(batches):
+            tables = [MergeTable(m) for m in segments]
+            return (work(b, tables, *args) for b in batches if b.num_rows)
+
+        return state.mapInArrow(run, schema)
+
     while len(vocab) < size:
         # batches arrive summed; a round is short, so it shuffles to the cores there are
-        pairs = (
-            state.mapInArrow(counted(pending), "l int, r int, n bigint")
-            .repartition(cores, "l", "r").groupBy("l", "r").agg(F.sum("n").alias("n"))
-        )
-        top = pairs.orderBy(F.col("n").desc(), "l", "r").limit(RANKED_PAIRS).collect()
-        if not top:
+        pairs = in_tasks(count_pairs, "l int, r int, n bigint, held bigint").repartition(
+            cores, "l", "r").groupBy("l", "r").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+        top = pairs.orderBy(F.col("n").desc(), "l", "r").limit(RANKED_PAIRS).toArrow()
+        if not top.num_rows:
             break
+        left, right, n, held = (top.column(c).to_numpy() for c in ("l", "r", "n", "held"))
+        fits = int(np.searchsorted(np.cumsum(held), BAND_SYMBOLS, side="right"))
+        # the ranking goes on below its last row, and a band does not end within a count
+        whole = fits == len(n) and len(n) < RANKED_PAIRS
+        floor = 1 if whole else int(n[min(fits, len(n) - 1)]) + 1
+        band = n >= floor
         spelled_now: set[str] = set()
 
-        def repeats(left: int, right: int) -> bool:
-            token = glue(vocab[left], vocab[right])
+        def repeats(a: int, b: int) -> bool:
+            token = glue(vocab[a], vocab[b])
             known = token in index or token in spelled_now
             spelled_now.add(token)
             return known
 
-        batch = exact_batch([(r["l"], r["r"], r["n"]) for r in top],
-                            len(top) < RANKED_PAIRS, size - len(vocab), repeats)
-        taken = []
-        for left, right in batch:
-            token = glue(vocab[left], vocab[right])
-            if token not in index:
-                index[token] = len(vocab)
-                vocab.append(token)
-            taken.append((left, right, index[token]))
-        merges += taken
-        pending.append(taken)
-        if len(pending) == checkpoint_every:
-            state = state.mapInArrow(rewritten(pending), state.schema).checkpoint()
-            pending = []
+        apart = exact_batch(
+            list(zip(left.tolist(), right.tolist(), n.tolist())), len(n) < RANKED_PAIRS,
+            size - len(vocab), repeats)
+        if band.sum() > len(apart):
+            keys = np.sort((left[band].astype(np.int64) << 32) | right[band])
+            words_of_band = in_tasks(rows_with, state.schema, keys).toArrow().combine_chunks()
+            taken = merge_band(
+                words_of_band.column("ids").chunk(0), words_of_band.column("freq").to_numpy(), floor,
+                name, lambda: len(vocab) < size)
+        else:
+            taken = []
+            for a, b in apart:
+                token, known = name(a, b)
+                taken.append(((a, b, token), known))
+        for merge, known in taken:
+            merges.append(merge)
+            pending[-1].append(merge)
+            if known:
+                pending.append([])
+        rounds += 1
+        if rounds % checkpoint_every == 0:
+            state = in_tasks(merged_rows, state.schema).checkpoint()
+            pending = [[]]
     return vocab, merges
 
 

@@ -1,11 +1,14 @@
 import collections
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import vocab as V
 from corpuslab.operators.encode import decode_corpus, encode_corpus, word_encoder
+from corpuslab.operators.merges import MergeTable, flat, lists_of
 from corpuslab.operators.pretokens import pretoken_counts, pretokens
 from corpuslab.operators.vocab import (
     SPECIALS, Vocabulary, byte_alphabet, char_vocab, eos_id, exact_batch, train_bpe, train_unigram,
@@ -19,11 +22,14 @@ TEXTS = [
 ]
 
 
-@pytest.fixture(params=["held", "rounds"])
+@pytest.fixture(params=["bands", "small bands", "short ranking", "batches"])
 def route(request, monkeypatch):
-    """Both ways of merging: in one place, and in rounds of jobs."""
-    if request.param == "rounds":
-        monkeypatch.setattr(V, "HELD_SYMBOLS", 0)
+    """All ways of merging: words in bands of any size, and pair by pair of the ranking."""
+    symbols, ranked = {
+        "bands": (500_000, 20_000), "small bands": (250, 20_000), "short ranking": (500, 40),
+        "batches": (0, 512)}[request.param]
+    monkeypatch.setattr(V, "BAND_SYMBOLS", symbols)
+    monkeypatch.setattr(V, "RANKED_PAIRS", ranked)
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +96,38 @@ def test_bpe_on_random_words(spark, route):
     assert vocab.merges == learn_by_hand(byte_words(texts), SPECIALS["bpe"], 120, lambda a, b: a + b)[1]
 
 
+def test_earliest_merge_in_columns_equals_word_by_word():
+    rng = random.Random(4)
+    merges = [(0, 0, 3), (0, 1, 4), (3, 1, 5), (4, 4, 6), (1, 2, 7), (6, 7, 8), (2, 2, 9)]
+    table = MergeTable(merges)
+    words = [[rng.randrange(3) for _ in range(rng.randint(1, 40))] for _ in range(200)]
+    ids, row = table.apply(*flat(pa.array(words, pa.list_(pa.int32()))))
+    assert lists_of(ids, row, len(words)).to_pylist() == [table.apply_word(w) for w in words]
+
+
+@pytest.mark.parametrize("kind", ["bpe", "wordpiece", "unigram"])
+def test_a_word_of_many_letters(corpus, kind):
+    train = {"bpe": train_bpe, "wordpiece": train_wordpiece, "unigram": train_unigram}[kind]
+    vocab = train(corpus, size=150)
+    rng = random.Random(8)
+    word = "".join(rng.choice("abethn") for _ in range(300_000))
+    encode = word_encoder(vocab)
+    started = time.perf_counter()
+    ids = encode(word)
+    assert time.perf_counter() - started < 60
+    assert "".join(vocab.tokens[i].removeprefix("##") for i in ids) == word
+    tk = pytest.importorskip("tokenizers")  # quadratic or worse, so it gets the head of the word
+    head = word[:2_000]
+    if kind == "bpe":
+        model = tk.models.BPE({t: i for i, t in enumerate(vocab.tokens)},
+                              [(vocab.tokens[a], vocab.tokens[b]) for a, b, _ in vocab.merges])
+        assert [t.id for t in model.tokenize(head)] == encode(head)
+    if kind == "wordpiece":
+        model = tk.models.WordPiece({t: i for i, t in enumerate(vocab.tokens)}, unk_token="[UNK]",
+                                    max_input_chars_per_word=len(head))
+        assert [t.id for t in model.tokenize(head)] == encode(head)
+
+
 def test_exact_batch():
     assert exact_batch([(1, 2, 9), (3, 4, 8), (2, 5, 7)], True, 99) == [(1, 2), (3, 4)]
     assert exact_batch([(1, 2, 9), (1, 3, 8)], True, 99) == [(1, 2), (1, 3)]
@@ -149,7 +187,8 @@ def test_wordpiece(corpus, route):
     assert (vocab.tokens, vocab.merges) == (tokens, merges)
     encode = word_encoder(vocab)
     ids = {t: i for i, t in enumerate(tokens)}
-    assert encode("x" * 101) == [ids["[UNK]"]] and encode("☃") == [ids["[UNK]"]]
+    assert word_encoder(vocab, longest=100)("t" * 101) == [ids["[UNK]"]] and encode("☃") == [ids["[UNK]"]]
+    assert encode("t" * 101)[0] == ids["t"] and len(encode("t" * 101)) > 1
     assert "".join(tokens[i].removeprefix("##") for i in encode("there")) == "there"
 
 
