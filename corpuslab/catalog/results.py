@@ -15,7 +15,8 @@ from corpuslab.operators.scoring import sweep
 from corpuslab.plans.results_plan import FAMILIES, family_table, language_table, model_scores
 from corpuslab.session import scratch_path
 from corpuslab.sources.reports import (
-    read_language_reports, read_model_meta, read_reports, read_summaries, write_language_report, write_report,
+    read_language_reports, read_model_meta, read_report_details, read_reports, read_summaries,
+    write_language_report, write_report,
     write_summary,
 )
 from corpuslab.sources.tables import table
@@ -79,6 +80,25 @@ def report_written(spark, sf):
     return read_reports(spark, path).select("dataset_used", "subject", "accuracy", "n")
 
 
+@query("""
+with rows as (select d.doc_id, d.lang, l.quality, 1 - l.toxic as pred from labels l join documents d on d.doc_id = l.doc_id),
+totals as (select sum((pred = quality)::int)::bigint as correct, count(*) as total_examples from rows)
+select (row_number() over (order by doc_id) - 1)::int as position, doc_id, pred = quality as passed, correct, total_examples
+from rows, totals order by doc_id limit 10
+""")
+def report_details_written(spark, sf):
+    """A report with its totals and the first ten detail rows, written and read back."""
+    rows = labelled(spark, sf)
+    path = scratch_path(spark, "report")
+    write_report(
+        accuracy_by(rows, "lang", "pred", "quality").withColumnRenamed("lang", "subject"), path,
+        details=rows.select("doc_id", (F.col("pred") == F.col("quality")).alias("passed")))
+    whole = read_reports(spark, path).where("subject is null").select("report", "correct", "total_examples")
+    details = read_report_details(spark, path, "doc_id bigint, passed boolean")
+    return details.join(whole, "report").select(
+        "position", "detail.doc_id", "detail.passed", "correct", "total_examples")
+
+
 @query("""
 with s as (select d.source as model, d.lang as language, avg((1 - l.toxic = l.quality)::int) as accuracy,
                   count(*) as total_samples

@@ -104,6 +104,63 @@ def test_language_reports(spark):
     assert [r.model for r in alone] == ["o/m"]
 
 
+def test_reports_of_many_entries_keep_their_order_and_run_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "subject string, accuracy double, n bigint"
+    rows = [(f'k{i:04} "é"', i / 2_000, 10) for i in range(2_000)] + [(None, 0.25, 8)]
+    df = spark.createDataFrame(rows, schema).repartition(5).mapInArrow(count, schema)
+    path = scratch_path(spark, "report")
+    details = spark.createDataFrame([(i, f"line\n{{{i}}}", None) for i in range(30)],
+                                    "doc_id bigint, text string, x int").repartition(3)
+    R.write_report(df, path, details=details, detail_rows=None)
+    assert seen.value == 2_001
+    back = R.read_reports(spark, path)
+    assert sorted(map(tuple, back.select("subject", "accuracy", "n").collect()), key=repr) == sorted(rows, key=repr)
+    assert {(r.correct, r.total_examples) for r in back.collect()} == {(2, 8)}
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    assert list(json.loads(text)["per_subject"]) == sorted(r[0] for r in rows if r[0])
+    got = R.read_report_details(spark, path, "doc_id bigint, text string").orderBy("position").collect()
+    assert [(r.position, r.detail.doc_id, r.detail.text) for r in got] == [
+        (i, i, f"line\n{{{i}}}") for i in range(30)]
+
+
+def test_passed_report_with_details(spark, tmp_path):
+    dump(str(tmp_path), "h.json", {"pass@1": 0.5, "n": 2, "details": [
+        {"task_id": "a", "pass": True}, {"task_id": "b", "pass": False}]})
+    path = f"{tmp_path}/h.json"
+    assert [(r.subject, r.accuracy, r.n) for r in R.read_reports(spark, path).collect()] == [(None, 0.5, 2)]
+    got = R.read_report_details(spark, path, "task_id string, `pass` boolean").orderBy("position").collect()
+    assert [(r.report, r.detail.task_id, r.detail["pass"]) for r in got] == [("h", "a", True), ("h", "b", False)]
+
+
+def test_empty_report(spark):
+    path = scratch_path(spark, "report")
+    R.write_report(spark.createDataFrame([], "subject string, accuracy double, n bigint"), path)
+    assert [(r.subject, r.n) for r in R.read_reports(spark, path).collect()] == [(None, None)]
+
+
+def test_language_reports_of_many_languages(spark):
+    rows = [(m, f"l{i:03}", i / 1_000, i, 1.0, None if i % 2 else "failed") for m in ("a/b", "a__b", "c") for i in range(300)]
+    df = spark.createDataFrame([*rows, ("d", None, 0.5, 1, 1.0, None)],
+        "model string, language string, accuracy double, total_samples bigint, elapsed_time double, error string")
+    path = scratch_path(spark, "lang")
+    R.write_language_report(df.repartition(7), path)
+    for place in ("all_results", "models"):
+        found = {r.model: r for r in R.read_language_reports(spark, f"{path}/{place}").collect()}
+        assert set(found) == {"a/b", "a__b", "c", "d"}
+        assert set(found["c"].languages) == {f"l{i:03}" for i in range(300)}
+        assert found["a/b"].languages["l007"].accuracy == 0.007 and found["d"].languages[""].total_samples == 1
+        assert found["c"].avg_accuracy == pytest.approx(0.15)
+    text = spark.read.text(f"{path}/models/model_dir=c", wholetext=True).first()[0]
+    assert list(json.loads(text)["languages"]) == [f"l{i:03}" for i in range(300)]
+
+
 def test_splits(spark):
     df = spark.createDataFrame([("train", 1), ("zeta", 2), ("alpha", 3)], "split string, v int")
     path = scratch_path(spark, "splits")
