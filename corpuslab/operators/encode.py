@@ -127,35 +127,60 @@ def encode_chars(
     return df.select(key, F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _join_pieces(pieces: list[str], kind: str, to_byte: dict[str, int]) -> str:
-    if kind == "bpe":
-        return bytes(to_byte[c] for p in pieces for c in p).decode("utf-8", "replace")
-    if kind == "wordpiece":
-        spaced = [p if i == 0 else p[2:] if p.startswith("##") else " " + p for i, p in enumerate(pieces)]
-        for mark, tidy in TIDY:
-            spaced = [p.replace(mark, tidy) for p in spaced]
-        return "".join(spaced)
-    if kind == "unigram":
-        joined = "".join(pieces).replace(META, " ")
-        return joined[1:] if joined.startswith(" ") else joined
-    return "".join(pieces)
+def _spelled(vocab: Vocabulary) -> tuple[pa.Array, pa.Array]:
+    """The bytes of each token at the head of a text and after it; special tokens have none."""
+    hidden = set(SPECIALS[vocab.kind])
+    tokens = ["" if t in hidden else t for t in vocab.tokens]
+    if vocab.kind == "bpe":
+        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+        heads = tails = [bytes(to_byte[c] for c in t) for t in tokens]
+    elif vocab.kind == "wordpiece":
+        def tidy(piece: str) -> bytes:
+            for mark, plain in TIDY:
+                piece = piece.replace(mark, plain)
+            return piece.encode()
+
+        heads = [tidy(t) for t in tokens]
+        tails = [tidy(t[2:] if t.startswith("##") else " " + t) for t in tokens]
+    elif vocab.kind == "unigram":
+        tails = [t.replace(META, " ").encode() for t in tokens]
+        heads = [t.removeprefix(b" ") for t in tails]
+    else:
+        heads = tails = [t.encode() for t in tokens]
+    return pa.array(heads, pa.binary()), pa.array(tails, pa.binary())
+
+
+def _decoded(lists: pa.Array, heads: pa.Array, tails: pa.Array, shown: np.ndarray) -> pa.Array:
+    """The text of each list of ids: tokens gathered by index and joined by list, in C++."""
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(ids) and ids.min() < 0:
+        raise ValueError("a token id is negative")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    visible = shown[ids] if len(ids) else np.zeros(0, bool)
+    offsets = np.concatenate([[0], np.cumsum(visible)])[np.concatenate([[0], np.cumsum(sizes)])]
+    ids = pa.array(ids[visible])
+    first = np.zeros(len(ids) + 1, bool)
+    first[offsets[:-1]] = True
+    pieces = pc.if_else(pa.array(first[:-1], pa.bool_()), heads.take(ids), tails.take(ids))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces), b"")
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:  # a list that ends or begins within a character
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
 def decode_corpus(
     df: DataFrame, vocab: Vocabulary, key: str = "doc_id", ids: str = "tokens", out: str = "text",
 ) -> DataFrame:
-    """``(key, text)``; special tokens leave no text."""
+    """``(key, text)``; special tokens leave no text, a null list is an empty text."""
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {out} string"
-    hidden = set(SPECIALS[vocab.kind])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+        heads, tails = _spelled(vocab)
+        hidden = set(SPECIALS[vocab.kind])
+        shown = np.array([t not in hidden for t in vocab.tokens], bool)
         for batch in batches:
-            texts = [
-                _join_pieces([vocab.tokens[i] for i in row or [] if vocab.tokens[i] not in hidden],
-                             vocab.kind, to_byte)
-                for row in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, out])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _decoded(batch.column(1), heads, tails, shown)], [key, out])
 
     return df.select(key, F.col(ids).alias("ids")).mapInArrow(run, schema)

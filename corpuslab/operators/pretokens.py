@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import normalize_text
+from corpuslab.operators.prefix import running
 from corpuslab.session import fixed_table
 
 META = "▁"
@@ -59,20 +60,19 @@ def pretoken_counts(
         F.count(F.lit(1)).alias("freq"))
 
 
-def assign_ids(
-    tokens: DataFrame, specials: Sequence[str] = (), limit: int | None = 1_200_000,
-) -> DataFrame:
+def assign_ids(tokens: DataFrame, specials: Sequence[str] = (), few: bool = False) -> DataFrame:
     """``(token, id)``: the specials first, then the distinct tokens in code-point order.
 
-    Numbering is over the vocabulary, never over the corpus. Its size is checked against
-    ``limit``; pass None only for tokens bounded by nature, such as characters.
+    Numbered by running counts over ranges of the order, whatever the number of tokens. Tokens that
+    are ``few`` by nature, such as characters, are numbered by a plain window instead.
     """
     rest = tokens.select("token").distinct().where(~F.col("token").isin(list(specials)))
-    if limit is not None and rest.limit(limit + 1).count() > limit:
-        raise ValueError(f"a vocabulary of more than {limit} tokens")
     base = len(specials)
-    numbered = rest.select("token", (
-        F.row_number().over(Window.orderBy("token")) + (base - 1)).cast("int").alias("id"))
+    if few:
+        numbered = rest.withColumn("_n", F.row_number().over(Window.orderBy("token")))
+    else:
+        numbered = running(rest, ["token"], {"_n": (F.lit(1), "sum")})
+    numbered = numbered.select("token", (F.col("_n") + (base - 1)).cast("int").alias("id"))
     if not specials:
         return numbered
     fixed = fixed_table(

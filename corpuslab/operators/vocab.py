@@ -75,7 +75,7 @@ def eos_id(vocab: DataFrame, names: Sequence[str] = END_NAMES) -> DataFrame:
 
 def char_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     """``(token, id)``: ``<unk>`` is 0, then the characters in code-point order."""
-    return assign_ids(charset(df, column=text).withColumnRenamed("ch", "token"), SPECIALS["char"], limit=None)
+    return assign_ids(charset(df, column=text).withColumnRenamed("ch", "token"), SPECIALS["char"], few=True)
 
 
 def byte_alphabet() -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuslab.operators import vocab as V
 from corpuslab.operators.encode import decode_corpus, encode_corpus, word_encoder
 from corpuslab.operators.merges import MergeTable, flat, lists_of
-from corpuslab.operators.pretokens import pretoken_counts, pretokens
+from corpuslab.operators.pretokens import assign_ids, pretoken_counts, pretokens
 from corpuslab.operators.vocab import (
     SPECIALS, Vocabulary, byte_alphabet, char_vocab, eos_id, exact_batch, train_bpe, train_unigram,
     train_wordpiece, vocab_size,
@@ -159,6 +159,21 @@ def test_round_trips(corpus):
         assert back == dict(enumerate(TEXTS))
 
 
+def test_decoding_of_torn_empty_and_null_lists(spark):
+    vocab = Vocabulary("bpe", [*SPECIALS["bpe"], *byte_alphabet()])
+    snow = [1 + b for b in "☃".encode()]
+    rows = [(0, snow[:2]), (1, []), (2, None), (3, [0, *snow, 0]), (4, [1 + 65])]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<int>").coalesce(1)
+    got = {r.doc_id: r.text for r in decode_corpus(df, vocab).collect()}
+    assert got == {0: "\ufffd", 1: "", 2: "", 3: "☃", 4: "A"}
+
+
+def test_dense_ids_of_any_number(spark):
+    tokens = spark.createDataFrame([(f"t{i % 700:03}",) for i in range(5_000)], "token string").repartition(6)
+    want = {"<a>": 0, "<b>": 1} | {f"t{i:03}": i + 2 for i in range(700)}
+    assert {r.token: r.id for r in assign_ids(tokens, ("<a>", "<b>")).collect()} == want
+
+
 def test_char_vocabulary(spark, corpus):
     rows = char_vocab(corpus).orderBy("id").collect()
     want = ["<unk>", *sorted(set("".join(TEXTS)))]
