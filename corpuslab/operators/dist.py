@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corpuslab.operators.lookup import spread_join
 from corpuslab.operators.prefix import running
 
+#: exponents to a bin: a bin's sum of any number of terms stays within a double
+BIN = 256.0
+
 
 def top_k_ties(
     df: DataFrame, keys: Sequence[str], val: str, k: int, row_id: Sequence[str],
@@ -26,14 +29,34 @@ def top_k_ties(
     return spread_join(df, limits, keys, row_id).where(F.col(val) >= F.col("_limit")).drop("_limit")
 
 
+def _exp_totals(scaled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, _origin, _sum)``: the sum of ``exp(_z - _origin)`` of each key.
+
+    Values are summed by bins of ``BIN`` exponents, each relative to its own bin, so that sums of parts can be
+    added without a peak known beforehand; the origin is the topmost bin. Only that one and its neighbour
+    matter (what lies lower is below ``exp(-BIN)`` of the sum); one of them is even and one is odd, so
+    a key's state is the top bin of either kind. NaN where every value is minus infinity.
+    """
+    bins = scaled.withColumn("_bin", F.floor(F.col("_z") / BIN)).groupBy(*keys, "_bin").agg(
+        F.sum(F.exp(F.col("_z") - F.col("_bin") * F.lit(BIN))).alias("_s"))
+    tops = bins.groupBy(*keys).agg(*[
+        F.max(F.when(F.pmod("_bin", F.lit(2)) == i, F.struct("_bin", "_s"))).alias(f"_top{i}")
+        for i in (0, 1)])
+    top = F.greatest("_top0._bin", "_top1._bin")
+    parts = [F.coalesce(
+        F.col(f"_top{i}._s") * F.exp((F.col(f"_top{i}._bin") - top) * F.lit(BIN)), F.lit(0.0))
+        for i in (0, 1)]
+    total = parts[0] + parts[1]
+    return tops.select(*keys, (top * F.lit(BIN)).alias("_origin"), F.when(
+        total > 0, total).otherwise(F.lit(float("nan"))).alias("_sum"))
+
+
 def _shifted(
     df: DataFrame, keys: Sequence[str], logit: str, temperature: float, row_id: Sequence[str],
 ) -> DataFrame:
     scaled = df.withColumn("_z", F.col(logit).cast("double") / max(1e-8, temperature))
-    peaks = scaled.groupBy(*keys).agg(F.max("_z").alias("_peak"))
-    moved = spread_join(scaled, peaks, keys, row_id).withColumn("_z", F.col("_z") - F.col("_peak"))
-    sums = moved.groupBy(*keys).agg(F.sum(F.exp("_z")).alias("_sum"))
-    return spread_join(moved, sums, keys, row_id).drop("_peak")
+    joined = spread_join(scaled, _exp_totals(scaled, keys), keys, row_id)
+    return joined.withColumn("_z", F.col("_z") - F.col("_origin")).drop("_origin")
 
 
 def softmax(
@@ -42,7 +65,8 @@ def softmax(
 ) -> DataFrame:
     """Softmax within each group, the temperature held above 1e-8.
 
-    Peak and sum are map-side aggregates joined back, so no group is gathered.
+    The sums come from one aggregate over the rows and return in one join, so no group is
+    gathered.
     """
     return _shifted(df, keys, logit, temperature, row_id).withColumn(
         out, F.exp("_z") / F.col("_sum")).drop("_z", "_sum")

@@ -118,6 +118,29 @@ def test_nucleus_keeps_the_set_within_p(spark):
     assert math.isclose(got[("c", "a")], 0.5 / 0.7) and got[("d", "x")] == 1.0
 
 
+def test_softmax_over_far_exponents_reads_rows_once(spark):
+    rng = random.Random(6)
+    spans = {"near": (-3, 3), "wide": (-900, 900), "edge": (250, 262), "low": (-5_000, -4_900)}
+    rows = [(g, i, rng.uniform(*span)) for g, span in spans.items() for i in range(50)]
+    rows += [("masked", 0, -math.inf), ("masked", 1, 0.5), ("masked", 2, None), (None, 0, 1.0), (None, 1, 1.0),
+             ("binned", 0, 511.9), ("binned", 1, 512.1), ("binned", 2, -700.0)]
+    df = spark.createDataFrame(rows, "g string, i int, z double")
+    found = softmax(df, ["g"], "z", ["g", "i"])
+    got = {(r.g, r.i): r.prob for r in found.collect()}
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        z = {r[1]: r[2] for r in rows if r[0] == g and r[2] is not None}
+        peak = max(z.values())
+        total = sum(math.exp(v - peak) for v in z.values())
+        for i, v in z.items():
+            assert got[g, i] == pytest.approx(math.exp(v - peak) / total, rel=1e-12, abs=1e-300)
+    assert got["masked", 2] is None
+    logs = {(r.g, r.i): r.logprob for r in log_softmax(df, ["g"], "z", ["g", "i"]).collect()}
+    assert logs["binned", 2] == pytest.approx(-700 - 512.1 - math.log(1 + math.exp(-0.2)), rel=1e-12)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_softmax(spark):
     df = spark.createDataFrame([("g", 0, 1000.0), ("g", 1, 1001.0)], "g string, i int, z double")
     p = {r.i: r.prob for r in softmax(df, ["g"], "z", ["i"]).collect()}
