@@ -39,33 +39,46 @@ def pieces(
     """Tokenise and cut: ``(key, piece, start, length, ids_crc32[, ids])``."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
-              ("length", pa.int64()), ("ids_crc32", pa.int64())]
     if with_ids:
-        schema, fields = schema + ", ids array<int>", [*fields, ("ids", pa.list_(pa.int32()))]
+        schema += ", ids array<int>"
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         for batch in batches:
             for part in slices(batch, "text", 4 * 2**20):
-                ids, bounds = encoder.texts(part.column("text"))
-                out: list[list] = [[] for _ in fields]
-                for n, doc in enumerate(part.column("doc_id").to_pylist()):
-                    own = np.append(ids[bounds[n]:bounds[n + 1]], np.uint32(END)).astype("<u4")
-                    for k, start in enumerate(range(0, len(own), capacity)):
-                        piece = own[start:start + capacity]
-                        row = (doc, k, start, len(piece), zlib.crc32(piece.tobytes()),
-                               piece.astype(np.int32))
-                        for column, value in zip(out, row):
-                            column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, (_, kind) in zip(out, fields)],
-                    names=[name for name, _ in fields])
+                    cut_ids(part.column("doc_id"), *encoder.texts(part.column("text")),
+                            capacity, with_ids),
+                    names=names)
         encoder.shrink()
 
     return rows.mapInArrow(cut, schema)
 
 
+def cut_ids(
+    docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: int, with_ids: bool,
+) -> list[pa.Array]:
+    """Columns of the pieces of documents, whose ids lie in a row, parted at ``bounds``."""
+    ids = np.insert(ids, bounds[1:], END).astype("<u4", copy=False)
+    firsts = bounds + np.arange(len(bounds))  # each document is one token longer now
+    sizes = np.diff(firsts)
+    many = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), many)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    start = piece * capacity
+    length = np.minimum(sizes[row] - start, capacity)
+    low = firsts[row] + start
+    view = memoryview(ids).cast("B")
+    sums = [zlib.crc32(view[a:b]) for a, b in zip((4 * low).tolist(), (4 * (low + length)).tolist())]
+    columns = [docs.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start),
+               pa.array(length), pa.array(sums, pa.int64())]
+    if with_ids:  # pieces stand in a row too, without a hole
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))))
+    return columns
+
+
 class Sweeps:
     """The packing plan for ``counts`` documents of each length.
 

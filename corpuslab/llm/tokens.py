@@ -75,10 +75,12 @@ class WordIds:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text begins (one more than texts)."""
-        lists = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[\x09-\x0d\x20]+")
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.values.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        found = [self.word(w) for w in coded.dictionary.to_pylist()]
+        known = self.words.get
+        found = [ids if (ids := known(w)) is not None else self.word(w)
+                 for w in coded.dictionary.to_numpy(zero_copy_only=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
