@@ -62,23 +62,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def first_by_hash(rows: DataFrame, label: str, key: str, many: int) -> DataFrame:
-    """At most ``many`` rows ``(key, label)`` of each label, those first by a hash of the key.
+def first_by_hash(rows: DataFrame, label: str, keys: list[str], many: int) -> DataFrame:
+    """At most ``many`` distinct rows ``(*keys, label)`` of each label, those first by a hash of the keys.
 
     Rows far down the order are left out before any is shuffled, so that a label with most
-    of the rows is no hot key. Labels are few; they are counted on the way.
+    of the rows is no hot key. How far is told by the number of distinct places, not of rows: repeated
+    rows share a place, and a label whose rows are all alike keeps it. Labels are few; they are counted on
+    the way.
     """
-    place = F.xxhash64(F.col(key).cast("string"))
-    counts = rows.groupBy(label).count().collect()
-    bounds = {r[label]: -(2**63) + int(2**64 * min(1.0, (2 * many + 50) / r["count"])) - 1
-              for r in counts}
+    placed = rows.select(*keys, label, F.xxhash64(*[F.col(k).cast("string") for k in keys]).alias("_place"))
+    counts = placed.groupBy(label).agg(F.approx_count_distinct("_place").alias("n")).collect()
     upper = F.lit(None).cast("long")
-    for value, bound in bounds.items():
-        upper = F.when(F.col(label) == F.lit(value), F.lit(bound)).otherwise(upper)
-    near = rows.select(key, label).withColumn("_place", place).where(F.col("_place") <= upper)
-    order = Window.partitionBy(label).orderBy("_place", key)
+    for label_value, n in counts:
+        share = min(1.0, (2 * many + 50) / max(1, n))
+        upper = F.when(F.col(label) == F.lit(label_value),
+                       F.lit(-(2**63) + int(2**64 * share) - 1)).otherwise(upper)
+    near = placed.where(F.col("_place") <= upper).distinct()
+    order = Window.partitionBy(label).orderBy("_place", *keys)
     return near.withColumn("_nth", F.row_number().over(order)).where(
-        F.col("_nth") <= many).select(key, label)
+        F.col("_nth") <= many).select(*keys, label)
 
 
 def join_counted(

@@ -180,10 +180,17 @@ def train(
 def sample_chains(
     docs: DataFrame, per_label: int, chains: int, span: int, label: str, text: str, key: str,
 ) -> tuple[list[tuple[list[str], list[int]]], list[str]]:
-    """Training chains from the bounded sample; every third one joins two languages."""
-    usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    ids = first_by_hash(usable, label, key, per_label).select(key).distinct()
-    found = usable.join(F.broadcast(ids), key).select(key, label, words(F.col(text)).alias("w"))
+    """Training chains from the bounded sample; every third one joins two languages.
+
+    Drawn are distinct (id, text) pairs, so that an id with many texts or copies counts by its texts.
+    """
+    usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), label, text)
+    ids = first_by_hash(usable, label, ["_id", "_h"], per_label).toDF("_i", "_g", "_y")
+    same = (F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
+            & (F.col(label) == F.col("_y")))
+    found = usable.join(F.broadcast(ids), same, "left_semi").distinct().select(
+        F.col("_id").alias(key), label, words(F.col(text)).alias("w"))
     windows = [
         F.slice("w", 1 + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(i)),
                                 F.greatest(F.lit(1), F.size("w") - span + 1)).cast("int"), span)

@@ -270,10 +270,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, terms: int =
     """Learn lexicon and weights from a bounded sample; None without labelled texts."""
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         F.max(label).cast("int").alias("_y"))
-    usable = docs.where(F.col(text).isNotNull()).select(key)
-    chosen = first_by_hash(told.join(usable.distinct(), key), "_y", key, per_class)
-    sample = docs.select(key, F.col(text).alias("_t")).join(F.broadcast(chosen), key)
-    sample = sample.select("_t", "_y").where(F.col("_t").isNotNull()).distinct().persist()
+    usable = docs.where(F.col(text).isNotNull()).select(
+        key, F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
+    chosen = first_by_hash(told.join(usable.select(key, "_h").distinct(), key), "_y", [key, "_h"], per_class)
+    sample = usable.join(F.broadcast(chosen), [key, "_h"]).select("_t", "_y").distinct().persist()
     try:
         trie = learn_terms(sample, "_t", "_y", terms, evidence)
         rows = with_features(sample, trie, "_t").collect()

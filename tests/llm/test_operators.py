@@ -105,10 +105,29 @@ def test_marginals_switch_with_the_language(spark):
 
 def test_first_by_hash(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("y"))
-    got = collections.Counter(r.y for r in first_by_hash(df, "y", "k", 100).collect())
+    got = collections.Counter(r.y for r in first_by_hash(df, "y", ["k"], 100).collect())
     assert got == {"a": 100, "b": 100}
 
 
+@pytest.mark.parametrize("hot", range(6))  # ids whose hashes lie high and low
+def test_first_by_hash_of_one_id(spark, hot):
+    df = spark.range(6000).select(F.lit(hot).alias("k"), F.lit("a").alias("y"), F.col("id").alias("t"))
+    df = df.unionByName(spark.createDataFrame([(9, "b", 1), (None, "b", 2)], "k int, y string, t long"))
+    assert sorted(rows(first_by_hash(df, "y", ["k"], 100).select("y"))) == [("a",), ("b",), ("b",)]
+    got = collections.Counter(r.y for r in first_by_hash(df, "y", ["k", "t"], 100).collect())
+    assert got == {"a": 100, "b": 2}
+
+
+def test_samples_with_repeated_ids(spark):
+    """A language whose rows share one id is learned within its bound, copies or not."""
+    texts = [(1, f"tik tak {i} kit", "x") for i in range(300)] + [(2, "lumo mola lo", "y")] * 300
+    texts += [(i + 3, "bra kru tro", "z") for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    chains, labels = language.sample_chains(df, 40, 1, 8, "lang", "text", "doc_id")
+    assert labels == ["x", "y", "z"]
+    assert len(chains) == 40 + 1 + 20
+
+
 def test_packing(spark, odd, none):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
