@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +36,9 @@ from corpuslab.llm.common import table
 from corpuslab.llm.tokens import slices
 
 PAGES, ROUNDS, RATE, PULL = 300, 30, 0.5, 0.02
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+ATTRIBUTES = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+(?=>)")
+MARKS = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # fixed values: element names by what they do to the tree
@@ -110,6 +111,83 @@ def prior() -> Model:
     return Model(unary, np.array([[0.2, -5.0], [0.0, 0.8]]))
 
 
+@dataclass
+class Tag:
+    start: int
+    end: int
+    name: str = ""  # none: a comment or declaration
+    closes: bool = False
+    attributes: str = ""
+    text: str = ""  # of a CDATA section
+
+
+class Tags:
+    """The tags of a page in order, found in time linear in its length.
+
+    A search for an end that is not there is never repeated from a later start: what no ``>`` or
+    ``]]>`` follows once is known to have none, and the ends of tags with quotes are told for all
+    places at once when the first tag without an end is met.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.sections = self.declarations = True  # whether an end may still follow
+        self.ends: dict[int, int] | None = None  # mark outside of quotes -> end of the tag, or -1
+        self.places: list[int] = []
+
+    def next(self, at: int) -> Tag | None:
+        """The first tag that starts at a place or after it; a ``<`` without an end is text."""
+        for found in OPENING.finditer(self.source, at):
+            tag = self._comment(found) if not found[5] else self._element(found)
+            if tag:
+                return tag
+        return None
+
+    def _comment(self, found: re.Match) -> Tag | None:
+        start, stop = found.start(), found.end()
+        if found[1]:
+            end = self.source.find("-->", stop)
+            return Tag(start, len(self.source) if end < 0 else end + 3)
+        if found[2] and self.sections:
+            end = self.source.find("]]>", stop)
+            if end >= 0:
+                return Tag(start, end + 3, text=self.source[stop:end])
+            self.sections = False
+        end = self.source.find(">", stop) if self.declarations else -1
+        self.declarations = end >= 0
+        return Tag(start, end + 1) if end >= 0 else None
+
+    def _element(self, found: re.Match) -> Tag | None:
+        stop = found.end()
+        if self.ends is None:
+            inner = ATTRIBUTES.match(self.source, stop)
+            if inner is None:
+                self._find_ends(stop)
+            end = inner.end() if inner else -1
+        else:
+            nth = bisect_left(self.places, stop)
+            end = self.ends[self.places[nth]] if nth < len(self.places) else -1
+        if end < 0:
+            return None
+        return Tag(found.start(), end + 1, found[5].lower(), bool(found[4]), self.source[stop:end])
+
+    def _find_ends(self, at: int) -> None:
+        self.places = [m.start() for m in MARKS.finditer(self.source, at)]
+        self.ends = {}
+        after = {'"': -1, "'": -1}  # the next mark of each kind
+        following = dict.fromkeys(self.places, -1)  # the mark after each
+        for left, right in zip(self.places, self.places[1:]):
+            following[left] = right
+        for place in reversed(self.places):
+            mark = self.source[place]
+            if mark == ">":
+                self.ends[place] = place
+            else:
+                partner = after[mark]
+                self.ends[place] = self.ends.get(following[partner], -1) if partner >= 0 else -1
+                after[mark] = place
+
+
 class Page:
     """The block tree of one page: parents come before children."""
 
@@ -121,10 +199,13 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = []  # open elements and their nodes (inline: the node around)
+        places: dict[str, list[int]] = {}  # depths of the open elements of each name
+        scopes: list[int] = []  # depths of the open elements that end tags are not implied across
+        silents: list[int] = []  # and of those without text of their own (a noscript may have some)
+        unended: list[int] = []  # and of those silent ones that lack an end tag
         parts: list[str] = []
         node, links, linked, silent, at = 0, 0, 0, 0, 0
-        starts: list[int] = []  # where the open elements start
-        closed: dict[str, set[int]] = {}
+        ended: dict[str, set[int]] = {}
 
         def flush() -> None:
             nonlocal linked
@@ -138,28 +219,40 @@ class Page:
             nonlocal node, links, silent
             while len(stack) > depth:
                 name, around = stack.pop()
-                starts.pop()
+                for depths in (places[name], scopes, silents, unended):
+                    if depths and depths[-1] == len(stack):
+                        depths.pop()
                 links -= name == "a"
                 silent -= name in SILENT
                 if around != node:
                     flush()
                     node = around
 
-        def ended(name: str, start: int) -> bool:
-            """Whether the element that starts here has an end tag of its own."""
-            if name not in closed:
-                closed[name], waiting = set(), []
-                for tag in re.finditer(rf"<(/?){name}\b([^>]*)>", source, re.I):
-                    if not tag[1] and not tag[2].endswith("/"):
-                        waiting.append(tag.start())
-                    elif tag[1] and waiting:
-                        closed[name].add(waiting.pop())
-            return start in closed[name]
-
-        size = len(source)
+        def speak(name: str) -> None:
+            """End an open head before what cannot stand in it, and unended silent elements before blocks."""
+            heads = places.get("head")
+            ends = [heads[-1]] if heads and name not in IN_HEAD and silents[-1] == heads[-1] else []
+            if unended and name in BLOCKS:
+                ends.append(unended[0])
+            if ends and not (places.get("template") and places["template"][0] < min(ends)):
+                close(min(ends))
+
+        def imply(name: str) -> None:
+            """End the elements that the start of another one ends."""
+            names = CLOSES.get(name, ()) + (("p",) if name in ENDS_PARAGRAPH else ())
+            while names:
+                depth = max((places[n][-1] for n in names if places.get(n)), default=-1)
+                if depth < 0 or scopes and depth < scopes[-1]:
+                    return
+                last = stack[depth][0]
+                close(depth)
+                if last == name:
+                    return
+
+        size, tags = len(source), Tags(source)
         while at < size:
-            found = TAG.search(source, at)
-            stop = found.start() if found else size
+            tag = tags.next(at)
+            stop = tag.start if tag else size
             if stack and stack[-1][0] == "head" and source[at:stop].strip():
                 close(len(stack) - 1)  # nor can text stand in it
             if stop > at and not silent:
@@ -167,30 +260,36 @@ class Page:
                 parts.append(text)
                 if links:
                     linked += len(text.strip())
-            if not found:
+            if not tag:
                 break
-            at = found.end()
-            name = (found[2] or "").lower()
+            at, name = tag.end, tag.name
             if not name:
-                if found[0].startswith("<![CDATA[") and not silent:
-                    parts.append(found[0][9:-3])
+                if tag.text and not silent:
+                    parts.append(tag.text)
                 continue
-            if found[1]:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        close(depth)
-                        break
+            if tag.closes:
+                if places.get(name):
+                    close(places[name][-1])
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
                     flush()
                 continue
             if silent:
-                self._speak(name, stack, starts, close, ended)
-            self._imply(name, stack, close)
-            block, names = name in BLOCKS, self._names(found[3])
+                speak(name)
+            imply(name)
+            block, names = name in BLOCKS, self._names(tag.attributes)
+            places.setdefault(name, []).append(len(stack))
+            if name in SCOPES:
+                scopes.append(len(stack))
+            if name in SILENT and name != "noscript":
+                silents.append(len(stack))
+            if name in UNENDED:
+                if name not in ended:
+                    ended[name] = self._ended(name, source)
+                if tag.start not in ended[name]:
+                    unended.append(len(stack))
             stack.append((name, node))
-            starts.append(found.start())
             links += name == "a"
             silent += name in SILENT
             if block or names:
@@ -199,35 +298,27 @@ class Page:
             if name in RAW:
                 end = re.compile(rf"</{name}\b", re.I).search(source, at)
                 at = end.start() if end else size
-            elif found[3].rstrip().endswith("/") and not block:
+            elif tag.attributes.rstrip().endswith("/") and not block:
                 close(len(stack) - 1)
         close(0)
         flush()
 
     @staticmethod
-    def _speak(name: str, stack: list[tuple[str, int]], starts: list[int], close, ended) -> None:
-        """End an open head before what cannot stand in it, and unended silent elements before blocks."""
-        for depth, (open_name, _) in enumerate(stack):
-            if open_name == "template":
-                return
-            if (open_name == "head" and name not in IN_HEAD and not any(
-                    n in SILENT for n, _ in stack[depth + 1:] if n != "noscript")
-                    or open_name in UNENDED and name in BLOCKS and not ended(open_name, starts[depth])):
-                close(depth)
-                return
-
-    @staticmethod
-    def _imply(name: str, stack: list[tuple[str, int]], close) -> None:
-        """End the elements that the start of another one ends."""
-        ended = CLOSES.get(name, ()) + (("p",) if name in ENDS_PARAGRAPH else ())
-        for depth in range(len(stack) - 1, -1, -1):
-            open_name = stack[depth][0]
-            if open_name in ended:
-                close(depth)
-                return Page._imply(name, stack, close) if name != open_name else None
-            if open_name in SCOPES:
-                return None
-        return None
+    def _ended(name: str, source: str) -> set[int]:
+        """The places where elements of a name start that have an end tag of their own."""
+        out: set[int] = set()
+        waiting: list[int] = []
+        opening, at = re.compile(rf"<(/?){name}\b", re.I), 0
+        while tag := opening.search(source, at):
+            stop = source.find(">", tag.end())
+            if stop < 0:
+                break
+            at = stop + 1
+            if not tag[1] and source[stop - 1] != "/":
+                waiting.append(tag.start())
+            elif tag[1] and waiting:
+                out.add(waiting.pop())
+        return out
 
     @staticmethod
     def _names(attributes: str) -> list[int]:
@@ -387,11 +478,18 @@ def extract(model: Model, sources: list[str]) -> list[str]:
 
 
 def fit(pages: DataFrame, key: str = "page_id", source: str = "html") -> Model:
-    """Train on the bounded sample of labelled pages."""
-    named = pages.where(F.col(source).rlike(r"(?i)<(?:article|main)\b|articlebody"))
-    rows = named.select(source).orderBy(
-        F.xxhash64(F.col(key).cast("string")), key).limit(PAGES).collect()
-    return train([r[0] for r in rows])
+    """Train on the bounded sample of labelled pages.
+
+    Pages are chosen by hashes of id and text; only the chosen ones, each once, reach the driver.
+    """
+    named = pages.where(F.col(source).rlike(r"(?i)<(?:article|main)\b|articlebody")).select(
+        F.xxhash64(F.col(key).cast("string")).alias("_place"),
+        F.xxhash64(source).alias("_mark"), F.col(source).alias("_source"))
+    marks = ["_place", "_mark"]
+    chosen = named.select(marks).distinct().orderBy(marks).limit(PAGES)
+    rows = named.join(F.broadcast(chosen), marks).groupBy(marks).agg(
+        F.first("_source").alias("_source")).collect()
+    return train([r["_source"] for r in sorted(rows, key=lambda r: (r["_place"], r["_mark"]))])
 
 
 def main_text(pages: DataFrame, model: Model, source: str = "html", keep=("page_id", "url")

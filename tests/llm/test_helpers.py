@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +202,32 @@ def test_pages_with_unended_silent_elements():
     assert extraction.extract(extraction.train([]), pages) == [want] * len(pages)
 
 
+HOSTILE = {
+    "quotes without an end": '<a href="', "mixed quotes": "<a x=\"<b y='", "tags without an end": "<p ", "nested": "<svg>",
+    "nested inline": "<b>", "strange ends": "<b></i>", "sections": "<![CDATA[", "declarations": "<!x", "open objects": "<object",
+    "implied ends": "<dl><dd>", "paragraphs": "<p><b>",
+}
+
+
+@pytest.mark.parametrize("unit", HOSTILE.values(), ids=HOSTILE)
+def test_pages_are_read_in_linear_time(unit):
+    article = "<article><p>Some long text of the story, as it was told to us that day.</p></article>"
+    started = time.process_time()
+    page = extraction.Page(article + unit * (2_000_000 // len(unit)))
+    assert time.process_time() - started < 30  # minutes to hours if each place looks at all others
+    assert page.runs[min(page.runs)] == "Some long text of the story, as it was told to us that day."
+
+
+def test_ends_of_damaged_tags():
+    read = lambda source: list(extraction.Page(source).runs.values())
+    assert read('a <b x="1>2" y=\'>\'>c</b> d') == ["a c d"]
+    assert read("a <b x=\"> c <i>d</i> e") == ['a <b x="> c d e']  # the quote never ends: the sign is text
+    assert read("a <b x=\"> c <i y='> d <u z=\"'>e") == ['a <b x="> c e']  # and <i> reaches to the last sign
+    assert read("a <![CDATA[x <b> y]]> c <![CDATA[ d> e <! f") == ["a x <b> y c e <! f"]
+    assert read("a <!-- b > c --> d <!-- e <p>f") == ["a d"]
+    assert read("a <object><p>b<p>c</object> d <object><p>e") == ["a", "d", "e"]  # a block parts runs, also a silent one
+
+
 def test_page_parts():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
     <ul id="main-menu"><li><a href="/">Home</a></li></ul><script>var t = "</p>";</script>
