@@ -195,6 +195,11 @@ def _whole_windows(texts: pa.Array):
     return bounds, rolled
 
 
+def bounded(rows: DataFrame) -> bool:
+    """Whether there are few enough rows for one place: of windows, or of the items' rows with them."""
+    return rows.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS
+
+
 def whole_items(items: DataFrame, item: str, text: str, width: int) -> DataFrame:
     """``(item_id, size, window)`` of the items that have words but no window to search."""
     kind = dict(items.dtypes)[item]
@@ -228,7 +233,7 @@ def _whole_leaks(docs: DataFrame, whole: DataFrame, key: str, text: str) -> Data
     if not sizes:
         return None
     hashes = whole.select("window").distinct()
-    few = hashes.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS
+    few = bounded(hashes)
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(
         [r["window"] for r in hashes.collect()], np.int64)) if few else None)
     kind = dict(docs.dtypes)[key]
@@ -252,7 +257,7 @@ def _whole_leaks(docs: DataFrame, whole: DataFrame, key: str, text: str) -> Data
 
     found = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, place long, window long")
     index = whole.select("window", "item_id")
-    return found.join(F.broadcast(index) if few else index, "window").groupBy(key, "item_id").agg(
+    return found.join(F.broadcast(index) if bounded(index) else index, "window").groupBy(key, "item_id").agg(
         F.min("place").alias("place")).select(
         key, "item_id", F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("windows"),
         "place", F.lit(False).alias("reparameterised"), F.lit(1.0).alias("coverage"))
@@ -274,11 +279,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
     """``(key, item_id, matched, windows, coverage, reparameterised)`` of found pairs."""
     index = index_items(items, item, text, width)
     hashes = index.select("window").distinct()
-    few = hashes.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS
+    few = bounded(hashes)
     only = np.sort(np.array(
         [r["window"] for r in hashes.collect()], np.int64)) if few else None
     found = find_windows(docs.select(key, text), key, text, width, only).drop("windows", "spots")
-    hits = staged(found.join(F.broadcast(index) if few else index, "window").select(
+    hits = staged(found.join(F.broadcast(index) if bounded(index) else index, "window").select(
         key, "item_id", "item_place", "item_windows", "place",
         (F.col("place") - F.col("item_place")).alias("shift"),
         F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"),

@@ -396,6 +396,34 @@ def test_extraction(spark):
     assert rows(extraction.main_text(pages.where("false"), extraction.fit(pages.where("false")))) == []
 
 
+def test_chosen_pages_are_bounded_and_each_read_once(spark, monkeypatch):
+    page = "<article><p>Some long text of the story number {}, as it was told to us.</p></article>"
+    pages = spark.createDataFrame(
+        [(1, page.format(100))] * 500 + [(i, page.format(i)) for i in range(60)] + [(1, page.format(99)), (None, page.format(98))],
+        "page_id long, html string")
+    seen = []
+    monkeypatch.setattr(extraction, "train", lambda sources: seen.append(sources) or extraction.prior())
+    extraction.fit(pages)
+    monkeypatch.setattr(extraction, "PAGES", 7)
+    extraction.fit(pages)
+    assert len(seen[0]) == len(set(seen[0])) == 63 and seen[1] == seen[0][:7]
+
+
+def test_repeated_items_are_not_broadcast_beyond_the_bound(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten people walked along the wide river towards a town"
+    items = spark.createDataFrame([(i, item) for i in range(300)] + [(1000, "plus 25 = 12"), (1001, "plus 25 = 12")],
+                                  "item_id long, text string")
+    long = "here is a rather plain filler sentence about nothing much at all. " * 20000
+    docs = spark.createDataFrame([(1, long + item + " " + long + item), (2, long), (3, "so plus 25 = 12 it is")], "doc_id long, text string")
+    want = sorted((r.doc_id, r.item_id, r.matched) for r in contamination.leaks(docs, items).collect())
+    assert [w[:2] for w in want] == [(1, i) for i in range(300)] + [(3, 1000), (3, 1001)]
+    monkeypatch.setattr(contamination, "FILTER_WINDOWS", 50)  # windows are fewer than that, their rows are not
+    frames, broadcast = [], F.broadcast
+    monkeypatch.setattr(contamination.F, "broadcast", lambda df: frames.append(df.count()) or broadcast(df))
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in contamination.leaks(docs, items).collect()) == want
+    assert all(n <= 50 for n in frames)
+
+
 def test_template_leaks(spark, odd, none):
     item = ("A train leaves the big station at 7 with 120 people and Anna buys 3 tickets for the long way home "
             "before 9 in the evening while it rains")
