@@ -74,5 +74,5 @@ def test_rows_without_an_id_and_repeated_rows(spark):
 
 def test_registered():
     names = list(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
