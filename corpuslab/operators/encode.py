@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators.merges import MergeTable
 from corpuslab.operators.pretokens import META, prepared
-from corpuslab.operators.subwords import PieceTrie, best_split, longest_match, prefixes
+from corpuslab.operators.subwords import (
+    LONG, PieceIndex, PieceTrie, best_pieces, best_split, longest_match, longest_matches, prefixes,
+)
 from corpuslab.operators.vocab import SPECIALS, Vocabulary, byte_alphabet
 
 CACHE_WORDS = 1_000_000
+#: words encoded at once
+FRESH_WORDS = 20_000
 # What a WordPiece decoder tidies at the head of a piece.
 TIDY = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"),
         (" 've", "'ve"), (" 're", "'re"))
@@ -56,15 +60,83 @@ def word_encoder(vocab: Vocabulary, longest: int | None = None) -> Callable[[str
     raise ValueError(f"unknown kind {vocab.kind}")
 
 
-def _encode_words(lists: pa.Array, encode: Callable[[str], list[int]], cache: dict) -> pa.Array:
-    """Lists of words to lists of ids."""
+def words_encoder(
+    vocab: Vocabulary, longest: int | None = None,
+) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """:func:`word_encoder` for many words at once: their ids end to end, and how many each has."""
+    ids = {t: i for i, t in enumerate(vocab.tokens)}
+    if vocab.kind == "bpe":
+        table = MergeTable(vocab.merges, singly=True)
+        letters = np.array([ids.get(c, -1) for c in byte_alphabet()], np.int64)
+
+        def encode(words):
+            spelled = [w.encode() for w in words]
+            row = np.repeat(np.arange(len(words)), np.fromiter(map(len, spelled), np.int64, len(words)))
+            found = letters[np.frombuffer(b"".join(spelled), np.uint8)]
+            known = found >= 0
+            found, row = table.apply(found[known], row[known])
+            return found, np.bincount(row, minlength=len(words))
+
+        return encode
+    if vocab.kind == "wordpiece":
+        tails = PieceIndex({t[2:]: float(i) for t, i in ids.items() if t.startswith("##")})
+        heads = PieceIndex({t: float(i) for t, i in ids.items()})
+        unknown = ids["[UNK]"]
+
+        def encode(words):
+            pieces, counts, spelled = longest_matches(words, heads, tails)
+            if longest is not None:
+                short = np.fromiter(map(len, words), np.int64, len(words)) <= longest
+                pieces = pieces[np.repeat(short, counts)]
+                counts, spelled = np.where(short, counts, 0), spelled & short
+            row = np.repeat(np.arange(len(words)), counts)
+            first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+            found = np.empty(len(pieces), np.int64)
+            found[first] = heads.scores[pieces[first]]
+            found[~first] = tails.scores[pieces[~first]]
+            lost = np.flatnonzero(~spelled)
+            begins = (np.cumsum(counts) - counts)[lost]
+            return np.insert(found, begins, unknown), np.where(spelled, counts, 1)
+
+        return encode
+    if vocab.kind == "unigram":
+        specials = set(SPECIALS["unigram"])
+        index = PieceIndex({t: s for t, s in zip(vocab.tokens, vocab.scores) if t not in specials})
+        unknown = ids["<unk>"]
+        numbers = np.array([*(ids[p] for p in index.pieces), unknown], np.int64)
+
+        def encode(words):
+            pieces, counts = best_pieces(words, index)
+            found, row = numbers[pieces], np.repeat(np.arange(len(words)), counts)
+            lost = found == unknown
+            again = np.zeros(len(found), bool)
+            again[1:] = lost[1:] & lost[:-1] & (row[1:] == row[:-1])
+            return found[~again], np.bincount(row[~again], minlength=len(words))
+
+        return encode
+    raise ValueError(f"unknown kind {vocab.kind}")
+
+
+def _encode_words(
+    lists: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
+    encode_long: Callable[[str], list[int]], cache: dict,
+) -> pa.Array:
+    """Lists of words to lists of ids; words of more than ``LONG`` characters one by one."""
     flat = lists.flatten().dictionary_encode()
     words = flat.dictionary.to_pylist()
     if len(cache) + len(words) > CACHE_WORDS:
         cache.clear()
+    fresh = []
     for word in words:
         if word not in cache:
-            cache[word] = np.asarray(encode(word), dtype=np.int32)
+            if len(word) > LONG:
+                cache[word] = np.asarray(encode_long(word), dtype=np.int32)
+            else:
+                fresh.append(word)
+    for begin in range(0, len(fresh), FRESH_WORDS):
+        some = fresh[begin:begin + FRESH_WORDS]
+        found, counts = encode(some)
+        cache.update(zip(some, np.split(found.astype(np.int32), np.cumsum(counts)[:-1])))
     per_word = [cache[w] for w in words]
     width = np.fromiter((len(p) for p in per_word), np.int64, len(per_word))
     pool = np.concatenate(per_word) if per_word else np.empty(0, np.int32)
@@ -95,10 +167,10 @@ def encode_corpus(
     words = df.select(key, prepared(F.col(text), vocab.kind, vocab.mode).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cache = word_encoder(vocab, longest), {}
+        encode, encode_long, cache = words_encoder(vocab, longest), word_encoder(vocab, longest), {}
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _encode_words(batch.column(1), encode, cache)], [key, "tokens"])
+                [batch.column(0), _encode_words(batch.column(1), encode, encode_long, cache)], [key, "tokens"])
 
     return words.mapInArrow(run, schema)
 

@@ -38,8 +38,19 @@ def pair_keys(ids: np.ndarray) -> np.ndarray:
 class MergeTable:
     """Merges in the order they were learned, looked up for whole columns of pairs."""
 
-    def __init__(self, merges: Iterable[Merge]) -> None:
+    def __init__(self, merges: Iterable[Merge], singly: bool = False) -> None:
+        """``singly`` encodes a text: of a pair learned twice the last place holds, and a merge whose token
+        is part of an earlier one goes one place at a time, since the earlier one then comes first."""
         merges = list(merges)
+        self.single = None
+        if singly:
+            last = {m[:2]: rank for rank, m in enumerate(merges)}
+            merges = [m for rank, m in enumerate(merges) if last[m[:2]] == rank]
+            first: dict[int, int] = {}
+            for rank, pair in enumerate(merges):
+                for part in pair[:2]:
+                    first.setdefault(part, rank)
+            self.single = np.array([first.get(m[2], FREE) < rank for rank, m in enumerate(merges)], bool)
         keys = np.array([(a << 32) | b for a, b, _ in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
@@ -64,6 +75,9 @@ class MergeTable:
         place = np.arange(len(hits)) - np.maximum.accumulate(
             np.where(fresh, np.arange(len(hits)), 0))
         hits = hits[place % 2 == 0]
+        if self.single is not None:
+            again = np.concatenate([[False], row[hits[1:]] == row[hits[:-1]]])
+            hits = hits[~(again & self.single[rank[hits]])]
         ids = ids.copy()
         ids[hits] = self.new[rank[hits]]
         keep = np.ones(len(ids), bool)

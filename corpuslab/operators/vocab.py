@@ -12,13 +12,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators.corpus import charset
 from corpuslab.operators.merges import MergeTable, count_pairs, merge_band, merged_rows, rows_with
 from corpuslab.operators.pretokens import assign_ids, prepared, pretoken_counts
-from corpuslab.operators.subwords import best_split, expected_pieces, prefixes
+from corpuslab.operators.subwords import (
+    LONG, PieceIndex, best_split, expected_pieces, expected_uses, prefixes,
+)
 from corpuslab.session import fixed_table, shared_dir
 
 END_OF_TEXT = "<|endoftext|>"
@@ -289,21 +292,43 @@ def _seed_pieces(words: DataFrame, limit: int, longest: int) -> list[tuple[str,
 
 
 def _e_step(words: DataFrame, scores: dict[str, float]) -> tuple[dict[str, float], float]:
-    """Expected use of each piece, and the log likelihood of the corpus."""
+    """Expected use of each piece, and the log likelihood of the corpus.
+
+    A task sums over its words in columns and sends one row for each piece it met.
+    """
+    index = PieceIndex(scores)
+
     def run(batches):
-        starts = prefixes(scores)
+        uses, total = np.zeros(len(index.pieces)), 0.0
+        starts = None
         for batch in batches:
-            counts, loss = expected_pieces(
-                batch.column("word").to_pylist(), batch.column("freq").to_pylist(), scores, starts)
-            counts[""] = loss
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())],
-                ["piece", "uses"])
-
-    rows = words.mapInArrow(run, "piece string, uses double").groupBy("piece").agg(
-        F.sum("uses").alias("uses")).collect()
-    uses = {r["piece"]: r["uses"] for r in rows}
-    return uses, uses.pop("", 0.0)
+            long = pc.greater(pc.utf8_length(batch.column("word")), LONG)
+            short = batch.filter(pc.invert(long))
+            if short.num_rows:
+                more, loss = expected_uses(
+                    short.column("word").to_pylist(), short.column("freq").to_numpy(), index)
+                uses += more
+                total += loss
+            if short.num_rows < batch.num_rows:
+                rest = batch.filter(long)
+                if starts is None:
+                    number = {p: i for i, p in enumerate(index.pieces)}
+                    values = dict(zip(index.pieces, index.scores.tolist()))
+                    starts = prefixes(values)
+                more, loss = expected_pieces(
+                    rest.column("word").to_pylist(), rest.column("freq").to_pylist(), values, starts)
+                total += loss
+                for piece, n in more.items():
+                    uses[number[piece]] += n
+        met = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(met, -1), pa.int32()), pa.array(np.append(uses[met], total))], ["piece", "uses"])
+
+    rows = words.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(
+        F.sum("uses").alias("uses")).toArrow()
+    found = dict(zip(rows.column("piece").to_pylist(), rows.column("uses").to_pylist()))
+    total = found.pop(-1, 0.0)
+    return {index.pieces[i]: n for i, n in found.items()}, total
 
 
 def _normalised(uses: dict[str, float], chars: set[str]) -> dict[str, float]:

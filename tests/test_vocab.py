@@ -2,14 +2,18 @@ import collections
 import random
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import vocab as V
-from corpuslab.operators.encode import decode_corpus, encode_corpus, word_encoder
+from corpuslab.operators.encode import decode_corpus, encode_corpus, word_encoder, words_encoder
 from corpuslab.operators.merges import MergeTable, flat, lists_of
 from corpuslab.operators.pretokens import assign_ids, pretoken_counts, pretokens
+from corpuslab.operators.subwords import (
+    PieceIndex, best_pieces, best_split, expected_pieces, expected_uses, prefixes,
+)
 from corpuslab.operators.vocab import (
     SPECIALS, Vocabulary, byte_alphabet, char_vocab, eos_id, exact_batch, train_bpe, train_unigram,
     train_wordpiece, vocab_size,
@@ -260,3 +264,37 @@ def test_unigram_encoding_against_public_library(corpus):
         assert got[i] == want or abs(score(got[i]) - score(want)) < 1e-9
     back = {r.doc_id: r.text for r in decode_corpus(encode_corpus(corpus, vocab), vocab).collect()}
     assert back[0] == TEXTS[0] and back[3] == TEXTS[3]
+
+
+def test_splits_in_columns_equal_splits_word_by_word():
+    rng = random.Random(3)
+    scores = {"".join(rng.choice("abcé😀") for _ in range(rng.randint(1, 4))): -rng.random() * 8 for _ in range(60)}
+    scores |= {c: -9.0 for c in "ab"} | {"é": -40.0}
+    words = ["", *("".join(rng.choice("abcdé😀") for _ in range(rng.randint(1, 14))) for _ in range(2_000))]
+    freqs = np.array([rng.randint(1, 5) for _ in words])
+    index, starts = PieceIndex(scores), prefixes(scores)
+    pieces, counts = best_pieces(words, index)
+    got = [[index.pieces[i] if i >= 0 else None for i in p] for p in np.split(pieces, np.cumsum(counts)[:-1])]
+    assert got == [[p if p in scores else None for p in best_split(w, scores, starts)[0]] for w in words]
+    uses, loss = expected_uses(words, freqs, index)
+    want, total = expected_pieces(words, freqs.tolist(), scores, starts)
+    assert loss == pytest.approx(total)
+    assert uses == pytest.approx(np.array([want.get(p, 0.0) for p in index.pieces]))
+
+
+@pytest.mark.parametrize("kind", ["bpe", "wordpiece", "unigram"])
+def test_encoding_in_columns_equals_encoding_word_by_word(corpus, kind):
+    train = {"bpe": train_bpe, "wordpiece": train_wordpiece, "unigram": train_unigram}[kind]
+    vocab = train(corpus, size=150)
+    if kind == "bpe":  # tokens made in several ways, also after merges they are part of
+        at = {t: i for i, t in enumerate(vocab.tokens)}
+        vocab = Vocabulary("bpe", [*vocab.tokens, "zq", "qz", "zqz", "zqzz"], [*vocab.merges])
+        zq, qz, both, more = (len(vocab.tokens) - i for i in (4, 3, 2, 1))
+        vocab.merges += [(at["e"], at["t"], zq), (zq, at["h"], both), (both, at["e"], more), (at["t"], at["h"], qz),
+                         (at["e"], qz, both), (at["a"], at["b"], both), (at["t"], at["h"], qz)]
+    rng = random.Random(8)
+    words = ["", *{"".join(rng.choice("abethn☃") for _ in range(rng.randint(1, 30))) for _ in range(3_000)}]
+    for longest in (None, 6):
+        ids, counts = words_encoder(vocab, longest)(words)
+        encode = word_encoder(vocab, longest)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [encode(w) for w in words]
