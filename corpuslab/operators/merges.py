@@ -1,10 +1,11 @@
 """Learning and applying merges of adjacent symbols, in columns of ids.
 
 A batch of words is one array of symbol ids and one of row numbers. Merges are learned in bands:
-the pairs at the head of the ranking, taken together with every word that holds one of them, are closed
-under merging. Every pair that can come to count as much as the band's floor is in those words,
-whole, so the merges down to the floor are found there exactly, thousands at a time, and only words
-with such a pair ever leave their task.
+the pairs at the head of the ranking, taken together with the chains they form, are closed under merging.
+A pair that counts less than the band's floor is never merged in the band, and no merge across it
+can come to count more, so words are cut there. What is left are chains of frequent pairs, the same ones in
+very many words: equal chains are summed, and the merges down to the floor are found in them exactly,
+thousands at a time.
 """
 
 from __future__ import annotations
@@ -143,18 +144,16 @@ def apply_all(lists: pa.Array, segments: list[MergeTable]) -> tuple[np.ndarray,
 
 
 def count_pairs(batch: pa.RecordBatch, segments: list[MergeTable]) -> pa.RecordBatch:
-    """``(l, r, n, held)``: how often neighbours occur, and how many symbols their words have."""
+    """``(l, r, n)``: how often neighbours occur."""
     ids, row = apply_all(batch.column("ids"), segments)
     freq = np.asarray(batch.column("freq"))
-    sizes = np.bincount(row, minlength=batch.num_rows)
     inside = row[:-1] == row[1:]
     keys, where = np.unique(pair_keys(ids)[inside], return_inverse=True)
-    n, held = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    n = np.zeros(len(keys), np.int64)
     np.add.at(n, where, freq[row[:-1][inside]])
-    np.add.at(held, where, sizes[row[:-1][inside]])
     return pa.RecordBatch.from_arrays(
         [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)),
-         pa.array(n), pa.array(held)], ["l", "r", "n", "held"])
+         pa.array(n)], ["l", "r", "n"])
 
 
 def chosen_rows(batch: pa.RecordBatch, ids: np.ndarray, row: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -172,27 +171,36 @@ def merged_rows(batch: pa.RecordBatch, segments: list[MergeTable]) -> pa.RecordB
     return chosen_rows(batch, ids, row, np.bincount(row, minlength=batch.num_rows) > 1)
 
 
-def rows_with(batch: pa.RecordBatch, segments: list[MergeTable], keys: np.ndarray) -> pa.RecordBatch:
-    """Merged words that hold one of the pairs ``keys`` (sorted)."""
+def chains(batch: pa.RecordBatch, segments: list[MergeTable], keys: np.ndarray) -> pa.RecordBatch:
+    """The merged words cut wherever neighbours are none of the pairs ``keys`` (sorted), without lone symbols."""
     ids, row = apply_all(batch.column("ids"), segments)
     have = pair_keys(ids)
     slot = np.minimum(np.searchsorted(keys, have), len(keys) - 1)
-    rows = np.zeros(batch.num_rows, bool)
-    rows[row[:-1][(keys[slot] == have) & (row[:-1] == row[1:])]] = True
-    return chosen_rows(batch, ids, row, rows)
+    joined = (keys[slot] == have) & (row[:-1] == row[1:])
+    chain = np.concatenate([[0], np.cumsum(~joined)])[:len(ids)]
+    first = np.flatnonzero(np.concatenate([[True], ~joined]))[:chain[-1] + 1 if len(ids) else 0]
+    sizes = np.bincount(chain, minlength=len(first))
+    keep = sizes > 1
+    number = np.cumsum(keep) - 1
+    inside = keep[chain]
+    return pa.RecordBatch.from_arrays(
+        [lists_of(ids[inside], number[chain[inside]], int(keep.sum())),
+         pa.array(np.asarray(batch.column("freq"))[row[first[keep]]])], ["ids", "freq"])
 
 
 def merge_band(
     lists: pa.Array, freqs: np.ndarray, floor: int, name: Callable[[int, int], tuple[int, bool]],
     go_on: Callable[[], bool],
 ) -> list[tuple[Merge, bool]]:
-    """The next merges of the corpus, from all words that hold a pair of count ``floor`` or more.
+    """The next merges of the corpus, from all chains (:func:`chains`) of pairs that count ``floor`` or more.
 
     The most frequent pair first, ties to the smaller ids. ``name`` gives the id of a merge's token and whether
-    it was known before. A pair outside these words counts less than ``floor`` and cannot grow, save
-    for one with a known token: what is added to it here is added to an unknown count below
-    ``floor``, so merging stops where such a pair could come first. A list of merges ends after
-    each known token; within a list no merged pair comes up again.
+    it was known before. A pair that is not in the chains counts less than ``floor`` and cannot grow, save
+    for one with a known token: such a token had neighbours before, and gets more across the cuts. What
+    they add up to is bounded by ``weight_of``: neighbours a and b that are cut apart count less than
+    floor * weight_of[a] * weight_of[b], where a known token has the weight of all it was made of. Merging stops
+    where a pair with such a token could come first. A list of merges ends after each known token;
+    within a list no merged pair comes up again.
     """
     sizes = np.asarray(lists.value_lengths()).astype(np.int64)
     ids = np.asarray(lists.flatten()).astype(np.int64)
@@ -219,6 +227,8 @@ def merge_band(
     heapq.heapify(ranked)
     bar = floor
     unknown: dict[tuple[int, int], int] = defaultdict(int)
+    weight_of: dict[int, int] = defaultdict(lambda: 1)
+    heaviest = 1
     out: list[tuple[Merge, bool]] = []
     while ranked and go_on():
         count, left, right = heapq.heappop(ranked)
@@ -266,11 +276,18 @@ def merge_band(
                 lose((right, ids[nxt]), n)
                 gain((new, ids[nxt]), n, here)
         counts.pop((left, right), None)
+        made = max(weight_of[left], weight_of[right])
         for pair, n in fresh.items():
-            if known:  # it may have been counted before, outside these words
+            if known:  # it may have been counted before, outside these chains
                 unknown[pair] += n
-                bar = max(bar, floor + unknown[pair])
             elif n >= floor:
                 counts[pair], places[pair] = n, where[pair]
                 heapq.heappush(ranked, (-n, *pair))
+        if known:
+            weight_of[new] += made
+            heaviest = max(heaviest, weight_of[new])
+            seen = max((n for held in (counts, unknown) for pair, n in held.items() if new in pair), default=0)
+            bar = max(bar, seen + floor * heaviest * weight_of[new] + 1)
+        elif made > 1:
+            weight_of[new] = made
     return out

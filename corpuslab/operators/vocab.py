@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators.corpus import charset
-from corpuslab.operators.merges import MergeTable, count_pairs, merge_band, merged_rows, rows_with
+from corpuslab.operators.merges import MergeTable, chains, count_pairs, merge_band, merged_rows
 from corpuslab.operators.pretokens import assign_ids, prepared, pretoken_counts
 from corpuslab.operators.subwords import (
     LONG, PieceIndex, best_split, expected_pieces, expected_uses, prefixes,
@@ -36,8 +36,10 @@ END_NAMES = (END_OF_TEXT, "<eos>", "</s>")
 MAX_SYMBOLS = 1_200_000
 #: how far the ranking of pairs is looked at in a round
 RANKED_PAIRS = 20_000
-#: words of no more symbols than this (about 100 MB while they are merged) make up a band
+#: chains of no more symbols than this (about 100 MB while they are merged) make up a band
 BAND_SYMBOLS = 500_000
+#: so many merges are written into the words once, rather than applied in every round
+CHECKPOINT_MERGES = 200
 
 
 @dataclass
@@ -156,10 +158,12 @@ def _learn_merges(
 
     A word is its array of symbol ids, ties go to the smaller ids. A round counts all pairs once: tasks
     apply the merges since the last checkpoint, sums collapse on the map side, the head of the ranking
-    reaches the driver. As far as the words that hold its pairs have at most ``BAND_SYMBOLS``
-    symbols, these words alone are fetched and merged down to the count of the first pair left out
-    (:func:`merge_band`), often thousands of merges at once. While the first pairs are in too many words
-    for that, merges are taken from the ranking as far as none can influence another
+    reaches the driver. Words are cut wherever a pair is below a floor (:func:`chains`) and equal chains
+    are summed by a shuffle; the floor is raised until these have at most ``BAND_SYMBOLS`` symbols,
+    which are fetched and merged down to the floor (:func:`merge_band`), often thousands of merges at
+    once. How many chains there are depends on the frequent pairs more than on the number of words, so
+    the rounds do not grow with the corpus as they would with whole words. Where no floor is high
+    enough, merges are taken from the ranking as far as none can influence another
     (:func:`exact_batch`). The result is that of one merge at a time, at every size.
     """
     spark = words.sparkSession
@@ -209,19 +213,25 @@ def _learn_merges(
 
         return state.mapInArrow(run, schema)
 
+    def cut_at(band, cut):
+        """The summed chains of the pairs of ``band``; from those of a longer band, if there are any."""
+        def run(batches):
+            return (chains(b, [], band) for b in batches if b.num_rows)
+
+        parts = in_tasks(chains, state.schema, band) if cut is None else cut.mapInArrow(run, state.schema)
+        return parts.groupBy("ids").agg(F.sum("freq").alias("freq")).checkpoint()
+
+    reach = min(RANKED_PAIRS, 500)
     while len(vocab) < size:
+        cut = None
         # batches arrive summed; a round is short, so it shuffles to the cores there are
-        pairs = in_tasks(count_pairs, "l int, r int, n bigint, held bigint").repartition(
-            cores, "l", "r").groupBy("l", "r").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+        pairs = in_tasks(count_pairs, "l int, r int, n bigint").repartition(
+            cores, "l", "r").groupBy("l", "r").agg(F.sum("n").alias("n"))
         top = pairs.orderBy(F.col("n").desc(), "l", "r").limit(RANKED_PAIRS).toArrow()
         if not top.num_rows:
             break
-        left, right, n, held = (top.column(c).to_numpy() for c in ("l", "r", "n", "held"))
-        fits = int(np.searchsorted(np.cumsum(held), BAND_SYMBOLS, side="right"))
-        # the ranking goes on below its last row, and a band does not end within a count
-        whole = fits == len(n) and len(n) < RANKED_PAIRS
-        floor = 1 if whole else int(n[min(fits, len(n) - 1)]) + 1
-        band = n >= floor
+        left, right, n = (top.column(c).to_numpy() for c in ("l", "r", "n"))
+        keys = (left.astype(np.int64) << 32) | right
         spelled_now: set[str] = set()
 
         def repeats(a: int, b: int) -> bool:
@@ -233,24 +243,37 @@ def _learn_merges(
         apart = exact_batch(
             list(zip(left.tolist(), right.tolist(), n.tolist())), len(n) < RANKED_PAIRS,
             size - len(vocab), repeats)
-        if band.sum() > len(apart):
-            keys = np.sort((left[band].astype(np.int64) << 32) | right[band])
-            words_of_band = in_tasks(rows_with, state.schema, keys).toArrow().combine_chunks()
+        reach = min(reach, len(n))
+        found = None
+        while found is None and reach > len(apart):
+            # the ranking goes on below its last row, and a band does not end within a count
+            whole = reach == len(n) < RANKED_PAIRS
+            floor = 1 if whole else int(n[reach - 1]) + 1
+            band = np.sort(keys[n >= floor])
+            if len(band) > len(apart):
+                cut = cut_at(band, cut)
+                if (cut.agg(F.sum(F.size("ids"))).first()[0] or 0) <= BAND_SYMBOLS:
+                    found = cut.toArrow().combine_chunks()
+                    break
+            reach //= 4
+        if found is not None:
             taken = merge_band(
-                words_of_band.column("ids").chunk(0), words_of_band.column("freq").to_numpy(), floor,
+                found.column("ids").chunk(0), found.column("freq").to_numpy(), floor,
                 name, lambda: len(vocab) < size)
+            reach *= 4
         else:
             taken = []
             for a, b in apart:
                 token, known = name(a, b)
                 taken.append(((a, b, token), known))
+            reach = max(4 * reach, 4 * len(apart) + 4)
         for merge, known in taken:
             merges.append(merge)
             pending[-1].append(merge)
             if known:
                 pending.append([])
         rounds += 1
-        if rounds % checkpoint_every == 0:
+        if rounds % checkpoint_every == 0 or sum(map(len, pending)) >= CHECKPOINT_MERGES:
             state = in_tasks(merged_rows, state.schema).checkpoint()
             pending = [[]]
     return vocab, merges
