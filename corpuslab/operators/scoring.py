@@ -35,23 +35,35 @@ def fit_prompt(text: Column, n: int, split: Callable[[Column], Column] | None =
     ``n - cue - 10`` tokens stay, if that is more than 50; the cut continues to the
     next blank and is marked by ``...``. What is still too long loses its end.
     """
+    once = _once if split is None else (lambda value, use: use(value))  # a user's function may not stand in a lambda
     split = split or (lambda t: pretokens(t, "byte"))
-    ids = split(text)
     prefix = F.regexp_extract(text, r"(?s)^(.*)Answer: .*$", 1)
     suffix = F.regexp_extract(text, r"(?s)^.*(Answer: .*)$", 1)
-    head, tail = split(prefix), split(suffix)
-    room = F.lit(n - 10) - F.size(tail)
-    cut = F.concat(F.array_join(F.slice(head, F.greatest(F.size(head) - room + 1, F.lit(1)), F.greatest(
-        room, F.lit(0))), ""), suffix)
-    marked = F.when(
-        F.contains(cut, F.lit(" ")),
-        F.concat(F.lit("..."), F.substring(cut, F.instr(cut, " "), F.length(cut))),
-    ).otherwise(cut)
-    fitted = F.when(
-        (F.size(ids) >= n - 2) & (suffix != "") & (room > 50) & (F.size(head) > room), marked
-    ).otherwise(text)
-    kept = split(fitted)
-    return F.when(F.size(kept) > n - 2, F.array_join(F.slice(kept, 1, n - 2), "")).otherwise(fitted)
+
+    def marked(suffix: Column, head: Column, room: Column) -> Column:
+        cut = F.concat(F.array_join(F.slice(head, F.greatest(F.size(head) - room + 1, F.lit(1)), F.greatest(
+            room, F.lit(0))), ""), suffix)
+        return once(cut, lambda c: F.when(
+            F.contains(c, F.lit(" ")),
+            F.concat(F.lit("..."), F.substring(c, F.instr(c, " "), F.length(c))),
+        ).otherwise(c))
+
+    def fitted(suffix: Column) -> Column:
+        room = F.lit(n - 10) - F.size(split(suffix))
+        return F.when(suffix != "", once(room, lambda r: F.when(r > 50, once(split(prefix), lambda head: F.when(
+            F.size(head) > r, marked(suffix, head, r)).otherwise(text))).otherwise(text))).otherwise(text)
+
+    def clipped(fitted: Column) -> Column:
+        return once(split(fitted), lambda kept: F.when(
+            F.size(kept) > n - 2, F.array_join(F.slice(kept, 1, n - 2), "")).otherwise(fitted))
+
+    # a text of fewer tokens is left as it is, and no text is split again for each use of its tokens
+    return F.when(F.size(split(text)) >= n - 2, once(once(suffix, fitted), clipped)).otherwise(text)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where the value is worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 @dataclass

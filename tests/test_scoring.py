@@ -116,3 +116,8 @@ def test_sweep(spark):
     df = spark.createDataFrame(rows, "model string, language string, pred int, gold int, error string")
     got = {r.language: (r.accuracy, r.total_samples, r.error) for r in sweep(df, "pred", "gold", error="error").collect()}
     assert got == {"de": (0.5, 2, None), "fr": (0.0, 0, "no such split")}
+
+
+def test_a_prompt_is_not_split_again_for_each_use(spark):
+    df = spark.createDataFrame([(1, "a")], "i int, t string").select(fit_prompt(F.col("t"), 512).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 6
