@@ -25,6 +25,8 @@ from corpuslab.operators.vocab import SPECIALS, Vocabulary, byte_alphabet
 CACHE_WORDS = 1_000_000
 #: words encoded at once
 FRESH_WORDS = 20_000
+#: characters or ids that are encoded or decoded at once, some 60 bytes each while they are
+SLICE = 1_000_000
 # What a WordPiece decoder tidies at the head of a piece.
 TIDY = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"),
         (" 've", "'ve"), (" 're", "'re"))
@@ -153,6 +155,22 @@ def _encode_words(
         pa.array(offsets, pa.int32()), pa.array(pool[source] if total else pool[:0], pa.int32()))
 
 
+def in_slices(
+    batches: Iterator[pa.RecordBatch], length: Callable[[pa.Array], pa.Array], most: int | None = None,
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` characters or ids of the second column, at least a row each.
+
+    A batch holds a number of rows, whatever these hold; what a task needs beside it follows the slice.
+    """
+    most = most or SLICE
+    for batch in batches:
+        sizes = pc.fill_null(length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes.astype(np.int64)) - 1) // most
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(part) > 0]))[:len(sizes)]
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(sizes)]):
+            yield batch.slice(begin, end - begin)
+
+
 def encode_corpus(
     df: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text",
     longest: int | None = None,
@@ -187,7 +205,7 @@ def encode_chars(
         for i, token in enumerate(tokens):
             if len(token) == 1:
                 ids[ord(token)] = i
-        for batch in batches:
+        for batch in in_slices(batches, pc.utf8_length):
             texts = pc.fill_null(batch.column(1), "")
             points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4")
             sizes = np.asarray(pc.utf8_length(texts)).astype(np.int64)
@@ -251,7 +269,7 @@ def decode_corpus(
         heads, tails = _spelled(vocab)
         hidden = set(SPECIALS[vocab.kind])
         shown = np.array([t not in hidden for t in vocab.tokens], bool)
-        for batch in batches:
+        for batch in in_slices(batches, pc.list_value_length):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), _decoded(batch.column(1), heads, tails, shown)], [key, out])
 

@@ -4,12 +4,13 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import vocab as V
-from corpuslab.operators.encode import decode_corpus, encode_corpus, word_encoder, words_encoder
-from corpuslab.operators.merges import MergeTable, flat, lists_of
+from corpuslab.operators.encode import decode_corpus, encode_corpus, in_slices, word_encoder, words_encoder
+from corpuslab.operators.merges import MergeTable, chains, flat, lists_of, merge_band
 from corpuslab.operators.pretokens import assign_ids, pretoken_counts, pretokens
 from corpuslab.operators.subwords import (
     PieceIndex, best_pieces, best_split, expected_pieces, expected_uses, prefixes,
@@ -298,3 +299,33 @@ def test_encoding_in_columns_equals_encoding_word_by_word(corpus, kind):
         ids, counts = words_encoder(vocab, longest)(words)
         encode = word_encoder(vocab, longest)
         assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [encode(w) for w in words]
+
+
+def test_chains_are_cut_at_rare_pairs():
+    words = pa.RecordBatch.from_arrays(
+        [pa.array([[1, 2, 3, 1, 2], [9, 1, 2, 3], [7, 8], [2, 2, 2, 9]], pa.list_(pa.int32())), pa.array([5, 2, 9, 1])],
+        ["ids", "freq"])
+    got = chains(words, [], np.sort(np.array([1 << 32 | 2, 2 << 32 | 2, 2 << 32 | 3])))
+    assert got.to_pydict() == {"ids": [[1, 2, 3], [1, 2], [1, 2, 3], [2, 2, 2]], "freq": [5, 5, 2, 1]}
+
+
+def test_rounds_of_merging_do_not_grow_with_the_words(spark, monkeypatch):
+    """Words that share their frequent pairs and differ in rare letters make one band, however many there are."""
+    monkeypatch.setattr(V, "BAND_SYMBOLS", 2_000)
+    bands = []
+    monkeypatch.setattr(V, "merge_band", lambda lists, *rest: bands.append(len(lists)) or merge_band(lists, *rest))
+    rng = random.Random(6)
+    heads = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(12)]
+    texts = [f"{rng.choice(heads)}{chr(0x4E00 + i)}{rng.choice(heads)}" for i in range(2_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    vocab = train_bpe(df, size=330)
+    assert vocab.merges == learn_by_hand(byte_words(texts), SPECIALS["bpe"], 330, lambda a, b: a + b)[1]
+    assert 1 <= len(bands) <= 4 and sum(bands) < 2_000
+
+
+def test_batches_are_worked_on_in_slices():
+    texts = ["ab" * 300, "", None, "c" * 2_000, "d", "e" * 999, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(in_slices(iter([batch, batch.slice(0, 0)]), pc.utf8_length, 1_000))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [3, 2, 2]  # a slice goes beyond its measure by one row at most
