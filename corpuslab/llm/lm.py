@@ -48,6 +48,10 @@ UNTUNED = 0.1  # one of the grid
 BANDS = 12
 U = np.uint64
 END = U(xxhash.xxh3_64_intdigest("\n"))
+#: bytes that are no white space, and the lower case of A-Z
+IN_WORD, LOWER = np.ones(256, bool), np.arange(256, dtype=np.uint8)
+IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+LOWER[0x41:0x5B] += 0x20
 BLOB = "kind int, block long, bucket int, blob binary"
 
 
@@ -58,24 +62,51 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> U(30))
 
 
+def coded_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the end last; which of them each token is, and where a text begins.
+
+    White space is found in the bytes of all texts at once; only distinct words are hashed one by one.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, places, data = texts.buffers()
+    at = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    inside = IN_WORD[data]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    real = np.diff(at) > 0  # a word ends with its text
+    for mark, edge in ((opens, at[:-1][real]), (closes, at[1:][real] - 1)):
+        mark[edge] = inside[edge]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+    places = np.concatenate([[0], np.cumsum(last - first + 1)])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(first), [
+        None, pa.py_buffer(places), pa.py_buffer(LOWER[data[inside]])]).dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)  # many times faster than a list of scalars
+    hashed = np.empty(len(names) + 1, U)
+    hashed[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, names), U, len(names))
+    hashed[-1] = END
+    bounds = np.searchsorted(first, at) + np.arange(len(at))
+    index = np.full(int(bounds[-1]), len(names), np.int64)
+    inner = np.ones(len(index), bool)
+    inner[bounds[1:] - 1] = False
+    index[inner] = coded.indices.to_numpy(zero_copy_only=False)
+    return hashed, index, bounds
+
+
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of the texts, the end of each included, and where each begins."""
-    lists = pc.split_pattern_regex(
-        pc.ascii_lower(pc.fill_null(texts, "")), r"[\x09-\x0d\x20]+")
-    coded = lists.values.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), U, len(names))
-    real = np.array([bool(w) for w in names], bool)
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    kept = real[index] if len(index) else np.zeros(0, bool)
-    counts = np.diff(np.concatenate([[0], np.cumsum(kept)])[lists.offsets.to_numpy()])
-    bounds = np.concatenate([[0], np.cumsum(counts + 1)])
-    out = np.full(int(bounds[-1]), END, U)
-    inner = np.ones(len(out), bool)
-    inner[bounds[1:] - 1] = False
-    if len(index):
-        out[inner] = hashed[index[kept]]
-    return out, bounds
+    hashed, index, bounds = coded_tokens(texts)
+    return hashed[index], bounds
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The sorted distinct keys; ``np.unique`` without counts goes through a slower hash table."""
+    keys = np.sort(keys)
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys[first]
 
 
 def bigram_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -185,16 +216,16 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 def _local_counts(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of a block and their counts in its training texts."""
-    found, many = np.zeros(0, U), np.zeros(0, np.int64)
+    found, many = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for batch in parts:
         for part in slices(batch, "text", SLICE):
-            tokens, bounds = token_hashes(part.column("text"))
+            hashed, index, bounds = coded_tokens(part.column("text"))
             train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False),
                               np.diff(bounds))
-            distinct, at = np.unique(np.concatenate([found, tokens]), return_inverse=True)
-            many = np.bincount(at, np.concatenate([many, train]), len(distinct)).astype(np.int64)
-            found = distinct
-    return found, many
+            found.append(hashed)
+            many.append(np.bincount(index, train, len(hashed)))
+    found, at = np.unique(np.concatenate(found), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(many), len(found)).astype(np.int64)
 
 
 def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
@@ -222,8 +253,8 @@ def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
                     many.append(np.frombuffer(blob, np.int64, n, 8 * n))
                     blocks.append(np.full(n, block))
             tokens, own, block = (np.concatenate(x) for x in (found, many, blocks))
-            distinct, at = np.unique(tokens, return_inverse=True)
-            sums = np.bincount(at, own, len(distinct)).astype(np.int64)
+            each, at = np.unique(tokens, return_inverse=True)
+            sums = np.bincount(at, own, len(each)).astype(np.int64)
             summary = np.array([sums.sum(), (sums > 0).sum()], np.int64)
             changed = np.flatnonzero(sums[at] != own)
             order, runs = _by_bucket(block[changed])
@@ -304,8 +335,8 @@ def routed_levels(docs: DataFrame, parts: DataFrame, segments: int) -> DataFrame
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _groups(batches, "block"):
-            keys = np.unique(np.concatenate([
-                np.unique(bigram_keys(*token_hashes(part.column("text"))))
+            keys = distinct(np.concatenate([
+                distinct(bigram_keys(*token_hashes(part.column("text"))))
                 for batch in held for part in slices(batch, "text", SLICE)]))
             bucket, key = split_key(keys, segments)
             _, runs = _by_bucket(bucket)
@@ -335,7 +366,7 @@ def routed_levels(docs: DataFrame, parts: DataFrame, segments: int) -> DataFrame
         "bucket", "kind").mapInArrow(probe, BLOB), "levels")
 
 
-def _read_block(parts: list[pa.RecordBatch], total: int, distinct: int):
+def _read_block(parts: list[pa.RecordBatch], total: int, known: int):
     """Slices of a block with tokens, bounds, counts, unigram probabilities and levels.
 
     The levels are None unless they were sent to the block.
@@ -345,29 +376,30 @@ def _read_block(parts: list[pa.RecordBatch], total: int, distinct: int):
                                            b.column("blob").to_pylist()) if x[1] is not None]
     sent = [blob for bucket, blob in blobs if bucket is None]
     told = b"".join(blob for bucket, blob in sorted(x for x in blobs if x[0] is not None))
-    read = [(part, *token_hashes(part.column("text")))
+    read = [(part, *coded_tokens(part.column("text")))
             for batch in texts for part in slices(batch, "text", SLICE)]
     if not read:
         return
-    train = np.concatenate([np.repeat(
-        ~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(bounds))
-        for part, _, bounds in read])
-    found, at = np.unique(np.concatenate([tokens for _, tokens, _ in read]), return_inverse=True)
-    many = np.bincount(at, train, len(found)).astype(np.int64)
+    found, at = np.unique(np.concatenate([hashed for _, hashed, _, _ in read]), return_inverse=True)
+    many, starts = np.zeros(len(found), np.int64), np.cumsum([0] + [len(hashed) for _, hashed, _, _ in read])
+    for (part, hashed, index, bounds), start in zip(read, starts):
+        train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(bounds))
+        own = np.bincount(index, train, len(hashed)).astype(np.int64)
+        np.add.at(many, at[start:start + len(hashed)], own)
     for blob in sent:
         n = len(blob) // 16
         many[np.searchsorted(found, np.frombuffer(blob, U, n))] = np.frombuffer(
             blob, np.int64, n, 8 * n)
     if told:
         bigrams, place = np.unique(np.concatenate(
-            [bigram_keys(tokens, bounds) for _, tokens, bounds in read]), return_inverse=True)
+            [bigram_keys(hashed[index], bounds) for _, hashed, index, bounds in read]), return_inverse=True)
         levels = np.frombuffer(told, np.uint8, len(bigrams))
-    start = 0
-    for part, tokens, bounds in read:
-        own = slice(start, start + len(tokens))
-        counts = many[at[own]]
-        start += len(tokens)
-        yield (part, tokens, bounds, counts, (counts + 0.5) / (total + 0.5 * (distinct + 1)),
+    begin = 0
+    for (part, hashed, index, bounds), start in zip(read, starts):
+        own = slice(begin, begin + len(index))
+        counts = many[at[start:start + len(hashed)]][index]
+        begin += len(index)
+        yield (part, hashed[index], bounds, counts, (counts + 0.5) / (total + 0.5 * (known + 1)),
                levels[place[own]].astype(np.int64) if told else None)
 
 
@@ -381,10 +413,15 @@ def _gains(level, bounds, counts, base) -> np.ndarray:
     band = np.minimum(BANDS - 1, np.log2(before + 1.0).astype(np.int64) // 2)
     texts = len(bounds) - 1
     cell = np.repeat(np.arange(texts), np.diff(bounds)) * BANDS + band
-    ratio = share / base
-    return np.stack([
-        np.bincount(cell, np.log10(weight * ratio + (1 - weight)), texts * BANDS).reshape(
-            texts, BANDS) for weight in GRID], axis=2)
+    seen = np.flatnonzero(share)
+    ratio = share[seen] / base[seen]
+
+    def gain(weight: float) -> np.ndarray:
+        each = np.repeat(np.log10(np.array([1 - weight])), len(share))  # of an unseen bigram
+        each[seen] = np.log10(weight * ratio + (1 - weight))
+        return np.bincount(cell, each, texts * BANDS).reshape(texts, BANDS)
+
+    return np.stack([gain(weight) for weight in GRID], axis=2)
 
 
 def _with_counts(docs: DataFrame, counts: DataFrame, levels: DataFrame | None) -> DataFrame:
@@ -434,31 +471,33 @@ def scores(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("held_out", F.lit(False)).alias("held_out")))
     counts = count_tokens(rows, partitions(spark))
-    total = distinct = 0
+    forget_shuffles(spark)
+    total = known = 0
     for r in counts.where("block = -1").select(
             F.sum(_number("blob", 0)).alias("n"), F.sum(_number("blob", 1)).alias("v")).collect():
-        total, distinct = int(r["n"] or 0), int(r["v"] or 0)
+        total, known = int(r["n"] or 0), int(r["v"] or 0)
     dev = tuning(F.col("doc_id"))
     segments = _segments(spark, total)
     parts = build_filter(rows.where(~F.col("held_out") & ~dev), segments)
+    forget_shuffles(spark)  # each step goes on from a written table, and holds its own shuffles alone
     bits = 8 * (parts.agg(F.sum(F.length("blob"))).first()[0] or 0)
     lookup = levels = None
     if bits <= FILTER_BITS:
         lookup = spark.sparkContext.broadcast(gathered(parts, segments))
     else:
-        forget_shuffles(spark)
         levels = routed_levels(rows, parts, segments)
+        forget_shuffles(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _groups(batches, "block"):
-            for part, tokens, bounds, many, base, level in _read_block(parts, total, distinct):
+            for part, tokens, bounds, many, base, level in _read_block(parts, total, known):
                 if lookup is not None:
                     level = lookup.value.read(bigram_keys(tokens, bounds))
                 gains = _gains(level, bounds, many, base)
-                known = np.concatenate([[0], np.cumsum(many > 0)])
+                told = np.concatenate([[0], np.cumsum(many > 0)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"),
-                     pa.array(np.diff(bounds)), pa.array(np.diff(known[bounds])),
+                     pa.array(np.diff(bounds)), pa.array(np.diff(told[bounds])),
                      pa.array([float(np.log10(base[f:e]).sum())
                                for f, e in zip(bounds[:-1], bounds[1:])]),
                      pa.array(list(gains.reshape(len(gains), -1).astype(np.float32)),
