@@ -4,9 +4,9 @@ Counts of bigrams are quantised to powers of two; a bigram of level q enters the
 levels 1 to q, and its count is read back by probing level after level until one is missing. The
 filter is built in segments, each by the task that holds the bigrams of that segment and sized by
 what enters it (``BITS_PER_ENTRY`` for each level of a distinct bigram), so that the rate of false
-hits is the same at every size of the input. While all segments have at most ``FILTER_BITS``
-(64 MiB) they are broadcast to the workers; beyond that they stay where they are, and the distinct
-bigrams of a block of texts go to the segments and come back with their levels.
+hits is the same at every size of the input. Segments stay where they are: the distinct bigrams of a
+block of texts go there once, with their counts in the texts that the filter learns from, and come
+back with their levels.
 
 The probability of a token is a mixture of its relative frequency after its predecessor, as the
 filter tells it, and of its smoothed unigram frequency. The weight depends on how often the
@@ -39,7 +39,7 @@ from corpuslab.llm.tokens import slices
 from corpuslab.session import staged
 
 FOLDS, DEV_FOLDS = 5, 50
-FILTER_BITS, BITS_PER_ENTRY, PROBES, MAX_LEVEL = 2**29, 12, 3, 48
+FILTER_BITS, BITS_PER_ENTRY, PROBES, MAX_LEVEL = 2**29, 12, 3, 48  # the first: most marked at once, a byte each
 SEGMENT_TOKENS = 2**22
 KEY_BYTES = 5
 SLICE = 2**21  # bytes of text worked on at once, beside the filter
@@ -101,14 +101,6 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed[index], bounds
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
-    """The sorted distinct keys; ``np.unique`` without counts goes through a slower hash table."""
-    keys = np.sort(keys)
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    return keys[first]
-
-
 def bigram_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each token with its predecessor."""
     before = np.empty_like(tokens)
@@ -119,18 +111,15 @@ def bigram_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A log-frequency Bloom filter in ``2 ** segments`` parts, equal ones unless ``parts`` has bits."""
+    """A log-frequency Bloom filter in ``2 ** segments`` equal parts."""
 
-    def __init__(self, bits: int, segments: int, data: np.ndarray | None = None,
-                 parts: np.ndarray | None = None) -> None:
+    def __init__(self, bits: int, segments: int) -> None:
         self.segments, self.part = segments, max(64, bits >> segments)
-        self.parts = np.full(1 << segments, self.part) if parts is None else parts
-        self.starts = np.concatenate([[0], np.cumsum(self.parts)])
-        self.data = np.zeros(int(self.starts[-1]) // 8, np.uint8) if data is None else data
+        self.data = np.zeros((self.part << segments) // 8, np.uint8)
 
     def place(self, bucket: np.ndarray, key: np.ndarray, level: int, probe: int) -> np.ndarray:
-        inside = mix(key, 1000 * level + probe) % self.parts[bucket].astype(U)
-        return self.starts[bucket] + inside.astype(np.int64)
+        inside = mix(key, 1000 * level + probe) % U(self.part)
+        return bucket * self.part + inside.astype(np.int64)
 
     def read(self, keys: np.ndarray) -> np.ndarray:
         """The level of each bigram: 0 if unseen, else 1 + the binary logarithm of its count."""
@@ -269,108 +258,73 @@ def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
         total, BLOB), "token-counts")
 
 
-def build_filter(docs: DataFrame, segments: int) -> DataFrame:
-    """``(kind, block, bucket, blob)``: the filter of the bigrams of ``docs``, a row a segment."""
-    spark = docs.sparkSession
-    size = KEY_BYTES
+def built_filter(key: np.ndarray, count: np.ndarray) -> Filter:
+    """The filter of a segment: of distinct bigrams and how often each occurs."""
+    entries = int(np.frexp(count.astype(np.float64))[1].sum())
+    own = Filter(-(-BITS_PER_ENTRY * entries // 8) * 8, 0)
+    for begin in range(0, own.part, FILTER_BITS):
+        used = np.zeros(min(FILTER_BITS, own.part - begin), bool)
+        level, left, many = 1, key, count
+        while len(left):
+            for probe in range(PROBES):
+                at = own.place(np.zeros(len(left), np.int64), left, level, probe) - begin
+                used[at[(at >= 0) & (at < len(used))]] = True
+            more = many >= 2**level
+            left, many, level = left[more], many[more], level + 1
+        packed = np.packbits(used, bitorder="little")
+        own.data[begin // 8:begin // 8 + len(packed)] = packed
+    return own
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                keys, many = np.unique(
-                    bigram_keys(*token_hashes(part.column("text"))), return_counts=True)
-                bucket, key = split_key(keys, segments)
-                order, runs = _by_bucket(bucket)
-                key, many = key[order], many[order]
-                packed = _pack(key)
-                rows = []
-                for b, f, e in runs:
-                    often = many[f:e] > 1
-                    rows.append((0, 0, b, packed[f:e][~often].tobytes()))
-                    if often.any():
-                        rows.append((1, int(often.sum()), b, packed[f:e][often].tobytes()
-                                     + many[f:e][often].astype(np.int64).tobytes()))
-                yield _blobs(rows)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, parts in _groups(batches, "bucket"):
-            keys, counts = [], []
-            for batch in parts:
-                for kind, n, blob in zip(*(batch.column(c).to_pylist()
-                                           for c in ("kind", "block", "blob"))):
-                    n = n if kind else len(blob) // size
-                    keys.append(_unpack(blob, n))
-                    counts.append(np.frombuffer(blob, np.int64, n, n * size) if kind
-                                  else np.ones(n, np.int64))
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(at, np.concatenate(counts), len(key))
-            entries = int(np.frexp(count.astype(np.float64))[1].sum())
-            own = Filter(-(-BITS_PER_ENTRY * entries // 8) * 8, 0, np.zeros(0, np.uint8))
-            used = np.zeros(own.part, bool)
-            level, nothing = 1, np.zeros(len(key), np.int64)
-            while len(key):
-                for probe in range(PROBES):
-                    used[own.place(nothing[:len(key)], key, level, probe)] = True
-                more = count >= 2**level
-                key, count, level = key[more], count[more], level + 1
-            yield _blobs([(0, -1, int(bucket), np.packbits(used, bitorder="little").tobytes())])
-
-    return staged(docs.select("text").mapInArrow(send, BLOB).repartition(
-        max(partitions(spark), 1 << segments), "bucket").sortWithinPartitions("bucket").mapInArrow(
-        build, BLOB), "filter")
-
-
-def gathered(parts: DataFrame, segments: int) -> Filter:
-    """All segments in one place; a segment that nothing entered has 64 bits."""
-    blobs = {r["bucket"]: r["blob"] for r in parts.select("bucket", "blob").toLocalIterator()}
-    blobs = [blobs.get(b, bytes(8)) for b in range(1 << segments)]
-    return Filter(0, segments, np.frombuffer(b"".join(blobs), np.uint8),
-                  np.array([8 * len(b) for b in blobs]))
-
-
-def routed_levels(docs: DataFrame, parts: DataFrame, segments: int) -> DataFrame:
+
+def bigram_levels(docs: DataFrame, segments: int) -> DataFrame:
     """``(kind, block, bucket, blob)``: a byte for each distinct bigram of the block and segment.
 
-    They are in the order of the bigrams' hashes. A task has one segment at a time.
+    They are in the order of the bigrams' hashes. The filter learns from the texts with ``learned``;
+    a task builds and reads one segment at a time.
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _groups(batches, "block"):
-            keys = distinct(np.concatenate([
-                distinct(bigram_keys(*token_hashes(part.column("text"))))
-                for batch in held for part in slices(batch, "text", SLICE)]))
+            found, many = [], []
+            for batch in held:
+                for part in slices(batch, "text", SLICE):
+                    tokens, bounds = token_hashes(part.column("text"))
+                    learned = np.repeat(part.column("learned").to_numpy(zero_copy_only=False), np.diff(bounds))
+                    keys, at = np.unique(bigram_keys(tokens, bounds), return_inverse=True)
+                    found.append(keys)
+                    many.append(np.bincount(at, learned, len(keys)))
+            keys, at = np.unique(np.concatenate(found), return_inverse=True)
+            many = np.bincount(at, np.concatenate(many), len(keys)).astype(np.int64)
             bucket, key = split_key(keys, segments)
             _, runs = _by_bucket(bucket)
-            packed = _pack(key)
-            yield _blobs([(1, int(block), b, packed[f:e].tobytes()) for b, f, e in runs])
+            packed, short = _pack(key), np.minimum(many, 255).astype(np.uint8)
+            yield _blobs([(e - f, int(block), b, packed[f:e].tobytes() + short[f:e].tobytes()
+                           + many[f:e][short[f:e] == 255].tobytes()) for b, f, e in runs])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in _groups(batches, "bucket"):
-            own = Filter(0, 0)  # a segment that nothing entered
+            asked = []
             for batch in held:
-                rows = []
-                for kind, block, blob in zip(*(batch.column(c).to_pylist()
-                                               for c in ("kind", "block", "blob"))):
-                    if not kind:
-                        own = Filter(8 * len(blob), 0, np.frombuffer(blob, np.uint8))
-                        continue
-                    key = _unpack(blob, len(blob) // KEY_BYTES)
-                    level = own.levels(np.zeros(len(key), np.int64), key)
-                    rows.append((1, block, int(bucket), level.astype(np.uint8).tobytes()))
-                yield _blobs(rows)
+                for n, block, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "blob"))):
+                    many = np.frombuffer(blob, np.uint8, n, n * KEY_BYTES).astype(np.int64)
+                    many[many == 255] = np.frombuffer(blob, np.int64, -1, n * (KEY_BYTES + 1)) if (
+                        len(blob) > n * (KEY_BYTES + 1)) else 0
+                    asked.append((block, _unpack(blob, n), many))
+            key, at = np.unique(np.concatenate([k[m > 0] for _, k, m in asked]), return_inverse=True)
+            own = built_filter(key, np.bincount(
+                at, np.concatenate([m[m > 0] for _, _, m in asked]), len(key)).astype(np.int64))
+            for block, key, _ in asked:
+                level = own.levels(np.zeros(len(key), np.int64), key)
+                yield _blobs([(1, block, int(bucket), level.astype(np.uint8).tobytes())])
 
-    spark = docs.sparkSession
-    asked = docs.select("text", "block").repartition(
-        partitions(spark), "block").sortWithinPartitions("block").mapInArrow(send, BLOB)
-    return staged(asked.union(parts).repartition(
-        max(partitions(spark), 1 << segments), "bucket").sortWithinPartitions(
-        "bucket", "kind").mapInArrow(probe, BLOB), "levels")
+    many = partitions(docs.sparkSession)
+    sent = docs.select("text", "learned", "block").repartition(
+        many, "block").sortWithinPartitions("block").mapInArrow(send, BLOB)
+    return staged(sent.repartition(max(many, 1 << segments), "bucket").sortWithinPartitions(
+        "bucket").mapInArrow(answer, BLOB), "levels")
 
 
 def _read_block(parts: list[pa.RecordBatch], total: int, known: int):
-    """Slices of a block with tokens, bounds, counts, unigram probabilities and levels.
-
-    The levels are None unless they were sent to the block.
-    """
+    """Slices of a block with bounds, counts, unigram probabilities and levels of its tokens."""
     texts = [b.filter(pc.is_null(b.column("blob"))) for b in parts]
     blobs = [x for b in parts for x in zip(b.column("bucket").to_pylist(),
                                            b.column("blob").to_pylist()) if x[1] is not None]
@@ -390,17 +344,16 @@ def _read_block(parts: list[pa.RecordBatch], total: int, known: int):
         n = len(blob) // 16
         many[np.searchsorted(found, np.frombuffer(blob, U, n))] = np.frombuffer(
             blob, np.int64, n, 8 * n)
-    if told:
-        bigrams, place = np.unique(np.concatenate(
-            [bigram_keys(hashed[index], bounds) for _, hashed, index, bounds in read]), return_inverse=True)
-        levels = np.frombuffer(told, np.uint8, len(bigrams))
+    bigrams, place = np.unique(np.concatenate(
+        [bigram_keys(hashed[index], bounds) for _, hashed, index, bounds in read]), return_inverse=True)
+    levels = np.frombuffer(told, np.uint8, len(bigrams))
     begin = 0
     for (part, hashed, index, bounds), start in zip(read, starts):
         own = slice(begin, begin + len(index))
         counts = many[at[start:start + len(hashed)]][index]
         begin += len(index)
-        yield (part, hashed[index], bounds, counts, (counts + 0.5) / (total + 0.5 * (known + 1)),
-               levels[place[own]].astype(np.int64) if told else None)
+        yield (part, bounds, counts, (counts + 0.5) / (total + 0.5 * (known + 1)),
+               levels[place[own]].astype(np.int64))
 
 
 def _gains(level, bounds, counts, base) -> np.ndarray:
@@ -424,11 +377,11 @@ def _gains(level, bounds, counts, base) -> np.ndarray:
     return np.stack([gain(weight) for weight in GRID], axis=2)
 
 
-def _with_counts(docs: DataFrame, counts: DataFrame, levels: DataFrame | None) -> DataFrame:
+def _with_counts(docs: DataFrame, counts: DataFrame, levels: DataFrame) -> DataFrame:
     """Texts and the counts and levels sent to their block, block by block."""
     key = dict(docs.dtypes)["doc_id"]
     sent = counts.where("block >= 0").withColumn("bucket", F.lit(None).cast("int"))
-    blobs = (sent if levels is None else sent.union(levels)).select(
+    blobs = sent.union(levels).select(
         F.lit(None).cast(key).alias("doc_id"), F.lit(None).cast("string").alias("text"),
         F.lit(True).alias("held_out"), "block", "bucket", "blob")
     texts = docs.select("doc_id", "text", "held_out", "block", F.lit(None).cast("int").alias("bucket"),
@@ -471,28 +424,18 @@ def scores(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("held_out", F.lit(False)).alias("held_out")))
     counts = count_tokens(rows, partitions(spark))
-    forget_shuffles(spark)
+    forget_shuffles(spark)  # each step goes on from a written table, and holds its own shuffles alone
     total = known = 0
     for r in counts.where("block = -1").select(
             F.sum(_number("blob", 0)).alias("n"), F.sum(_number("blob", 1)).alias("v")).collect():
         total, known = int(r["n"] or 0), int(r["v"] or 0)
     dev = tuning(F.col("doc_id"))
-    segments = _segments(spark, total)
-    parts = build_filter(rows.where(~F.col("held_out") & ~dev), segments)
-    forget_shuffles(spark)  # each step goes on from a written table, and holds its own shuffles alone
-    bits = 8 * (parts.agg(F.sum(F.length("blob"))).first()[0] or 0)
-    lookup = levels = None
-    if bits <= FILTER_BITS:
-        lookup = spark.sparkContext.broadcast(gathered(parts, segments))
-    else:
-        levels = routed_levels(rows, parts, segments)
-        forget_shuffles(spark)
+    levels = bigram_levels(rows.withColumn("learned", ~F.col("held_out") & ~dev), _segments(spark, total))
+    forget_shuffles(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _groups(batches, "block"):
-            for part, tokens, bounds, many, base, level in _read_block(parts, total, known):
-                if lookup is not None:
-                    level = lookup.value.read(bigram_keys(tokens, bounds))
+            for part, bounds, many, base, level in _read_block(parts, total, known):
                 gains = _gains(level, bounds, many, base)
                 told = np.concatenate([[0], np.cumsum(many > 0)])
                 yield pa.RecordBatch.from_arrays(

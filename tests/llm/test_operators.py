@@ -381,6 +381,25 @@ def test_language_model_beyond_one_broadcast(spark, odd, monkeypatch):
     assert len(rows(lm.scores(odd.withColumn("held_out", F.lit(True))))) == len(ROWS)
 
 
+def test_language_model_holds_the_shuffles_of_one_step(spark, monkeypatch):
+    rng = random.Random(13)
+    docs = [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(80))) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    seen, staged = [], lm.staged
+    monkeypatch.setattr(lm, "staged", lambda df, name: seen.append(name) or staged(df, name))
+    monkeypatch.setattr(lm, "forget_shuffles", lambda spark: seen.append("forgotten"))
+    assert lm.scores(df).count() == 100
+    assert seen == ["token-counts", "forgotten", "levels", "forgotten", "scored"]
+
+
+def test_filter_of_a_segment_counts_all_blocks(spark):
+    docs = [(i, i % 3, i < 300, "a b") for i in range(330)] + [(999, 3, False, "a b x y")]
+    df = spark.createDataFrame(docs, "doc_id long, block long, learned boolean, text string")
+    found = lm.bigram_levels(df, 0).collect()
+    assert sorted((r.block, sorted(r.blob)) for r in found) == [
+        (b, [9, 9, 9]) for b in range(3)] + [(3, [0, 0, 0, 9, 9])]
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame(
         [(i, "u", f"<body><nav><a href=x>Home {i}</a></nav><article><h1>Title {i}</h1><p>Some long text of the "
