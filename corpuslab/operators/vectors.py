@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from corpuslab.functions.arrays import cosine, finite, keep_first, l2_normalize
-from corpuslab.operators.lookup import spread_join, with_vectors
+from corpuslab.operators.encode import in_slices
+from corpuslab.operators.lookup import BROADCAST_BYTES, spread_join, with_vectors
 from corpuslab.operators.prefix import running
 from corpuslab.session import staged
 
@@ -49,21 +53,67 @@ def embed(
 ) -> DataFrame:
     """Document vectors from token ids: clip if asked, look up, pool, normalise, clean.
 
-    The tokens of a document are counted before they meet their vectors, which are then summed
-    with the counts as weights. A document without tokens gets the zero vector.
+    The vectors of the ids that occur go to the workers, up to the broadcast bound; a document is summed
+    where it lies, and only its sum crosses the wire, to meet those of other rows with its key. Beyond the
+    bound the tokens are counted and joined with their vectors. A document without tokens gets the
+    zero vector, as does one without a key.
     """
     tokens = F.col(ids) if max_length is None else keep_first(F.col(ids), max_length)
     clipped = encoded.select(key, tokens.alias(ids))
-    # converted once per vocabulary entry, not once per token
-    dense = table.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
-    counted = clipped.select(key, F.explode(ids).alias("token_id")).groupBy(key, "token_id").agg(
-        F.count(F.lit(1)).cast("double").alias("_n"))
-    pooled = with_vectors(counted, dense, dim, [key]).groupBy(key).agg(
-        Summarizer.sum(F.col("vector"), F.col("_n")).alias("_s"), F.sum("_n").alias("_n")).select(
-        key, F.transform(vector_to_array("_s"), lambda s: s / F.col("_n")).alias("vector"))
-    whole = clipped.select(key).join(pooled, key, "left").withColumn(
-        "vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)))
-    return whole.select(key, finite(l2_normalize(F.col("vector"))).alias("vector"))
+    used = clipped.select(F.explode(F.array_distinct(ids)).alias("id")).distinct()
+    vectors = staged(table.select("id", "vector").join(used, "id"), "vectors")
+    fitting = BROADCAST_BYTES // (8 * dim)
+    if vectors.limit(fitting + 1).count() <= fitting:
+        summed = _summed(clipped, vectors, dim, key)
+    else:
+        counted = clipped.select(key, F.explode(ids).alias("token_id")).groupBy(key, "token_id").agg(
+            F.count(F.lit(1)).cast("double").alias("_n"))
+        met = with_vectors(counted, vectors, dim, [key]).select(key, F.transform(
+            "vector", lambda x: x.cast("double") * F.col("_n")).alias("_s"), "_n", F.lit(0).alias("_rows"))
+        summed = met.unionByName(clipped.select(key, F.array_repeat(F.lit(0.0), dim).alias("_s"), F.lit(0.0).alias(
+            "_n"), F.lit(1).alias("_rows")))
+    pooled = summed.groupBy(key).agg(
+        Summarizer.sum(array_to_vector("_s"), F.lit(1.0)).alias("_s"), F.sum("_n").alias("_n"),
+        F.sum("_rows").cast("int").alias("_rows"))
+    mean = F.when((F.col("_n") > 0) & F.col(key).isNotNull(), F.transform(
+        vector_to_array("_s"), lambda s: s / F.col("_n"))).otherwise(F.array_repeat(F.lit(0.0), dim))
+    return pooled.select(key, finite(l2_normalize(mean)).alias("vector"), F.explode(
+        F.array_repeat(F.lit(True), F.col("_rows"))).alias("_row")).drop("_row")
+
+
+def _summed(clipped: DataFrame, vectors: DataFrame, dim: int, key: str) -> DataFrame:
+    """``(key, _s, _n, _rows)``: the sum and number of the vectors of each row's ids."""
+    held = vectors.select("id", F.col("vector").cast("array<double>")).toArrow()
+    every = held.column("vector").combine_chunks()
+    if len(every.flatten()) != dim * len(every):
+        raise ValueError(f"a vector has not {dim} numbers")
+    known, at = np.unique(held.column("id").to_numpy(), return_inverse=True)
+    sums = np.zeros((len(known), dim))
+    np.add.at(sums, at, every.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+    sent = clipped.sparkSession.sparkContext.broadcast((known, sums, np.bincount(at, minlength=len(known))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sums, times = sent.value
+        for batch in in_slices(batches, pc.list_value_length):
+            rows = batch.num_rows
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            place = np.searchsorted(known, flat)
+            lost = known[np.minimum(place, len(known) - 1)] != flat if len(known) else np.ones(len(flat), bool)
+            if lost.any():
+                raise ValueError(f"no vector for token id {flat[lost][0]}")
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            cell, many = np.unique(
+                np.repeat(np.arange(rows), sizes) * max(1, len(known)) + place, return_counts=True)
+            row, place = np.divmod(cell, max(1, len(known)))
+            total = np.stack([np.bincount(row, many * sums[place, i], rows) for i in range(dim)], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(
+                    pa.array(np.arange(rows + 1) * dim, pa.int32()), pa.array(total.ravel().astype(float))),
+                 pa.array(np.bincount(row, many * times[place], rows).astype(float)),
+                 pa.array(np.ones(rows, np.int32))], names=[key, "_s", "_n", "_rows"])
+
+    kind = clipped.schema[key].dataType.simpleString()
+    return clipped.mapInArrow(run, f"`{key}` {kind}, _s array<double>, _n double, _rows int")
 
 
 def score_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

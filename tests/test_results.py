@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.scores import explode_scores, parse_scores
 from corpuslab.operators.metrics import accuracy_by
+from corpuslab.operators import vectors
 from corpuslab.operators.vectors import embed, mean_pool, pair_eval, sts_eval
 from corpuslab.plans.results_plan import family_rows, family_table, language_table, model_scores
 from corpuslab.session import scratch_path
@@ -181,6 +182,24 @@ def test_pooling(spark):
     assert got == {1: [1.0, 0.0], 2: [0.0, 0.0], 3: [1.0, 0.0]}
 
 
+def test_embed_sums_documents_where_they_lie(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(1, [5, 6, 5]), (1, [6]), (2, []), (3, None), (None, [5]), (4, [7, 7])], "doc_id int, tokens array<int>")
+    table = spark.createDataFrame([(5, [3.0, 0.0]), (6, [0.0, 4.0]), (7, [0.0, 1.0]), (7, [1.0, 0.0]), (9, [1.0, 1.0])],
+                                  "id int, vector array<double>")
+    half = 0.5 ** 0.5
+    want = sorted([("1", 0.6, 0.8), ("1", 0.6, 0.8), ("2", 0, 0), ("3", 0, 0), ("None", 0, 0), ("4", half, half)])
+    told = lambda df: sorted((str(r[0]), *(round(x, 9) for x in r[1])) for r in df.collect())
+    got = embed(docs, table, 2)
+    assert "token_id" not in got._jdf.queryExecution().executedPlan().toString()
+    assert told(got) == [(k, round(x, 9), round(y, 9)) for k, x, y in want]
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    assert told(embed(docs, table, 2)) == [(k, round(x, 9), round(y, 9)) for k, x, y in want]
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="no vector for token id 8"):
+        embed(spark.createDataFrame([(1, [8])], "doc_id int, tokens array<int>"), table, 2).collect()
+
+
 def ap_by_hand(pairs):
     pairs = sorted(pairs, key=lambda p: -p[0])
     positives = sum(g for _, g in pairs)
