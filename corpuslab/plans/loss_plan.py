@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.operators.metrics import mean_loss, running_mean
 from corpuslab.operators.scoring import Scorer, score_continuations
 from corpuslab.operators.tokens import sample_windows
+from corpuslab.session import staged
 
 
 def window_losses(
@@ -17,9 +18,10 @@ def window_losses(
     """``(split, sample, loss)``: mean loss per token of ``n`` windows of each split.
 
     ``stream`` is ``(split, start, tokens)`` with ``start`` counted within the split. Only the
-    windows drawn are scored; each is one request whose context is its first token.
+    windows drawn are scored; each is one request whose context is its first token. The stream
+    is written once, since every split is measured and searched and it may be a join.
     """
-    parts = None
+    stream, parts = staged(stream.select("split", "start", "tokens"), "stream"), None
     for split in splits:
         drawn = sample_windows(stream.where(F.col("split") == split), n, block, seed)
         requests = drawn.select(
