@@ -20,16 +20,20 @@ def token_counts(df: DataFrame, ids: str = "tokens", key: str = "split") -> Data
     return df.groupBy(key).agg(F.sum(F.size(ids).cast("long")).alias("tokens"))
 
 
-def with_offsets(df: DataFrame, order: str = "doc_id", ids: str = "tokens") -> DataFrame:
+def with_offsets(
+    df: DataFrame, order: str = "doc_id", ids: str = "tokens", size: str | None = None,
+) -> DataFrame:
     """Add ``start``, the position of a document's first token in the whole stream.
 
     Only ids and sizes are ranged and checkpointed; tokens cross the wire once, in
-    the join on the unique document id. Pass a written table: it is read twice.
+    the join on the unique document id, where the starts are hashed and no token is sorted.
+    Pass a written table: it is read twice, the first time without tokens if ``size`` names
+    a column with their number, which is left out of the result.
     """
-    sizes = df.select(order, F.size(ids).cast("long").alias("_size"))
+    sizes = df.select(order, (F.size(ids).cast("long") if size is None else F.col(size)).alias("_size"))
     starts = running(sizes, [order], {"_end": (F.col("_size"), "sum")}).select(
         order, (F.col("_end") - F.col("_size")).alias("start"))
-    return df.join(starts, order)
+    return (df if size is None else df.drop(size)).join(starts.hint("shuffle_hash"), order)
 
 
 def token_stream(encoded: DataFrame, order: str = "doc_id", ids: str = "tokens") -> DataFrame:
@@ -43,18 +47,22 @@ def split_tokens(
     """Rows ``(order, split, start, tokens)``: the first ``int(frac * N)`` tokens of the
     stream are ``train``, the rest ``val``; a document across the cut becomes two rows.
     ``start`` counts within the split."""
-    tokens = staged(df.select(order, F.col(ids).alias("tokens")), "tokens")
-    cut = int(token_total(tokens) * frac)
-    placed = with_offsets(tokens, order)
+    tokens = staged(df.select(
+        order, F.col(ids).alias("tokens"), F.size(ids).cast("long").alias("_tokens")), "tokens")
+    total = tokens.agg(F.coalesce(F.sum("_tokens"), F.lit(0))).first()[0]
+    cut = int(total * frac)
+    placed = with_offsets(tokens, order, size="_tokens")
     inside = F.greatest(
         F.lit(0), F.least(F.lit(cut) - F.col("start"), F.size("tokens").cast("long"))
     ).cast("int")
     halves = F.array(
         F.struct(F.lit("train").alias("split"), F.col("start"),
-                 F.slice("tokens", F.lit(1), inside).alias("tokens")),
+                 F.when(inside == F.size("tokens"), F.col("tokens")).otherwise(
+                     F.slice("tokens", F.lit(1), inside)).alias("tokens")),
         F.struct(F.lit("val").alias("split"),
                  (F.col("start") + inside - F.lit(cut)).alias("start"),
-                 F.slice("tokens", inside + 1, F.size("tokens")).alias("tokens")),
+                 F.when(inside == 0, F.col("tokens")).otherwise(
+                     F.slice("tokens", inside + 1, F.size("tokens"))).alias("tokens")),
     )
     return placed.select(order, F.explode(halves).alias("h")).select(order, "h.*").where(
         F.size("tokens") > 0)

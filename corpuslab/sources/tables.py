@@ -63,9 +63,14 @@ def write_tokens(
     Ids must fit sixteen bits; an id outside fails the write.
     """
     target = f"{path}/{name}_{lang}" if name else path
-    checked = df.withColumn("tokens", F.transform("tokens", lambda t: F.when(
+    each = F.transform("tokens", lambda t: F.when(
         t.between(0, MAX_TOKEN), t.cast("int")
-    ).otherwise(F.raise_error(F.concat(F.lit("token id out of range: "), t.cast("string"))).cast("int"))))
+    ).otherwise(F.raise_error(F.concat(F.lit("token id out of range: "), t.cast("string"))).cast("int")))
+    # whole lists are compared in compiled loops; only a list that fails is taken token by token
+    inside = (F.coalesce(F.array_min("tokens") >= 0, F.lit(True))
+              & F.coalesce(F.array_max("tokens") <= MAX_TOKEN, F.lit(True))
+              & F.coalesce(~F.array_contains("tokens", -1), F.lit(False)))  # null if a token is null
+    checked = df.withColumn("tokens", F.when(inside, F.col("tokens").cast("array<int>")).otherwise(each))
     checked.write.mode(mode).partitionBy("split").parquet(target)
     return target
 

@@ -3,9 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.operators import tokens
 from corpuslab.operators.tokens import (
     add_specials, sample_windows, split_tokens, token_counts, windows_at, with_offsets,
 )
+from corpuslab.plans import loss_plan
 from corpuslab.session import scratch_path
 from corpuslab.sources.tables import read_tokens, write_tokens
 
@@ -96,3 +98,35 @@ def test_specials(spark):
     assert made(True, "bert") == ([1, 10, 11, 2, 12, 2], [0, 0, 0, 0, 1, 1])
     assert made(False, "xlnet") == ([10, 11, 2, 1], [0, 0, 0, 2])
     assert made(True, "xlnet") == ([10, 11, 2, 12, 2, 1], [0, 0, 0, 1, 1, 2])
+
+
+def test_tokens_are_neither_sorted_nor_read_for_their_sizes(spark, monkeypatch):
+    docs = [(i, list(range(i % 4))) for i in range(40)]
+    plans, first = [], tokens.running
+    monkeypatch.setattr(tokens, "running", lambda df, *rest: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or first(df, *rest))
+    split = split_tokens(frame(spark, docs))
+    plans.append(split._jdf.queryExecution().executedPlan().toString())
+    assert "tokens#" not in plans[0].replace("_tokens#", "") and "SortMergeJoin" not in plans[1]
+    assert "ShuffledHashJoin" in plans[1]
+    assert split.agg(F.sum(F.size("tokens"))).first()[0] == sum(i % 4 for i in range(40))
+
+
+def test_written_tokens_are_checked_by_list(spark):
+    odd = [(1, [0, 65_535]), (2, []), (3, None)]
+    rows = spark.createDataFrame(odd, "doc_id int, tokens array<long>").withColumns(
+        {"split": F.lit("train"), "start": F.lit(0)})
+    got = read_tokens(spark, write_tokens(rows, scratch_path(spark, "t"))).select("doc_id", "tokens")
+    assert sorted(map(tuple, got.collect())) == odd and got.schema["tokens"].dataType.simpleString() == "array<int>"
+    for bad in ([65_536], [-1], [3, None]):
+        with pytest.raises(Exception):
+            write_tokens(rows.withColumn("tokens", F.lit(bad).cast("array<long>") if None not in bad else F.expr(
+                "array(3L, cast(null as bigint))")), scratch_path(spark, "t"))
+
+
+def test_loss_reads_a_written_stream(spark, monkeypatch):
+    names, first = [], loss_plan.staged
+    monkeypatch.setattr(loss_plan, "staged", lambda df, name: names.append(name) or first(df, name))
+    stream = split_tokens(frame(spark, [(i, [i % 3] * 9) for i in range(40)]))
+    scores = lambda requests: requests.select("item", "idx", F.lit(-1.0).alias("score"))
+    assert loss_plan.window_losses(stream, scores, 3, 4).count() == 6 and names == ["stream"]
