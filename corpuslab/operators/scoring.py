@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpuslab.functions.arrays import keep_last
 from corpuslab.functions.text import (
     answers_match, cue_number, extract_number, gold_number, labels, last_number, mcq_prompt,
     strip_echo,
 )
-from corpuslab.operators.lookup import spread_join
+from corpuslab.operators.lookup import small, spread_join
 from corpuslab.operators.metrics import accuracy_by
 from corpuslab.operators.pretokens import pretokens
 from corpuslab.session import staged
@@ -22,6 +26,10 @@ from corpuslab.session import staged
 # A scorer takes rows (…, context, continuation) and returns them with ``score``.
 Scorer = Callable[[DataFrame], DataFrame]
 
+#: tokens counted at once on a worker, and rows of a table of words or pairs that may be sent along
+RUN_TOKENS = 2**21
+BROADCAST_WORDS = 1_000_000
+
 
 def expand_choices(df: DataFrame, choices: str | Column, out: str = "continuation") -> DataFrame:
     """One row per choice with its index."""
@@ -80,27 +88,33 @@ class BigramScorer:
 
     @staticmethod
     def train(df: DataFrame, tokens: Column, k: float = 1.0, block: int = 1024) -> BigramScorer:
-        """Count adjacent tokens of every document in one pass; partial counts before the
-        shuffle. The counts are the model and are written once. A first token counts
-        after NULL, so that the counts hold every token."""
+        """Count adjacent tokens of every document in one pass; the counts are the model and
+        are written once. A first token counts after NULL, so that the counts hold every token.
+
+        Most pairs of a corpus are distinct, so that their number hardly falls before the
+        shuffle. It gets them in sorted runs, by token: neighbours share most of their
+        bytes, and the codec of the shuffle stores little more than the word that differs.
+        A token lies in one written part, so that counting the distinct ones shuffles each once.
+        """
+        lists = df.select(tokens.alias("t")).where(F.size("t") > 0)
+        kind = lists.schema["t"].dataType.elementType
+        runs = lists.mapInArrow(_adjacent, StructType([
+            StructField("prev", kind), StructField("tok", kind), StructField("n", LongType())]))
         counts = staged(
-            df.select(tokens.alias("t")).where(F.size("t") > 0)
-            .select(F.explode(F.arrays_zip(
-                F.concat(F.array(F.lit(None)), F.slice("t", F.lit(1), F.size("t") - 1)).alias("prev"),
-                F.col("t").alias("tok"))).alias("e"))
-            .groupBy("e.prev", "e.tok").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+            runs.repartition("tok").groupBy("prev", "tok").agg(F.sum("n").alias("n")), "bigrams")
         pairs = counts.where(F.col("prev").isNotNull())
         return BigramScorer(pairs, counts.select("tok").distinct().count(), k, block)
 
     def table(self, needed: DataFrame) -> DataFrame:
         """``(prev, tok, logprob)`` for the distinct pairs asked for.
 
-        The model is cut to the asked pairs before anything is summed or shuffled: they
-        are few beside a corpus, and a measured-small side is broadcast at run time.
+        The model is cut to the asked words before anything is summed or shuffled: they
+        are few beside a corpus, and are sent along up to a bound.
         """
-        pairs = self.pairs.join(needed, ["prev", "tok"]).withColumnRenamed("n", "_pair")
-        asked = needed.select("prev").distinct()
-        heads = self.heads(asked).withColumnRenamed("n", "_head")
+        words = small(needed.select("tok").distinct(), BROADCAST_WORDS)
+        pairs = self.pairs.join(words, "tok", "left_semi").join(
+            small(needed, BROADCAST_WORDS), ["prev", "tok"]).withColumnRenamed("n", "_pair")
+        heads = self.heads(needed.select("prev").distinct()).withColumnRenamed("n", "_head")
         return (
             needed.join(pairs, ["prev", "tok"], "left").join(heads, ["prev"], "left")
             .select("prev", "tok", F.ln(
@@ -110,26 +124,56 @@ class BigramScorer:
 
     def heads(self, asked: DataFrame) -> DataFrame:
         """How often each asked ``prev`` was followed by anything."""
-        return self.pairs.join(asked, "prev", "left_semi").groupBy("prev").agg(F.sum("n").alias("n"))
+        return self.pairs.join(small(asked, BROADCAST_WORDS), "prev", "left_semi").groupBy(
+            "prev").agg(F.sum("n").alias("n"))
 
     def __call__(self, requests: DataFrame) -> DataFrame:
         """Rows keyed by ``item, idx`` with token arrays ``context`` and ``continuation``."""
         last = F.try_element_at(keep_last(F.col("context"), self.block - 1), F.lit(-1))
         # an empty continuation keeps one row without a token and scores the empty sum
-        counted = staged(
+        steps = staged(
             requests.select("item", "idx", F.explode_outer(F.arrays_zip(
                 F.concat(F.array(last), F.slice("continuation", F.lit(1), F.greatest(
                     F.size("continuation") - 1, F.lit(0)))).alias("prev"),
                 F.col("continuation").alias("tok"))).alias("e"))
-            .groupBy("item", "idx", "e.prev", "e.tok").agg(F.count(F.lit(1)).alias("m")), "steps")
-        known = self.table(counted.select("prev", "tok").distinct().where(
-            F.col("prev").isNotNull() & F.col("tok").isNotNull()))
+            .select("item", "idx", "e.prev", "e.tok"), "steps")
+        needed = staged(steps.select("prev", "tok").where(
+            F.col("prev").isNotNull() & F.col("tok").isNotNull()).distinct(), "asked")
+        known = staged(self.table(needed), "known")
+        few = small(known, BROADCAST_WORDS)
         # a token without a context before it is any token
         blank = F.lit(-math.log(max(self.size, 1)))
-        scored = spread_join(counted, known, ["prev", "tok"], ["item", "idx"], "left")
+        scored = (steps.join(few, ["prev", "tok"], "left") if few is not known
+                  else spread_join(steps, known, ["prev", "tok"], ["item", "idx"], "left"))
         return scored.groupBy("item", "idx").agg(F.sum(F.when(
-            F.col("tok").isNotNull(), F.col("m") * F.coalesce("logprob", blank)
-        ).otherwise(0.0)).alias("score"))
+            F.col("tok").isNotNull(), F.coalesce("logprob", blank)).otherwise(0.0)).alias("score"))
+
+
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(prev, tok, n)`` of rows with one list of tokens, counted and sorted in runs; no list is empty.
+
+    A run holds whole lists, of ``RUN_TOKENS`` tokens together or one longer list.
+    """
+    for batch in batches:
+        lists = batch.column(0)
+        bounds, start = lists.offsets.to_numpy(), 0
+        while start < len(lists):
+            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + RUN_TOKENS, "right")) - 1)
+            coded = lists.values.slice(bounds[start], bounds[stop] - bounds[start]).dictionary_encode()
+            order = pc.array_sort_indices(coded.dictionary)
+            words = coded.dictionary.take(order)
+            code = np.zeros(len(words) + 1, np.int64)  # the last place is that of a null, code 0
+            code[order.to_numpy()] = np.arange(1, len(words) + 1)
+            tok = code[coded.indices.fill_null(-1).to_numpy()]
+            prev = np.zeros_like(tok)
+            prev[1:] = tok[:-1]
+            prev[bounds[start:stop] - bounds[start]] = 0
+            keys, n = np.unique(tok * (len(words) + 1) + prev, return_counts=True)
+            tok, prev = np.divmod(keys, len(words) + 1)
+            yield pa.RecordBatch.from_arrays(
+                [words.take(pa.array(c - 1, mask=c == 0)) for c in (prev, tok)] + [pa.array(n)],
+                names=["prev", "tok", "n"])
+            start = stop
 
 
 def score_continuations(requests: DataFrame, scorer: Scorer) -> DataFrame:

@@ -1,9 +1,11 @@
 import collections
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.operators import scoring
 from corpuslab.operators.pretokens import pretokens
 from corpuslab.operators.scoring import (
     BigramScorer, evaluate_choices, expand_choices, fit_prompt, mcq_requests, numeric_eval,
@@ -60,6 +62,36 @@ def test_bigram_scores(spark, scorer):
     assert math.isclose(one[0], lp("a", "b")) and one[4] == float("-inf")
 
 
+def test_bigram_counts_cross_in_sorted_runs(spark, monkeypatch):
+    texts = [["a", "b", "a", "c"], ["b"], ["c", None, "b", "a", "b"], ["é", "a"] * 9]
+    monkeypatch.setattr(scoring, "RUN_TOKENS", 6)
+    lists = pa.array([["x"], *texts]).slice(1)
+    runs = [r.to_pylist() for r in scoring._adjacent([pa.RecordBatch.from_arrays([lists], names=["t"])])]
+    order = lambda r: (r["tok"] or "", r["prev"] or "")
+    assert len(runs) == 3 and all(r == sorted(r, key=order) for r in runs)
+    assert all(len({(r["prev"], r["tok"]) for r in run}) == len(run) for run in runs)
+    want = collections.Counter(pair for t in texts for pair in zip([None, *t], t))
+    got = collections.Counter()
+    for r in sum(runs, []):
+        got[r["prev"], r["tok"]] += r["n"]
+    assert got == want
+    trained = BigramScorer.train(spark.createDataFrame([(t,) for t in [*texts, [], None]], "t array<string>"), F.col("t"))
+    assert {(r.prev, r.tok): r.n for r in trained.pairs.collect()} == {k: n for k, n in want.items() if k[0] is not None}
+    assert trained.size == 5  # a null token is one of them
+
+
+def test_asked_pairs_do_not_shuffle_the_model(spark, scorer):
+    needed = spark.createDataFrame([("a", "b"), ("z", "a")], "prev string, tok string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scorer.table(needed)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin [tok" not in plan
+    assert "LeftSemi" not in "".join(line for line in plan.splitlines() if "SortMergeJoin" in line)
+
+
 def test_any_scorer_fits(spark):
     items = spark.createDataFrame([(1, "s", "q", ["x", "yy"], 1), (2, "s", "q", ["zzz", "y"], 1)],
                                   "item int, subject string, question string, choices array<string>, gold int")
