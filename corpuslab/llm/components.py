@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import Workspace
+from corpuslab.llm.common import Workspace, forget_shuffles
 from corpuslab.session import staged
 
 
@@ -15,27 +15,26 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each node's neighbours move to the least of
     them, first those above it, then those below. Nothing is gathered per node, only minima
     are joined back, so a hub with any number of edges is a skewed join that adaptive
-    execution splits. Ends when a round changes nothing (about the log of the diameter).
+    execution splits. Ends when all edges are stars, which a round would not change (about the log of
+    the diameter). Both steps are written, and what a round shuffled and sent along is let go with its
+    tables: the driver would otherwise hold the plans and broadcasts of all rounds.
     """
-    work = Workspace(edges.sparkSession)
+    spark = edges.sparkSession
+    work = Workspace(spark)
     current = work.staged(_directed(edges), "edges")
-    before = None
-    while True:
-        earlier, work = work, Workspace(edges.sparkSession)
+    while not _only_stars(current):
+        earlier, work = work, Workspace(spark)
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         larger = both.where(F.col("b") > F.col("a")).join(least, "a")
-        starred = _directed(larger.select(F.col("b").alias("a"), F.col("m").alias("b")))
+        starred = work.staged(
+            _directed(larger.select(F.col("b").alias("a"), F.col("m").alias("b"))), "starred")
         low = starred.groupBy("a").agg(F.min("b").alias("m"))
         smaller = starred.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = work.staged(
             _directed(smaller.union(low.select("a", F.col("m").alias("b")))), "edges")
         earlier.clear()
-        after = current.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
+        forget_shuffles(spark)
     members = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select("b").distinct().select(
         F.col("b").alias("node"), F.col("b").alias("component"))
@@ -44,6 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one, which has none itself."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
+        "up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def _directed(edges: DataFrame) -> DataFrame:
     """Every edge once, from the larger node to the smaller."""
     return edges.select(

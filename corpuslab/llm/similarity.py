@@ -347,19 +347,22 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS
         _sent(least), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select(
         "node", "shingles"), "sets")
 
-    spokes = work.staged(_compared(
-        _largest_share(shared, "low").union(_largest_share(shared, "high")).distinct(),
-        sets, percent).where("linked").select(
+    # what several queries read is written, so that none plans and shuffles it again
+    pairs = work.staged(
+        _largest_share(shared, "low").union(_largest_share(shared, "high")).distinct(), "pairs")
+    forget_shuffles(spark)
+    spokes = work.staged(_compared(pairs, sets, percent).where("linked").select(
         F.col("node").alias("a"), F.col("hub").alias("b")), "spokes")
 
     # what could still link two stars: sets that share enough signatures with other stars
-    mixed = shared.join(_sent(_stars(degree, spokes)), "node")
+    stars = work.staged(_stars(degree, spokes), "stars")
+    mixed = shared.join(_sent(stars), "node")
     open_sigs = mixed.groupBy("sig").agg(
         F.min("star").alias("x"), F.max("star").alias("y"), F.min("node").alias("first")).where(
         "x <> y").select("sig", "first")
     mixed = work.staged(mixed.join(open_sigs, "sig").select(
         "sig", "node", "band", "need", "first"), "mixed")
-    able = _enough(mixed).groupBy("node").agg(F.min("m").alias("need"))
+    able = work.staged(_enough(mixed).groupBy("node").agg(F.min("m").alias("need")), "able-nodes")
     mixed = work.staged(mixed.drop("need").join(_sent(able), "node"), "able")
     cluster = components(mixed.select(F.col("node").alias("a"), F.col("first").alias("b"))).join(
         _sent(able), "node").select("node", "need", F.col("component").alias("cluster"))
@@ -368,13 +371,15 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS
     for _ in range(HUB_ROUNDS):
         best = waiting.groupBy("cluster").agg(
             F.max_by("node", F.struct("degree", "node")).alias("hub"))
-        tested = work.staged(_compared(
-            waiting.join(best, "cluster").where("node <> hub"), sets, percent), "tested")
+        trial = work.staged(waiting.join(best, "cluster").where("node <> hub"), "trial")
+        tested = work.staged(_compared(trial, sets, percent), "tested")
+        forget_shuffles(spark)
         spokes = spokes.union(tested.where("linked").select(
             F.col("node").alias("a"), F.col("hub").alias("b")))
         waiting = tested.where("not linked").select("node", "need", "cluster", "degree")
 
-    starred = work.staged(cluster.join(_sent(_stars(degree, spokes)), "node"), "starred")
+    stars = work.staged(_stars(degree, spokes), "stars")
+    starred = work.staged(cluster.join(_sent(stars), "node"), "starred")
     largest = starred.groupBy("cluster", "star").agg(F.count(F.lit(1)).alias("c")).groupBy(
         "cluster").agg(F.max_by("star", F.struct("c", "star")).alias("main"),
                        F.count(F.lit(1)).alias("many"))

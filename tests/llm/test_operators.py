@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuslab.llm import (
     contamination, extraction, language, lm, packing, pii, quality, sharding, similarity, toxicity,
 )
-from corpuslab.llm.common import held_out, first_by_hash
+from corpuslab.llm.common import Workspace, held_out, first_by_hash
 from corpuslab.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -234,6 +234,19 @@ def test_similar_groups(spark, odd, none, monkeypatch):
     assert rows(similarity.similar_groups(none)) == []
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    written = []
+    keep = Workspace.staged
+    monkeypatch.setattr(Workspace, "staged", lambda self, df, name: written.append(name) or keep(self, df, name))
+    found = lambda edges: dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
+    assert found([]) == {} and written == ["edges"]  # no round for what a round would not change
+    written.clear()
+    assert found([(5, 1), (1, 7), (9, 2), (3, 3), (5, 1), (None, 4)]) == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2}
+    assert written == ["edges"]
+    written.clear()
+    assert found([(3, 1), (3, 2), (4, 2)]) == {1: 1, 2: 1, 3: 1, 4: 1} and len(written) > 1
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
