@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import contamination, language, packing, pii, similarity
 from corpuslab.llm.common import table
-from corpuslab.session import staged
+from corpuslab.session import small_batches, staged
 
 #: the packed result depends on trained models and iterated matching, which SQL has no words for
 ORACLE_SQL = None
@@ -36,7 +36,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id is not among ``ids(doc_id)``; sent along only while they are few."""
-    ids = staged(ids, "dropped")
+    with small_batches(docs.sparkSession):
+        ids = staged(ids, "dropped")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
 
@@ -81,5 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each to what the one before has written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with small_batches(spark):
+            docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

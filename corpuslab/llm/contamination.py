@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.common import table
 from corpuslab.llm.tokens import slices
-from corpuslab.session import staged
+from corpuslab.session import small_batches, staged
 
 WIDTH, LITERALS, COVERAGE, LEAST = 6, 4, 0.35, 3
 RUN = 13  # words
@@ -283,12 +283,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
     only = np.sort(np.array(
         [r["window"] for r in hashes.collect()], np.int64)) if few else None
     found = find_windows(docs.select(key, text), key, text, width, only).drop("windows", "spots")
-    hits = staged(found.join(F.broadcast(index) if bounded(index) else index, "window").select(
-        key, "item_id", "item_place", "item_windows", "place",
-        (F.col("place") - F.col("item_place")).alias("shift"),
-        F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"),
-                     F.transform("spots", lambda i: F.col("item_place") + i).alias("at")).alias("pairs"),
-        (F.col("item_slots") == F.col("slots")).alias("same")), "hits")
+    with small_batches(docs.sparkSession):
+        hits = staged(found.join(F.broadcast(index) if bounded(index) else index, "window").select(
+            key, "item_id", "item_place", "item_windows", "place",
+            (F.col("place") - F.col("item_place")).alias("shift"),
+            F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"),
+                         F.transform("spots", lambda i: F.col("item_place") + i).alias("at")).alias("pairs"),
+            (F.col("item_slots") == F.col("slots")).alias("same")), "hits")
     lines = [key, "item_id", "shift"]
     whole = _consistent(hits, lines)
     long = [F.col(f"p.{c}").eqNullSafe(F.col(f"r.{c}")) for c in lines[:2]]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.common import partitions, table
 from corpuslab.llm.tokens import slices, word_ids
-from corpuslab.session import staged
+from corpuslab.session import small_batches, staged
 
 CAPACITY, END = 4096, 1
 BLOCK = 1024
@@ -46,7 +46,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text", 4 * 2**20):
+            for part in slices(batch, "text", 2 * 2**20):
                 yield pa.RecordBatch.from_arrays(
                     cut_ids(part.column("doc_id"), *encoder.texts(part.column("text")),
                             capacity, with_ids),
@@ -185,6 +185,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    cut = staged(pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = staged(pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
     return pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",
                             "offset")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from corpuslab.llm.common import Workspace, forget_shuffles, partitions, table
 from corpuslab.llm.components import components
 from corpuslab.llm.tokens import slices
-from corpuslab.session import staged
+from corpuslab.session import small_batches, staged
 
 WORDS, PERCENT = 5, 75
 BAND, SPARE = 3.0, 1.06
@@ -325,8 +325,9 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS
     work = Workspace(spark)
     rows = docs.select("doc_id", "text").mapInArrow(
         _emit(percent, width), "key long, node long, info long")
-    dealt = work.staged(rows.repartition(partitions(spark), "key").mapInArrow(
-        _shared, "key long, node long, info long, low long, high long"), "signatures")
+    with small_batches(spark):
+        dealt = work.staged(rows.repartition(partitions(spark), "key").mapInArrow(
+            _shared, "key long, node long, info long, low long, high long"), "signatures")
     forget_shuffles(spark)
     members = staged(dealt.where("info < 0").select(
         F.col("key").alias("node"), F.col("node").alias("doc_id"),
@@ -343,9 +344,10 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS
         "node").agg(F.min("doc_id").alias("doc_id")), "survivors")
     ids = least.select("doc_id").distinct()
     picked = docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi")
-    sets = work.staged(sets_of(picked, width).join(
-        _sent(least), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select(
-        "node", "shingles"), "sets")
+    with small_batches(spark):
+        sets = work.staged(sets_of(picked, width).join(
+            _sent(least), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select(
+            "node", "shingles"), "sets")
 
     # what several queries read is written, so that none plans and shuffles it again
     pairs = work.staged(

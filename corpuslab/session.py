@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +90,28 @@ def fixed_table(spark: SparkSession, **columns: tuple[pa.DataType, list]) -> Dat
         pa.table({name: pa.array(values, kind) for name, (kind, values) in columns.items()}))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Jobs that run inside send their rows to Python in batches of about ``size`` bytes.
+
+    Spark bounds a batch by 10,000 rows and 64 MB, which texts fill: the executor and its worker
+    both hold it, and the executor twice while it grows. Settings of the session that are smaller
+    stay; rows are the same, since no operator here depends on where a batch ends.
+    """
+    key, jvm = "spark.sql.execution.arrow.maxBytesPerBatch", spark.sparkContext._jvm
+    size_of = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    before = spark.conf.get(key, None)
+    if before is None or not 0 < size_of(before) <= size_of(size):
+        spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write an expensive table once to the shared folder and go on from the files.
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 import time
 
 import numpy as np
@@ -104,6 +105,15 @@ def test_word_ids_equal_the_library():
         assert ids[bounds[i]:bounds[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_words_are_kept_small():
+    path = public.path("word_bpe_49k.json")
+    known = WordIds(path)
+    known.texts(pa.array([" ".join(f"word{i} other{i} Some-{i}" for i in range(2000))]))
+    kept = [*known.words.values(), *known.parts.values()]
+    assert len(known.words) == 6000
+    assert sum(map(sys.getsizeof, kept)) <= 64 * len(kept)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan(seed):
     rng = random.Random(seed)

@@ -158,6 +158,29 @@ def test_packing(spark, odd, none):
     assert rows(packing.pack(packing.pieces(none, path))) == []
 
 
+def test_packing_takes_small_batches(spark, tmp_path, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    whole = pytest.importorskip("tokenizers").Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    key, log, plain = "spark.sql.execution.arrow.maxBytesPerBatch", str(tmp_path / "sizes"), packing.slices
+
+    def noted(batch, text, size):
+        with open(log, "a") as out:
+            out.write(f"{batch.nbytes}\n")
+        return plain(batch, text, size)
+
+    monkeypatch.setattr(packing, "slices", noted)
+    before, text = spark.conf.get(key, None), "some words " * 1000
+    docs = spark.range(0, 2000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+    got = packing.packed_documents(docs).select("doc_id", "length").collect()
+    length = len(whole.encode(text, add_special_tokens=False).ids) + 1
+    assert sorted(map(tuple, got)) == [(i, length) for i in range(2000)]
+    with open(log) as sizes:
+        seen = [int(x) for x in sizes]
+    assert sum(seen) > 20e6 and max(seen) < 6e6
+    assert spark.conf.get(key, None) == before
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(4)
     plain = ["house", "tree", "river", "stone", "cloud", "field", "bread", "light"]
