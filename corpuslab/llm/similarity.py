@@ -17,9 +17,10 @@ anything is shuffled within a partition. From there:
 3. each set is compared with the first and the last set of the signatures it shares most often,
    two comparisons instead of all pairs of a group; links join sets into stars;
 4. only sets that share as many signatures as they need with other stars can link two
-   stars. They form clusters, in which each is compared with a hub (a few rounds), and those outside
-   the largest star are counted against all sets of the cluster, block by block; pairs that
-   share as many signatures as they need are compared where they meet, so no pairs are written;
+   stars. Sets that share a signature that is rare for both form clusters, in which each is compared
+   with a hub (a few rounds), and those outside the largest star are counted against all sets of the
+   cluster, block by block; pairs that share as many signatures as they need are compared where they
+   meet, so no pairs are written;
 5. links found by exact comparison are joined into components.
 
 No pair is lost and no group is capped: pairs of one star are connected already. Shingles are
@@ -37,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import Workspace, forget_shuffles, partitions, table
@@ -360,13 +361,18 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WORDS
     stars = work.staged(_stars(degree, spokes), "stars")
     mixed = shared.join(_sent(stars), "node")
     open_sigs = mixed.groupBy("sig").agg(
-        F.min("star").alias("x"), F.max("star").alias("y"), F.min("node").alias("first")).where(
-        "x <> y").select("sig", "first")
+        F.min("star").alias("x"), F.max("star").alias("y"), F.count(F.lit(1)).alias("many")).where(
+        "x <> y").select("sig", "many")
     mixed = work.staged(mixed.join(open_sigs, "sig").select(
-        "sig", "node", "band", "need", "first"), "mixed")
+        "sig", "node", "band", "need", "many"), "mixed")
     able = work.staged(_enough(mixed).groupBy("node").agg(F.min("m").alias("need")), "able-nodes")
-    mixed = work.staged(mixed.drop("need").join(_sent(able), "node"), "able")
-    cluster = components(mixed.select(F.col("node").alias("a"), F.col("first").alias("b"))).join(
+    mixed = work.staged(_marked_rare(mixed.drop("need", "band").join(_sent(able), "node")), "able")
+    forget_shuffles(spark)
+    # what is common joins far more sets than can be linked, and each cluster is a quadratic step
+    rare = mixed.where("rare").select("sig", "node")
+    first = rare.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("last")).where(
+        "b <> last").select("sig", "b")
+    cluster = components(rare.join(first, "sig").select(F.col("node").alias("a"), "b")).join(
         _sent(able), "node").select("node", "need", F.col("component").alias("cluster"))
     cluster = work.staged(cluster.join(degree.select("node", "degree"), "node"), "clusters")
     waiting = cluster
@@ -412,6 +418,17 @@ def _enough(shared: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("c"), F.max("need").alias("m")).where("c >= m")
 
 
+def _marked_rare(shared: DataFrame) -> DataFrame:
+    """Add ``rare`` to rows ``(sig, node, many, need)``: all but the ``need - 1`` commonest of a set.
+
+    In one order for all sets, those with the fewest sets first: of the signatures that a pair shares, as
+    many as both need, the first is rare for both, as at least ``need - 1`` others follow it in either.
+    """
+    own = Window.partitionBy("node")  # as many rows as the parts of its bands
+    nth = F.row_number().over(own.orderBy("many", "sig"))
+    return shared.withColumn("rare", nth <= F.count(F.lit(1)).over(own) - F.col("need") + 1)
+
+
 def _stars(nodes: DataFrame, spokes: DataFrame) -> DataFrame:
     """``(node, star)``: what the links so far connect."""
     joined = components(spokes).withColumnRenamed("component", "star")

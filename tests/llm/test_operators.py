@@ -257,6 +257,34 @@ def test_similar_groups(spark, odd, none, monkeypatch):
     assert rows(similarity.similar_groups(none)) == []
 
 
+def test_similar_groups_are_not_clustered_by_common_passages(spark, monkeypatch):
+    """Sets that share only what many sets share are not compared with each other."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    docs = []
+    passage = [word() for _ in range(70)]
+    for family in range(12):
+        base = [word() for _ in range(110)]
+        for _ in range(8):
+            changed = base[:]
+            for at in rng.sample(range(110), 9):
+                changed[at] = word()
+            docs.append((len(docs), " ".join(passage + changed)))
+    sizes = []
+    staged = Workspace.staged
+
+    def spy(work, df, name):
+        out = staged(work, df, name)
+        if name == "clusters":
+            sizes.extend(r["count"] for r in out.groupBy("cluster").count().collect())
+        return out
+
+    monkeypatch.setattr(Workspace, "staged", spy)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert set(rows(similarity.similar_groups(df))) == brute_groups(docs)
+    assert len(sizes) > 4 and max(sizes) <= 8
+
+
 def test_components_end_at_stars(spark, monkeypatch):
     written = []
     keep = Workspace.staged
