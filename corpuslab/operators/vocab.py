@@ -22,7 +22,7 @@ from corpuslab.operators.pretokens import assign_ids, prepared, pretoken_counts
 from corpuslab.operators.subwords import (
     LONG, PieceIndex, best_split, expected_pieces, expected_uses, prefixes,
 )
-from corpuslab.session import fixed_table, shared_dir
+from corpuslab.session import fixed_table, shared_dir, sorted_limits, staged
 
 END_OF_TEXT = "<|endoftext|>"
 # Special tokens per kind, and the names an end-of-text token may have.
@@ -38,6 +38,8 @@ MAX_SYMBOLS = 1_200_000
 RANKED_PAIRS = 20_000
 #: chains of no more symbols than this (about 100 MB while they are merged) make up a band
 BAND_SYMBOLS = 500_000
+#: cells to a doubling in the histogram of what pieces cover, some thousands in all
+SEED_CELLS = 256
 #: so many merges are written into the words once, rather than applied in every round
 CHECKPOINT_MERGES = 200
 
@@ -298,19 +300,29 @@ def train_wordpiece(
 
 
 def _seed_pieces(words: DataFrame, limit: int, longest: int) -> list[tuple[str, int]]:
-    """Every character, and the substrings that cover most of the corpus."""
+    """Every character, and the substrings that cover most of the corpus.
+
+    What covers least is left out by a histogram before any is ranked, and the rest is sorted by ranges: the
+    driver gets about ``limit`` rows, not as many from each task.
+    """
     word = F.col("word")
     starts = F.sequence(F.lit(1), F.length(word))
     substrings = F.flatten(F.transform(starts, lambda s: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(longest), F.length(word) - s + 1)),
         lambda n: F.substring(word, s, n))))
-    counts = words.select(F.explode(substrings).alias("piece"), "freq").groupBy("piece").agg(
-        F.sum("freq").alias("n"))
+    counts = staged(words.select(F.explode(substrings).alias("piece"), "freq").groupBy("piece").agg(
+        F.sum("freq").alias("n")).where((F.length("piece") == 1) | (F.col("n") > 1)), "pieces")
     chars = counts.where(F.length("piece") == 1).limit(MAX_SYMBOLS).collect()
-    longer = (
-        counts.where((F.length("piece") > 1) & (F.col("n") > 1))
-        .orderBy((F.col("n") * F.length("piece")).desc(), "piece").limit(limit).collect()
-    )
+    covered = F.col("n") * F.length("piece")
+    cell = F.floor(F.log2(covered) * SEED_CELLS)
+    ranked = counts.where(F.length("piece") > 1)
+    found, least = 0, 0
+    for least, many in sorted(map(tuple, ranked.groupBy(cell).count().collect()), reverse=True):
+        found += many
+        if found >= limit:
+            break
+    with sorted_limits(words.sparkSession):
+        longer = ranked.where(cell >= least).orderBy(covered.desc(), "piece").limit(limit).collect()
     return [(r["piece"], r["n"]) for r in sorted(chars)] + [(r["piece"], r["n"]) for r in longer]
 
 

@@ -112,6 +112,24 @@ def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+@contextmanager
+def sorted_limits(spark: SparkSession) -> Iterator[None]:
+    """Queries that order and limit inside are sorted by ranges, of which the driver takes the first.
+
+    Otherwise each task sends it as many rows as the limit, to be merged there.
+    """
+    key = "spark.sql.execution.topKSortFallbackThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write an expensive table once to the shared folder and go on from the files.
 

@@ -240,6 +240,29 @@ def test_wordpiece_decoding_against_public_library(spark):
         assert got[i] == decoder.decode([vocab.tokens[t] for t in ids if t > 4])
 
 
+@pytest.mark.parametrize("limit", [1, 37, 200, 100_000])
+def test_unigram_seeds_are_not_ranked_on_the_driver(spark, monkeypatch, limit):
+    rng = random.Random(8)
+    words = collections.Counter("".join(rng.choices("abcé", k=rng.randrange(1, 7))) for _ in range(300))
+    n = collections.Counter()
+    for word, freq in words.items():
+        for i in range(len(word)):
+            for j in range(i + 1, min(len(word), i + 4) + 1):
+                n[word[i:j]] += freq
+    longer = sorted((-c * len(p), p) for p, c in n.items() if len(p) > 1 and c > 1)[:limit]
+    want = sorted((p, c) for p, c in n.items() if len(p) == 1) + [(p, n[p]) for _, p in longer]
+    df = spark.createDataFrame(list(words.items()), "word string, freq bigint").repartition(4)
+    plans, collect = [], type(df).collect
+
+    def spy(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(df), "collect", spy)
+    assert V._seed_pieces(df, limit, 4) == want
+    assert plans and not any("TakeOrdered" in p for p in plans)
+
+
 def test_unigram_likelihood_does_not_fall(corpus):
     history = []
     vocab = train_unigram(corpus, size=90, steps=4, history=history)
