@@ -93,8 +93,8 @@ from documents, s
 def stream_windows(spark, sf):
     docs = documents(spark, sf)
     vocab = Vocabulary("char", [r["token"] for r in char_vocab(docs).orderBy("id").collect()])
-    stream = token_stream(encode_chars(docs, vocab.tokens))
-    n = token_total(stream)
+    stream = token_stream(encode_chars(docs, vocab.tokens), size="n_tokens")
+    n = token_total(stream, size="n_tokens")
     offsets = docs.select("doc_id", ((F.col("doc_id") * 7919) % (n - 64)).alias("at"))
     windows = windows_at(stream, offsets, 64, offset="at")
     return offsets.join(decode_corpus(windows, vocab, ids="window"), "doc_id").select(

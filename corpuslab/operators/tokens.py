@@ -12,8 +12,10 @@ from corpuslab.operators.prefix import running
 from corpuslab.session import staged
 
 
-def token_total(df: DataFrame, ids: str = "tokens") -> int:
-    return df.agg(F.coalesce(F.sum(F.size(ids).cast("long")), F.lit(0))).first()[0]
+def token_total(df: DataFrame, ids: str = "tokens", size: str | None = None) -> int:
+    """The number of tokens; if ``size`` names a column with that of each row, no token is read."""
+    many = F.size(ids).cast("long") if size is None else F.col(size)
+    return df.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]
 
 
 def token_counts(df: DataFrame, ids: str = "tokens", key: str = "split") -> DataFrame:
@@ -30,15 +32,39 @@ def with_offsets(
     Pass a written table: it is read twice, the first time without tokens if ``size`` names
     a column with their number, which is left out of the result.
     """
-    sizes = df.select(order, (F.size(ids).cast("long") if size is None else F.col(size)).alias("_size"))
-    starts = running(sizes, [order], {"_end": (F.col("_size"), "sum")}).select(
+    many = F.size(ids).cast("long") if size is None else F.col(size)
+    return (df if size is None else df.drop(size)).join(_starts(df, order, many).hint("shuffle_hash"), order)
+
+
+def _starts(df: DataFrame, order: str, size: Column) -> DataFrame:
+    sizes = df.select(order, size.alias("_size"))
+    return running(sizes, [order], {"_end": (F.col("_size"), "sum")}).select(
         order, (F.col("_end") - F.col("_size")).alias("start"))
-    return (df if size is None else df.drop(size)).join(starts.hint("shuffle_hash"), order)
 
 
-def token_stream(encoded: DataFrame, order: str = "doc_id", ids: str = "tokens") -> DataFrame:
-    """Encode once: write the tokens, then place them in the stream."""
-    return with_offsets(staged(encoded.select(order, ids), "tokens"), order, ids)
+def token_stream(
+    encoded: DataFrame, order: str = "doc_id", ids: str = "tokens", size: str | None = None,
+) -> DataFrame:
+    """Encode once: write the tokens, then place them in the stream.
+
+    They cross the wire in the narrowest type that holds the ids, of which :func:`windows_at` makes
+    integers again. ``size`` names a column for their number, by which :func:`token_total` reads no token.
+    """
+    many = "_tokens" if size is None else size
+    tokens = staged(encoded.select(order, ids, F.size(ids).cast("long").alias(many)), "tokens")
+    placed = narrowed(tokens, ids).join(_starts(tokens, order, F.col(many)).hint("shuffle_hash"), order)
+    return placed.drop(many) if size is None else placed
+
+
+def narrowed(tokens: DataFrame, ids: str) -> DataFrame:
+    """Lists of integers in the narrowest type that holds all of a written table."""
+    if tokens.schema[ids].dataType.simpleString() != "array<int>":
+        return tokens
+    low, high = tokens.agg(F.min(F.array_min(ids)), F.max(F.array_max(ids))).first()
+    for kind, most in (("tinyint", 2**7), ("smallint", 2**15)):
+        if low is not None and -most <= low and high < most:
+            return tokens.withColumn(ids, F.col(ids).cast(f"array<{kind}>"))
+    return tokens
 
 
 def split_tokens(
@@ -126,6 +152,8 @@ def windows_at(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("lo", "piece"))),
                               lambda s: s["piece"])).alias("window")
     )
+    if stream.schema[ids].dataType.simpleString() in ("array<tinyint>", "array<smallint>"):
+        windows = windows.withColumn("window", F.col("window").cast("array<int>"))
     return offsets.join(windows, offsets[offset] == windows["_at"]).drop("_at")
 
 

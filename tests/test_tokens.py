@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators import tokens
 from corpuslab.operators.tokens import (
-    add_specials, sample_windows, split_tokens, token_counts, windows_at, with_offsets,
+    add_specials, sample_windows, split_tokens, token_counts, token_stream, token_total, windows_at, with_offsets,
 )
 from corpuslab.plans import loss_plan
 from corpuslab.session import scratch_path
@@ -62,6 +62,26 @@ def test_windows_plan_has_no_nested_loop(spark, docs):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("most, kind", [(100, "tinyint"), (1000, "smallint"), (65536, "int")])
+def test_stream_tokens_cross_in_the_narrowest_type(spark, docs, most, kind):
+    docs = [(i, [t % most for t in tokens]) for i, tokens in docs]
+    stream = [t for _, tokens in docs for t in tokens]
+    placed = token_stream(frame(spark, docs), size="n")
+    assert dict(placed.dtypes)["tokens"] == f"array<{kind}>"
+    assert token_total(placed, size="n") == token_total(placed) == len(stream)
+    offsets = spark.createDataFrame([(i, i * 97) for i in range(50)], "sample int, offset bigint")
+    got = windows_at(placed, offsets, 17)
+    assert dict(got.dtypes)["window"] == "array<int>"
+    rows = got.collect()
+    assert len(rows) == 50 and all(r.window == stream[r.offset:r.offset + 17] for r in rows)
+
+
+def test_stream_total_reads_no_token(spark, docs):
+    placed = token_stream(frame(spark, docs), size="n")
+    plan = placed.agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
+    assert "tokens" not in plan.split("FileScan parquet", 1)[1].split("ReadSchema")[1].split(">")[0]
+
+
 def test_samples(spark, docs, stream):
     placed = with_offsets(frame(spark, docs))
     rows = sample_windows(placed, 300, 8, seed=1).collect()
